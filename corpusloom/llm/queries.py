@@ -8,8 +8,15 @@ from pyspark.sql import DataFrame, SparkSession
 
 from .common import table
 from .decontam import decontaminate
+from .extract import extract
 from .idstore import token_ids
+from .lm import score
 from .packing import pack
+from .quality import classify
+from .rules import judge
+from .secrets import scan
+from .simhash import near_duplicates
+from .warc import archive
 
 
 def vocabulary(name: str) -> str:
@@ -23,18 +30,53 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return extract(table(spark, sf_dir, "pages"))
+
+
+def op3_quality_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7)
+
+
 def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_ids(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=1)
 
 
+def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates(table(spark, sf_dir, "documents"), threshold=2, shingle=3)
+
+
+def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return archive(table(spark, sf_dir, "pages"), least=100)
+
+
+def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op8_gru_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return score(table(spark, sf_dir, "documents"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=0, capacity=1024)
 
 
+def op10_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return scan(table(spark, sf_dir, "documents")).drop("base", "linked")
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_decontamination": op1_decontamination,
+    "op2_main_text": op2_main_text,
+    "op3_quality_vote": op3_quality_vote,
     "op4_token_ids": op4_token_ids,
+    "op5_simhash": op5_simhash,
+    "op6_warc": op6_warc,
+    "op7_quality_rules": op7_quality_rules,
+    "op8_gru_score": op8_gru_score,
     "op9_packing": op9_packing,
+    "op10_secret_links": op10_secret_links,
 }
 
 #: DuckDB SQL of the queries that SQL can express.
