@@ -24,17 +24,21 @@ def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The smallest identifier's document of every class of near duplicates.
 
-    Rows that repeat an identifier are one document: one row stays, the first by its columns.  Documents without
-    identifier can't be named as a class's smallest and stay only if no row of their class has one.
+    Rows that repeat an identifier are one document, of which the first row by its columns stays.  Of a class
+    in which no row has an identifier, the first row by its columns stays.
     """
-    rows = simhash.label(materialize(simhash.fingerprints(docs), "fingerprints"))
-    keep = rows.select("doc_id", F.coalesce("component_id", "doc_id").alias("least")).where("doc_id = least").groupBy("doc_id").agg(F.count("*").alias("rows"))
-    kept = docs.join(keep.withColumnRenamed("doc_id", "kept_id"), F.col("doc_id") == F.col("kept_id"))
-    single = kept.where("rows = 1").select(*[docs[c] for c in docs.columns])
-    if keep.where("rows > 1").isEmpty():
-        return single
-    repeated = kept.where("rows > 1").groupBy("doc_id").agg(F.min(F.struct(*[F.col(c) for c in docs.columns])).alias("first")).select("first.*")
-    return single.unionByName(repeated)
+    rows = materialize(simhash.fingerprints(docs), "fingerprints")
+    classes = simhash.classes(rows)
+    keep = rows.join(classes, "fp").where("doc_id = component_id").groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("rows"))
+    kept = docs.join(keep, F.col("doc_id") == F.col("kept_id"))
+    out = kept.where("rows = 1").select(*[docs[c] for c in docs.columns])
+    first = F.min(F.struct(*[F.col(c) for c in docs.columns])).alias("first")
+    if not keep.where("rows > 1").isEmpty():
+        out = out.unionByName(kept.where("rows > 1").groupBy("kept_id").agg(first).select("first.*"))
+    if not rows.where("doc_id IS NULL").isEmpty():
+        nameless = simhash.fingerprints(docs.where("doc_id IS NULL"), carry=True).join(classes.where("component_id IS NULL"), "fp")
+        out = out.unionByName(nameless.groupBy("root").agg(F.min("row").alias("first")).select("first.*"))
+    return out
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -264,12 +264,16 @@ def near_duplicates(docs: DataFrame, threshold: int = 2, shingle: int = 3, id_co
     return label(rows, threshold)
 
 
-def label(rows: DataFrame, threshold: int = 2) -> DataFrame:
-    """The classes of rows ``doc_id, fp`` that are kept in a table."""
+def classes(rows: DataFrame, threshold: int = 2) -> DataFrame:
+    """``fp``, ``root`` (the class) and ``component_id`` of the distinct fingerprints of rows ``doc_id, fp``, kept in a table."""
     distinct = materialize(rows.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
     stars = components(near_links(distinct, threshold))
     member = distinct.join(stars.select(F.col("a").alias("fp"), F.col("b").alias("root")), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     smallest = member.groupBy("root").agg(F.min("least").alias("component_id"))
-    classes = materialize(member.join(smallest, "root").select("fp", "component_id"), "classes")
+    return materialize(member.join(smallest, "root").select("fp", "root", "component_id"), "classes")
+
+
+def label(rows: DataFrame, threshold: int = 2) -> DataFrame:
+    """Each of rows ``doc_id, fp``, kept in a table, with its fingerprint in digits and its class."""
     hexed = F.lower(F.lpad(F.hex("fp"), 16, "0"))
-    return rows.join(classes, "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")
+    return rows.join(classes(rows, threshold), "fp").select("doc_id", hexed.alias("fingerprint"), "component_id")

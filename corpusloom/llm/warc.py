@@ -215,7 +215,7 @@ def archive(pages: DataFrame, least: int = 100, folder: str | None = None) -> Da
     write(plan(pages, least), folder)
     captures = materialize(assemble(materialize(read(spark, folder), "records")), "captures")
     # A metadata record of ours has at most one page-id.
-    page = F.element_at(F.filter(F.transform("metadata", lambda m: F.try_element_at(m["fields"], F.lit("page-id")).cast("long")), lambda x: x.isNotNull()), 1)
+    page = F.get(F.filter(F.transform("metadata", lambda m: F.try_element_at(m["fields"], F.lit("page-id")).cast("long")), lambda x: x.isNotNull()), 0)
     rows = captures.select(page.alias("page_id"), "response.*")
     plain = rows.where("type = 'response'").withColumn("held", F.lit(None).cast("long"))
     again = rows.where("type = 'revisit'")
