@@ -81,7 +81,7 @@ def test_dense_numbers(spark):
 def test_chain_order():
     heads = [{"run_id": i, "sha": f"s{i}", "prior_sha": f"s{i - 1}" if i else None} for i in (2, 0, 1)]
     assert [h["run_id"] for h in chain.ordered_sets(heads)] == [0, 1, 2]
-    for bad in (heads + [{"run_id": 9, "sha": "s9", "prior_sha": "s0"}], heads[1:], heads + [{"run_id": 9, "sha": "s9", "prior_sha": "none"}]):
+    for bad in (heads + [{"run_id": 9, "sha": "s9", "prior_sha": "s0"}], heads[:2], heads + [{"run_id": 9, "sha": "s9", "prior_sha": "none"}]):
         with pytest.raises(ValueError):
             chain.ordered_sets(bad)
 
