@@ -6,7 +6,8 @@ two ratios are smoothed over the blocks in page order, fused, and paths over a t
 content region is an article or main element where the page has one with content, else the smallest element
 that holds most of what the chosen paths hold; everything in it belongs to the article, headings and short
 paragraphs too, but for what can't be its text: navigation, headers and footers of the page, sidebars,
-notices, adverts, forms, scripts, styles, reader comments, and lists of links.
+notices, adverts, forms, scripts, styles, reader comments, and, where no element is named the article, lists of
+links.
 
 Null html, and pages without text, give an empty text; unclosed, crossed and cut-off tags are read as
 browsers read them, near enough; rows are on their own, so repeated rows and urls give repeated results.
@@ -38,12 +39,12 @@ NEVER = {"nav", "footer", "aside", "form", "button", "select", "dialog", "menu",
 ROLES = {"navigation", "banner", "contentinfo", "complementary", "search", "dialog", "alertdialog", "alert", "menu", "menubar", "toolbar", "form"}
 #: Words of classes and ids that mark what isn't the article.
 MARKS = set(
-    "ad ads adv advert adverts advertisement advertising banner breadcrumb breadcrumbs byline comment comments commentlist consent cookie cookies disclaimer discussion disqus "
+    "ad ads adv advert adverts advertisement advertising alert alerts banner breadcrumb breadcrumbs comment comments commentlist consent cookie cookies disclaimer discussion disqus "
     "footer gdpr header login masthead menu modal nav navbar navigation newsletter notice notices notification overlay pager pagination paywall popup promo promotion recommended "
-    "related replies reply respond responses share sharing sidebar signup skip social sponsor sponsored subscribe subscription teaser toolbar topbar widget widgets".split()
+    "related replies reply respond responses share sharing sidebar signup skip social sponsor sponsored subscribe subscription toolbar topbar widget widgets".split()
 )
-#: Classes and ids of elements that hold an article whatever other words they have.
-ARTICLE = set("article articlebody content entry main post story".split())
+#: Words of classes and ids that name an article.
+ARTICLE = set("article content entry main post story".split())
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"tr", "td", "th", "thead"}, "tfoot": {"tr", "td", "th", "tbody"}}
 #: Elements that an implied end doesn't reach across.
 WALLS = {"table", "ul", "ol", "dl", "article", "section", "div", "main", "body", "blockquote", "select", "td", "th"}
@@ -83,8 +84,8 @@ def _element(tag: str, attributes: str, parent: int, elements: list[Element]) ->
     article = not marked and (tag in ("article", "main") or role in ("main", "article") or "articlebody" in has.get("itemprop", "").lower())
     hidden = "hidden" in has or has.get("aria-hidden") == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", has.get("style", ""), re.I) is not None
     own_header = tag == "header" and not any(e.article for e in _up(parent, elements))
-    if words & ARTICLE and words & MARKS <= {"header", "footer", "banner", "nav", "related"} and words & {"content", "body"} and not words & {"related", "header", "footer", "nav"}:
-        marked = False
+    if words & MARKS <= {"header"} and words & ARTICLE and any(e.article for e in _up(parent, elements)):
+        marked = False  # an article's own head
     excluded = up.excluded or tag in NEVER or own_header or role in ROLES or hidden or marked
     return Element(tag, tag + "".join(f".{w}" for w in sorted(has.get("class", "").split())), parent, excluded, article and not excluded)
 
@@ -231,18 +232,17 @@ def content_blocks(blocks: list[Block], elements: list[Element]) -> list[Block]:
     if articles:
         inner = {i for i in articles if elements[i].tag == "article"}
         regions = inner or articles
-        out = [b for b in free if any(_within(b.element, i, elements) for i in regions)]
-    else:
-        total = inside.get(0, 0.0)
-        region = 0
-        while True:
-            below = [i for i in inside if elements[i].parent == region and inside[i] >= 0.75 * total and i != region]
-            if not below or elements[below[0]].tag in ("p", "li", "td", "blockquote", "pre", "h1", "h2", "h3"):
-                break
-            region = below[0]
-        out = [b for b in free if _within(b.element, region, elements)]
-        if region == 0 or elements[region].tag in ("body", "html"):
-            out = [b for b in out if best[b.path] >= threshold or elements[b.element].tag in ("h1", "h2", "h3", "h4", "p", "blockquote", "pre")]
+        title = lambda b: elements[b.element].tag == "h1" and any(_within(b.element, i, elements) for i in articles)
+        return [b for b in free if title(b) or any(_within(b.element, i, elements) for i in regions)]
+    total, region = inside.get(0, 0.0), 0
+    while True:
+        below = [i for i in inside if elements[i].parent == region and inside[i] >= 0.75 * total and i != region]
+        if not below or elements[below[0]].tag in ("p", "li", "td", "blockquote", "pre", "h1", "h2", "h3"):
+            break
+        region = below[0]
+    out = [b for b in free if _within(b.element, region, elements)]
+    if region == 0 or elements[region].tag in ("body", "html"):
+        out = [b for b in out if best[b.path] >= threshold or elements[b.element].tag in ("h1", "h2", "h3", "h4", "p", "blockquote", "pre")]
     return [b for b in out if b.linked < 0.8 * len(b.text) or elements[b.element].tag in ("p", "h1", "h2", "h3")]
 
 
