@@ -1,6 +1,6 @@
 """A file tree as a Spark data source: listed on the driver, read by the executors.
 
-``spark.dataSource.register(TreeSource)`` and then
+``corpusloom.session.ship(spark)``, ``spark.dataSource.register(TreeSource)`` and then
 ``spark.read.format("corpus_tree").option("exclude", "a/,*.bak").load("/corpus")``.  Names that start with a dot
 are files like others, links are rows that are never followed, and what can't be read is a row with its error.
 """
