@@ -7,14 +7,18 @@ identifiers are ordinary rows.  Other columns of an input are dropped, or travel
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.tables import kept as materialize
+from ..operators.tables import scratch
+from ..session import ship
+
+__all__ = ["arrow_pass", "crc_mod", "materialize", "scratch", "small_batches", "table"]
+
 #: Rows of one Arrow batch; texts can be long, so batches are short.
 BATCH_ROWS = 512
 
@@ -26,27 +30,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Keeps Arrow batches short: a worker then holds a few MB of text at a time."""
+    """Keeps Arrow batches short, so that a worker holds a few MB of text at a time, and ships the package."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-def scratch(spark: SparkSession) -> str:
-    """A new folder below the shared one in ``spark.checkpoint.dir``; a local one only where that is unset."""
-    base = spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = f"file://{tempfile.mkdtemp(prefix='corpusloom-')}"
-        spark.conf.set("spark.checkpoint.dir", base)
-    return f"{base.rstrip('/')}/corpusloom-{uuid.uuid4().hex}"
-
-
-def materialize(df: DataFrame, label: str = "part") -> DataFrame:
-    """Writes df to the shared folder and reads it again: lineage ends there and nothing is computed twice."""
-    spark = df.sparkSession
-    path = f"{scratch(spark)}/{label}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
 def arrow_pass(
     df: DataFrame,
     inputs: dict[str, Column],

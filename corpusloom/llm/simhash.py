@@ -27,7 +27,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_pass, materialize
+from .common import arrow_pass, materialize, small_batches
 
 LOWER = bytes(b + 32 if 65 <= b <= 90 else b for b in range(256))
 #: Rows of one anchor that are compared at once; larger anchors are split by the other half.
@@ -225,6 +225,7 @@ def near_links(distinct: DataFrame, threshold: int = 2, crowd: int = CROWD) -> D
     """Edges ``a``, ``b`` whose components are those of all links between distinct fingerprints."""
     if not 0 <= threshold <= 2:
         raise ValueError("halves and their blocks are covered for thresholds 0 to 2")
+    small_batches(distinct.sparkSession)
     first = materialize(_links(replicas(distinct, threshold), ["anchor"], threshold, crowd), "links")
     links = first.where("anchor is null").select("a", "b")
     many = first.where("anchor is not null").select("anchor", F.col("a").alias("fp"), "home")
