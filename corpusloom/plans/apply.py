@@ -74,3 +74,12 @@ def journaled(actions: DataFrame, run: str, set_index: int) -> DataFrame:
     phases = F.array(F.struct(F.lit(1).alias("phase"), F.lit("intent").alias("result")), F.struct(F.lit(2).alias("phase"), F.col("result").alias("result")))
     rows = actions.withColumn("p", F.explode(phases)).drop("result")
     return rows.select("*", F.lit(run).alias("run_id"), F.lit(set_index).alias("set_index"), (2 * (F.col("seq") - 1) + F.col("p.phase")).alias("record_seq"), F.col("p.result").alias("result")).drop("p")
+
+
+def finished(names: DataFrame, verdicts: DataFrame) -> DataFrame:
+    """The names that a version has once interrupted actions are finished: what remained was to drop their sources.
+
+    ``names``: path; ``verdicts``: verdict, source and target.  A source goes only if its target is there.
+    """
+    done = verdicts.where("verdict = 'finish-remaining'").join(names.select(F.col("path").alias("target")), "target", "left_semi")
+    return names.join(done.select(F.col("source").alias("path")), "path", "left_anti")
