@@ -12,12 +12,13 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 from ..operators.tables import kept as materialize
 from ..operators.tables import scratch
 from ..session import ship
 
-__all__ = ["arrow_pass", "crc_mod", "materialize", "scratch", "small_batches", "table"]
+__all__ = ["arrow_pass", "crc_mod", "ddl", "materialize", "scratch", "small_batches", "table"]
 
 #: Rows of one Arrow batch; texts can be long, so batches are short.
 BATCH_ROWS = 512
@@ -50,7 +51,7 @@ def arrow_pass(
     small_batches(df.sparkSession)
     picked = [c.alias(k) for k, c in inputs.items()] + ([F.struct(*[df[c] for c in df.columns]).alias("row")] if carry else [])
     source = df.select(*picked)
-    ddl = schema + (f", row {_ddl(source)}" if carry else "")
+    out = schema + (f", row {ddl(source.schema['row'].dataType)}" if carry else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         work = make()
@@ -62,23 +63,18 @@ def arrow_pass(
                 columns = columns | {"row": batch.column(batch.schema.get_field_index("row"))}
             yield pa.RecordBatch.from_pydict(columns)
 
-    return source.mapInArrow(run, ddl)
+    return source.mapInArrow(run, out)
 
 
-def _ddl(source: DataFrame) -> str:
-    """The type of column ``row`` with quoted field names."""
-
-    def of(kind) -> str:
-        name = type(kind).__name__
-        if name == "StructType":
-            return "struct<" + ",".join(f"`{f.name.replace('`', '``')}`:{of(f.dataType)}" for f in kind.fields) + ">"
-        if name == "ArrayType":
-            return f"array<{of(kind.elementType)}>"
-        if name == "MapType":
-            return f"map<{of(kind.keyType)},{of(kind.valueType)}>"
-        return kind.simpleString()
-
-    return of(source.schema["row"].dataType)
+def ddl(kind: DataType) -> str:
+    """A type in DDL, with the names of fields quoted."""
+    if isinstance(kind, StructType):
+        return "struct<" + ",".join(f"`{f.name.replace('`', '``')}`:{ddl(f.dataType)}" for f in kind.fields) + ">"
+    if isinstance(kind, ArrayType):
+        return f"array<{ddl(kind.elementType)}>"
+    if isinstance(kind, MapType):
+        return f"map<{ddl(kind.keyType)},{ddl(kind.valueType)}>"
+    return kind.simpleString()
 
 
 def crc_mod(column: Column | str, n: int) -> Column:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_pass, materialize
+from .common import arrow_pass, ddl, materialize
 
 #: One pass over UTF-8 bytes: word bytes stay, A-Z become lower case, all others become a space.
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
@@ -29,7 +29,19 @@ ORIGINAL_WORD = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
 #: Benchmark text that one automaton may hold; a larger benchmark is scanned for in blocks of this size.
 BLOCK_BYTES = 32 << 20
 
-RESULT = "n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean, items array<string>, spans array<struct<start:long,end:long>>"
+SPAN = pa.struct([("start", pa.int64()), ("end", pa.int64())])
+#: What is returned of a document: names, Spark's types and Arrow's.
+RESULT = [
+    ("n_words", "long", pa.int64()),
+    ("n_hit", "long", pa.int64()),
+    ("n_items", "long", pa.int64()),
+    ("items_sha256", "string", pa.string()),
+    ("contaminated", "boolean", pa.bool_()),
+    ("items", "array<string>", pa.list_(pa.string())),
+    ("spans", "array<struct<start:long,end:long>>", pa.list_(SPAN)),
+]
+#: What one block's scan leaves to the next.
+STATE = [("seen", "array<boolean>", pa.list_(pa.bool_())), ("named", "array<string>", pa.list_(pa.string()))]
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -105,7 +117,9 @@ def decontaminate(
     items = benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text).alias("body")).dropna()
     size = items.agg(F.sum(F.octet_length("body"))).first()[0] or 0
     blocks = max(1, -(-size // block_bytes))
-    state = docs.select(F.lit(None).cast("array<boolean>").alias("seen"), F.lit(None).cast("array<string>").alias("named"), F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *([F.struct(*[docs[c] for c in docs.columns]).alias("row")] if carry else []))
+    row = [F.struct(*[docs[c] for c in docs.columns]).alias("row")] if carry else []
+    nothing = [F.lit(None).cast(kind).alias(name) for name, kind, _ in STATE]
+    state = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), *nothing, *row)
     for block in range(blocks):
         patterns: dict[str, tuple[int, set[str]]] = {}
         for item, body in items.where(F.pmod(F.xxhash64("item", "body"), F.lit(blocks)) == block).collect():
@@ -113,56 +127,40 @@ def decontaminate(
                 patterns.setdefault(pattern, (count, set()))[1].add(item)
         sent = docs.sparkSession.sparkContext.broadcast({k: (n, tuple(sorted(v))) for k, (n, v) in patterns.items()})
         last = block == blocks - 1
-        state = _scan(state, sent, last, carry)
+        state = _scan(state, sent, last)
         if not last:
             state = materialize(state, f"block-{block}")
     return state
 
 
-def _scan(state: DataFrame, sent, last: bool, carry: bool) -> DataFrame:
+def _result(text: str | None, hit: np.ndarray, items: list[str]) -> tuple:
+    digest = hashlib.sha256(",".join(items).encode()).hexdigest()
+    return len(hit), int(hit.sum()), len(items), digest, bool(items), items, spans_of(text, hit) if items else []
+
+
+def _state(text: str | None, hit: np.ndarray, items: list[str]) -> tuple:
+    return (hit.tolist(), items) if items else (None, None)
+
+
+def _scan(state: DataFrame, sent, last: bool) -> DataFrame:
     """One block's scan, added to what earlier blocks found; the last one makes the result."""
-    kind = state.schema["doc_id"].dataType.simpleString()
+    fields, of = (RESULT, _result) if last else (STATE, _state)
+    kept = [c for c in state.columns if c in ("doc_id", "row") or (c == "text" and not last)]
 
     def make():
         machine = automaton_of(sent.value)
 
         def work(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-            texts, out = batch.column(batch.schema.get_field_index("text")), {"seen": [], "named": []}
-            rows: list[tuple] = []
-            seen_before, named_before = (batch.column(batch.schema.get_field_index(k)) for k in ("seen", "named"))
-            for text, seen, named in zip(texts.to_pylist(), seen_before.to_pylist(), named_before.to_pylist(), strict=True):
-                words = words_of(text)
-                hit, found = hits_in(machine, words)
+            rows = []
+            for text, seen, named in zip(*(batch.column(c).to_pylist() for c in ("text", "seen", "named")), strict=True):
+                hit, items = hits_in(machine, words_of(text))
                 if seen is not None:
                     hit |= np.array(seen, bool)
-                found |= set(named or ())
-                out["seen"].append(hit.tolist() if found and not last else None)
-                out["named"].append(sorted(found) if found and not last else None)
-                if last:
-                    names = sorted(found)
-                    digest = hashlib.sha256(",".join(names).encode()).hexdigest()
-                    rows.append((len(words), int(hit.sum()), len(names), digest, bool(names), names, spans_of(text, hit) if names else []))
-            same = {k: batch.column(batch.schema.get_field_index(k)) for k in ("doc_id", "text")}
-            if not last:
-                return {"seen": pa.array(out["seen"], pa.list_(pa.bool_())), "named": pa.array(out["named"], pa.list_(pa.string())), **same}
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.bool_(), pa.list_(pa.string()), pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())])))
-            names = [x.split()[0] for x in RESULT.replace("struct<start:long,end:long>", "s").split(", ")]
-            return {"doc_id": same["doc_id"], **{n: pa.array(list(v), t) for n, t, v in zip(names, kinds, zip(*rows, strict=True), strict=True)}}
+                rows.append(of(text, hit, sorted(items.union(named or ()))))
+            made = {name: pa.array(list(values), kind) for (name, _, kind), values in zip(fields, zip(*rows, strict=True), strict=True)}
+            return {c: batch.column(c) for c in kept} | made
 
         return work
 
-    columns = ["seen", "named", "doc_id", "text"]
-    schema = f"doc_id {kind}, {RESULT}" if last else f"seen array<boolean>, named array<string>, doc_id {kind}, text string"
-    inner = state.select(*columns, *(["row"] if carry else []))
-    out = arrow_pass(inner, {c: F.col(c) for c in (*columns, *(["row"] if carry else []))}, make if not carry else _with_row(make), schema + (", row " + inner.schema["row"].dataType.simpleString() if carry else ""))
-    return out
-
-
-def _with_row(make):
-    """Hands column ``row`` through."""
-
-    def made():
-        work = make()
-        return lambda batch: work(batch) | {"row": batch.column(batch.schema.get_field_index("row"))}
-
-    return made
+    schema = ", ".join([f"{c} {ddl(state.schema[c].dataType)}" for c in kept] + [f"{name} {kind}" for name, kind, _ in fields])
+    return arrow_pass(state, {c: F.col(c) for c in state.columns}, make, schema)
