@@ -101,8 +101,9 @@ def fit_rows(rows: np.ndarray, labels: np.ndarray, dimensions: int, neighbours:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 4096, dimensions: int = 32, neighbours: int = 25, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> Model:
     """The model of at most ``sample`` labelled rows."""
     marked = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("double").alias("mark")).dropna().where(crc_mod("doc_id", 4) != 2)
-    picked = marked.orderBy(F.xxhash64("doc_id"), "doc_id", "mark").limit(sample)
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "doc_id")
+    # Rows that repeat an identifier are one: their mean label, and the first of their texts.
+    picked = marked.groupBy("doc_id").agg(F.avg("mark").alias("mark")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "doc_id").groupBy("doc_id", "mark").agg(F.min("text").alias("text"))
 
     def make():
         def work(batch: pa.RecordBatch) -> dict[str, pa.Array]:
@@ -112,7 +113,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = 4096, dimensions: int
 
     kind = texts.schema["doc_id"].dataType.simpleString()
     inputs = {"doc_id": F.col("doc_id"), "mark": F.col("mark"), "text": F.col("text")}
-    found = sorted(arrow_pass(texts, inputs, make, f"doc_id {kind}, mark double, terms binary").collect(), key=lambda r: (r[0], r[1], bytes(r[2])))[: 2 * sample]
+    found = sorted(arrow_pass(texts, inputs, make, f"doc_id {kind}, mark double, terms binary").collect(), key=lambda r: (r[0], r[1]))
     rows = np.array([np.frombuffer(r["terms"], np.float16) for r in found], np.float32).reshape(len(found), TERMS)
     return fit_rows(rows, np.array([r["mark"] for r in found]), dimensions, neighbours)
 

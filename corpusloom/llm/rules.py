@@ -178,11 +178,12 @@ def verdict(rules: list[Rule]) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = 4096, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> list[Rule]:
     """Rules from at most ``sample`` labelled rows; their statistics alone come to the driver."""
     marked = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).alias("mark")).dropna().where(crc_mod("doc_id", 4) != 2)
-    picked = marked.orderBy(F.xxhash64("doc_id"), "doc_id", "mark").limit(sample)
-    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "doc_id")
+    # Rows that repeat an identifier are one: their mean label, and the first of their texts.
+    picked = marked.groupBy("doc_id").agg(F.avg("mark").alias("mark")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    texts = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).join(F.broadcast(picked), "doc_id").groupBy("doc_id", "mark").agg(F.min("text").alias("text"))
     stats = statistics(texts.select(F.struct("doc_id", "mark").alias("key"), "text"), "key", "text")
     rows = stats.select("doc_id.*", *[F.expr(v).alias(k) for k, v in RATIOS.items()]).orderBy(F.xxhash64("doc_id"), "doc_id", "mark").collect()
-    return learn([({k: float(r[k]) for k in RATIOS}, r["mark"] == 0) for r in rows])
+    return learn([({k: float(r[k]) for k in RATIOS}, r["mark"] < 0.5) for r in rows])
 
 
 def judge(docs: DataFrame, labels: DataFrame, sample: int = 4096, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality") -> DataFrame:

@@ -144,6 +144,18 @@ def test_quality_vote(spark):
     assert 0 <= rows[900]["score"] <= 1 and rows[900]["score"] == rows[901]["score"]
 
 
+def test_repeated_labels_count_once(spark):
+    """One identifier with most of the rows, of labels and of documents, is one labelled row."""
+    df, labels, n = labelled(spark)
+    many = documents(spark, ["the and stone river walks " * 12] * 50, [1] * 50)
+    again = labels.unionByName(spark.createDataFrame([(1, 1, 0)] * 600, labels.schema))
+    model = quality.fit(df.unionByName(many), again, sample=100)
+    assert len(model.vectors) == 100
+    rows = quality.score(df, model).collect()
+    assert all(r["predicted"] == int(r["doc_id"] % 4 > 0) for r in rows if r["doc_id"] < n)
+    assert rules.fit(df.unionByName(many), again) != []
+
+
 def test_votes_are_exact():
     rng = np.random.default_rng(0)
     rows, labels = rng.random((50, quality.TERMS)).astype(np.float32), rng.integers(0, 2, 50)
