@@ -204,6 +204,23 @@ def count_words(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(run, "word string, k int, n long").groupBy("word").agg(F.min("k").alias("k"), F.sum("n").alias("c"))
 
 
+def frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int, int]]:
+    """The most frequent words, in order: those above a count that at most ``most`` words reach.
+
+    A histogram of counts on a logarithmic scale, of bounded size, gives that count, so no task sends more to
+    the driver than its part of the result.
+    """
+    scale = F.floor(F.log2("c") * 64)
+    level, held = 0, 0
+    for r in sorted(counts.where(F.col("c") >= LEAST).groupBy(scale.alias("at")).agg(F.count("*").alias("n")).collect(), reverse=True):
+        held += r["n"]
+        if held > most:
+            level = r["at"] + 1
+            break
+    rows = counts.where((F.col("c") >= LEAST) & (scale >= level)).collect()
+    return sorted(((r["word"].encode(), r["k"], r["c"]) for r in rows), key=lambda x: (-x[2], x[0]))
+
+
 def doc_kinds(docs: list[np.ndarray], words: int, rounds: int = 12) -> np.ndarray:
     """For each frequent word the kind of document that it is most typical of.
 
@@ -320,7 +337,7 @@ def score(docs: DataFrame, sample_docs: int = 2000, steps: int = 400, vocabulary
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(crc_mod(id_col, 10) == 0, F.lit(False)).alias("held_out"))
     counts = materialize(count_words(rows.where("not held_out")), "counts")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = [(r["word"].encode(), r["k"], r["c"]) for r in counts.where(F.col("c") >= LEAST).orderBy(F.desc("c"), "word").limit(vocabulary).collect()]
+    top = frequent(counts, vocabulary)
     tail = np.zeros((TAIL, 2))
     for r in counts.groupBy("k").agg(F.sum("c").alias("c"), F.count_if(F.col("c") == 1).alias("once")).collect():
         tail[r["k"]] = r["c"], r["once"]
