@@ -8,9 +8,11 @@ its class, by the corpus counts: a softmax whose logits are the logarithms of co
 token is left out.  Each tail class keeps the share of its words seen once for unknown words (Good and Turing's
 estimate), all unknown words of a class being one outcome, and probabilities add up to one.
 
-The network (numpy, a GRU) is trained on the driver by truncated backpropagation over windows of the
-``sample_docs`` training documents of the smallest identifier hashes; its class biases start from the counts
-of all.  Documents are scored whole: a worker runs many side by side in windows, carries each one's state from
+The network is a GRU in numpy, trained by truncated backpropagation.  It starts from the counts of all in its
+class biases and from some steps on the driver over the ``sample_docs`` training documents of the smallest
+identifier hashes, which settle what words are typical of.  Then the tasks of the whole corpus each go on
+from there over one in ``SHARE`` of their training documents, by the hash of the identifier, so that training
+grows with the corpus; what they reach is averaged by tokens, in a tree.  Documents are scored whole: a worker runs many side by side in windows, carries each one's state from
 window to window, and fills places that become free.
 
 Tail words are looked up by a join with the count table, which may be of any size; frequent words never reach
@@ -26,6 +28,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
@@ -44,6 +47,8 @@ HIDDEN = 32
 ALPHA = 0.1
 #: Distinct words that a counting task holds before it passes them on.
 HELD_WORDS = 400_000
+#: One in so many training documents refines the network, in streams of so many tokens, at a lower rate.
+SHARE, STREAMS, CHUNK, RATE = 8, 64, 64 * 24 * 16, 0.002
 #: Documents side by side, and steps of a window, while scoring.
 PLACES, WINDOW = 256, 32
 
@@ -108,6 +113,7 @@ class Network:
             "out": np.zeros((HIDDEN, CLASSES), np.float32),
             "bias": np.log(np.maximum(mass, 1e-9) / mass.sum()).astype(np.float32),
         }
+        self.moments: tuple[dict, dict, int] | None = None
 
     def states(self, x: np.ndarray, h: np.ndarray, keep: list | None = None) -> np.ndarray:
         """The states after each of the inputs x (steps x rows), from h; ``keep`` gets what backpropagation needs."""
@@ -160,27 +166,39 @@ class Network:
         g["inputs"][seen] = np.add.reduceat(np.concatenate(read)[order], first)
         return g, states[-1], loss
 
-    def train(self, streams: np.ndarray, targets: np.ndarray, steps: int = 400, window: int = 24, rate: float = 0.01) -> list[float]:
+    def train(self, streams: np.ndarray, targets: np.ndarray, steps: int = 400, window: int = 24, rate: float = 0.01, decay: bool = True) -> list[float]:
         """Adam over the windows of parallel streams (rows x tokens), in order; states are carried along."""
-        m = {k: np.zeros_like(v) for k, v in self.p.items()}
-        v = {k: np.zeros_like(x) for k, x in self.p.items()}
+        zeros = lambda: {k: np.zeros_like(x) for k, x in self.p.items()}
+        m, v, done = self.moments or (zeros(), zeros(), 0)
         h = np.zeros((len(streams), HIDDEN), np.float32)
         at, losses = 0, []
         for step in range(1, steps + 1):
             if at >= streams.shape[1]:
                 at, h = 0, np.zeros_like(h)
             g, h, loss = self.gradients(streams[:, at : at + window].T, targets[:, at : at + window].T, h)
-            at += window
+            at, done = at + window, done + 1
             norm = math.sqrt(sum(float((x * x).sum()) for x in g.values()))
-            now = rate * min(1.0, 2 * (1 - step / (steps + 1)))
+            now = rate * (min(1.0, 2 * (1 - step / (steps + 1))) if decay else min(1.0, done / 20))
             for k, x in g.items():
                 x *= min(1.0, 1.0 / max(norm, 1e-9))
                 m[k] = 0.9 * m[k] + 0.1 * x
                 v[k] = 0.99 * v[k] + 0.01 * x * x
-                self.p[k] -= now * (m[k] / (1 - 0.9**step)) / (np.sqrt(v[k] / (1 - 0.99**step)) + 1e-7)
+                self.p[k] -= now * (m[k] / (1 - 0.9**done)) / (np.sqrt(v[k] / (1 - 0.99**done)) + 1e-7)
             losses.append(loss)
+        self.moments = (m, v, done)
         return losses
 
+    def packed(self) -> bytes:
+        return b"".join(self.p[k].astype("<f4").tobytes() for k in sorted(self.p))
+
+    def unpacked(self, data: bytes) -> Network:
+        """A network of the same shape with other parameters."""
+        out, flat, at = Network(np.ones(CLASSES)), np.frombuffer(data, "<f4"), 0
+        for k in sorted(self.p):
+            out.p[k] = flat[at : at + self.p[k].size].reshape(self.p[k].shape).astype(np.float32)
+            at += self.p[k].size
+        return out
+
 
 def count_words(texts: DataFrame) -> DataFrame:
     """``word``, its tail class and its count over ``text``; each document ends with an empty word."""
@@ -268,7 +286,7 @@ def tables_of(top: list[tuple[bytes, int, int]], tail_counts: np.ndarray, total:
     return out
 
 
-def streams_of(docs: list[list[bytes]], tables: Tables, rows: int = 64) -> tuple[np.ndarray, np.ndarray]:
+def streams_of(docs: list[list[bytes]], tables: Tables, rows: int = STREAMS) -> tuple[np.ndarray, np.ndarray]:
     """Documents end to end, dealt to parallel streams: inputs and target classes."""
     x, y = [], []
     for d in docs:
@@ -282,6 +300,50 @@ def streams_of(docs: list[list[bytes]], tables: Tables, rows: int = 64) -> tuple
     return flat_x[: rows * length].reshape(rows, length), flat_y[: rows * length].reshape(rows, length)
 
 
+def refined(rows: DataFrame, network: Network, tables: Tables, fan: int = 16) -> Network:
+    """The mean of what each task's share of the training documents makes of the network.
+
+    A task holds one stretch of tokens at a time; parameters, under 1 MB a task, meet ``fan`` at a time.
+    """
+    sent = rows.sparkSession.sparkContext.broadcast((network.packed(), tables))
+    some = rows.where("not held_out").where(F.pmod(F.xxhash64("doc_id"), F.lit(SHARE)) == 0)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        data, tables = sent.value
+        own, seen, held, size = Network(np.ones(CLASSES)).unpacked(data), 0, [], 0
+
+        def learn() -> None:
+            x, y = streams_of(held, tables)
+            own.train(x, y, -(-x.shape[1] // 24), 24, RATE, decay=False)
+
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                held.append(words_of(text))
+                size += len(held[-1]) + 1
+                if size >= CHUNK:
+                    learn()
+                    seen, held, size = seen + size, [], 0
+        if size:
+            learn()
+            seen += size
+        if seen:
+            yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int64()), "tokens": [float(seen)], "data": pa.array([own.packed()], pa.binary())})
+
+    def mean(pdf: pd.DataFrame) -> pd.DataFrame:
+        tokens = pdf["tokens"].to_numpy()
+        flat = sum(w * np.frombuffer(d, "<f4").astype(np.float64) for w, d in zip(tokens / tokens.sum(), pdf["data"], strict=True))
+        return pd.DataFrame({"part": [pdf["part"].iloc[0] // fan], "tokens": [tokens.sum()], "data": [flat.astype("<f4").tobytes()]})
+
+    schema = "part long, tokens double, data binary"
+    parts = materialize(some.select("text").mapInArrow(run, schema), "parameters")
+    last = parts.agg(F.max("part")).first()[0]
+    while last:
+        parts = materialize(parts.groupBy(F.floor(F.col("part") / fan)).applyInPandas(mean, schema), "parameters")
+        last //= fan
+    found = parts.select("data").collect()
+    return network.unpacked(bytes(found[0]["data"])) if found else network
+
+
 class Scorer:
     """Runs documents side by side, each through all its windows."""
 
@@ -321,14 +383,13 @@ class Scorer:
             logs = self.network.log_classes(states).reshape(steps, len(active), CLASSES)
             picked = np.take_along_axis(logs, y.T[:, :, None], 2)[:, :, 0].astype(np.float64)
             picked *= np.arange(steps)[:, None] < np.array(lengths)
-            for j, (i, n, s) in enumerate(zip(active, lengths, picked.sum(axis=0).tolist(), strict=True)):
+            for i, n, s in zip(active, lengths, picked.sum(axis=0).tolist(), strict=True):
                 self.total[i] += s
                 self.at[i] += n
                 if self.at[i] >= len(self.x[i]):
                     yield self.key[i], self.total[i]
                     self.x[i] = None
                     busy -= 1
-                del j
 
 
 def score(docs: DataFrame, sample_docs: int = 2000, steps: int = 400, vocabulary: int = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -349,6 +410,8 @@ def score(docs: DataFrame, sample_docs: int = 2000, steps: int = 400, vocabulary
     network = Network(tables.mass)
     if sample:
         network.train(*streams_of(sample, tables), steps)
+        network = refined(rows, network, tables)
+    network.moments = None
     scored = materialize(_scored(rows, network, tables), "scored")
     unknown = math.log10(ALPHA / (total + ALPHA * (distinct + 1)))
     return _with_tail(scored, counts, tables, unknown, total, distinct)
