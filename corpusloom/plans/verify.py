@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.tables import kept
+
 #: Steps that a reported outcome may take from one attempt to the next (fixed values).
 ALLOWED = [("not-attempted", "skipped"), ("not-attempted", "failed"), ("not-attempted", "applied"), ("failed", "applied"), ("applied", "already-applied")]
 
@@ -78,15 +80,17 @@ def coverage(plan: DataFrame, states: DataFrame, outcomes: DataFrame, applied: D
     observation; ``applied``: the actions that manifests say were applied.
     """
     row = lambda df, check, detail: df.select("action_id", F.lit(check).alias("check"), detail.alias("detail"))
+    # Read many times below: what an action's evidence comes to is worked out once.
+    states = kept(states, "states")
     repeated = row(plan.groupBy("action_id").count().where("count > 1"), "coverage", F.lit("planned twice"))
     open_ = states.where("state NOT IN ('applied', 'failed')")
     unfinished = row(open_, "coverage", F.concat(F.lit("lifecycle is "), F.col("state")))
     doubled = row(outcomes.groupBy("attempt", "action_id").count().where("count > 1"), "coverage", F.concat(F.lit("reported twice in "), F.col("attempt").cast("string")))
-    once = outcomes.groupBy("attempt", "action_id").agg(F.min_by("observation", F.col("line")).alias("observation"))
+    once = kept(outcomes.groupBy("attempt", "action_id").agg(F.min_by("observation", F.col("line")).alias("observation")), "once")
     claims = once.where("observation IN ('applied', 'already-applied')").join(applied, "action_id", "left_anti")
     unfounded = row(claims, "coverage", F.concat(F.lit("claims without record: "), F.col("observation")))
     trusted = once.join(claims.select("attempt", "action_id"), ["attempt", "action_id"], "left_anti")
-    final = report_states(trusted)
+    final = kept(report_states(trusted), "final")
     illegal = row(final.where("illegal <> ''"), "coverage", F.concat(F.lit("illegal steps: "), F.col("illegal")))
     expected = F.when(F.col("m").isin("applied", "pending-restore", "restored", "restore-failed"), F.lit("applied")).when(F.col("m") == "failed", F.lit("failed"))
     both = final.join(states.select("action_id", F.col("state").alias("m")), "action_id")
