@@ -87,13 +87,23 @@ class Model:
         return out
 
 
+def leading(rows: np.ndarray, dimensions: int, rounds: int = 6) -> np.ndarray:
+    """The leading right singular directions of rows, by subspace iteration."""
+    k = min(dimensions, *rows.shape)
+    start = np.random.default_rng(0).normal(size=(rows.shape[1], min(k + 16, *rows.shape)))
+    basis = np.linalg.qr(start)[0]
+    for _ in range(rounds):
+        basis = np.linalg.qr(rows.T @ (rows @ basis))[0]
+    _, turn = np.linalg.eigh((found := rows @ basis).T @ found)
+    return (basis @ turn)[:, ::-1][:, :k]
+
+
 def fit_rows(rows: np.ndarray, labels: np.ndarray, dimensions: int, neighbours: int) -> Model:
     if not len(rows):
         return Model(np.zeros(TERMS, np.float32), np.zeros((TERMS, 1), np.float32), np.zeros((0, 1), np.float32), labels, 0.5, neighbours)
     mean = rows.mean(axis=0)
     centred = (rows - mean).astype(np.float64)
-    _, directions = np.linalg.eigh(centred.T @ centred)
-    model = Model(mean, directions[:, ::-1][:, :dimensions].astype(np.float32), np.zeros((0, 1), np.float32), labels.astype(np.float64), float(labels.mean()), neighbours)
+    model = Model(mean, leading(centred, dimensions).astype(np.float32), np.zeros((0, 1), np.float32), labels.astype(np.float64), float(labels.mean()), neighbours)
     model.vectors = model.project(rows)
     return model
 
