@@ -18,15 +18,34 @@ import re
 
 import numpy as np
 
-#: Pieces remembered per worker, about 100 MB; beyond it pieces are encoded each time.
-REMEMBER = 500_000
+#: Words and pieces remembered per worker, some 120 MB each; beyond them they are encoded each time.
+WORDS, PIECES = 600_000, 700_000
+#: Letters of European alphabets that are alike in every normal form, and their lower case one letter.
+LETTER = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e"
+#: Words and pieces whose pre-tokens the two patterns below find as the library does.
+PLAIN = re.compile(f" ?[!-~{LETTER}]+")
 
 #: White space other than the ASCII space and newline, as either library sees it.
 ODD_SPACE = re.compile("[\\t\\r\\x0b\\x0c\\x1c-\\x1f\\x85\\xa0\\u1680\\u2000-\\u200a\\u2028\\u2029\\u202f\\u205f\\u3000]")
+#: White space that isn't one character between two words.
+RUNS = re.compile(r"[ \n](?:[ \n]|\Z)|\A[ \n]")
 CHUNK = re.compile(r" ?[^ \n]+|[ \n]+(?![^ \n])|[ \n]+")
-#: The two pre-tokenizers' own patterns, for chunks of ASCII alone (fixed by the vocabulary files).
-WORD_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[a-z]+|[0-9]|[^\sa-z0-9]+")
-BYTE_PIECE = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d| ?[A-Za-z]+| ?[0-9]+| ?[^\sA-Za-z0-9]+|\s+(?!\S)|\s+")
+#: The two pre-tokenizers' own patterns, for plain words (fixed by the vocabulary files).
+WORD_PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{LETTER}]+|[0-9]|[^\\s0-9{LETTER}]+")
+BYTE_PIECE = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d| ?[{LETTER}]+| ?[0-9]+| ?[^\\s0-9{LETTER}]+|\\s+(?!\\S)|\\s+")
+
+
+def _byte_letters() -> list[str]:
+    """The character that stands for each byte in byte-level vocabularies: itself if it prints, else one from 256 on."""
+    out, free = [], 256
+    for b in range(256):
+        prints = 33 <= b <= 126 or 161 <= b <= 172 or b >= 174
+        out.append(chr(b) if prints else chr(free))
+        free += not prints
+    return out
+
+
+BYTE_LETTER = _byte_letters()
 
 _encoders: dict[str, Encoder] = {}
 
@@ -34,12 +53,12 @@ _encoders: dict[str, Encoder] = {}
 class _Memo(dict):
     """Missing keys are computed, and remembered up to a bound."""
 
-    def __init__(self, make):
-        self.make = make
+    def __init__(self, make, most: int):
+        self.make, self.most = make, most
 
     def __missing__(self, key):
         value = self.make(key)
-        if len(self) < REMEMBER:
+        if len(self) < self.most:
             self[key] = value
         return value
 
@@ -55,8 +74,10 @@ class Encoder:
             spec = json.load(f)
         self.width = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.scheme = self._scheme(spec)
-        self.pieces = _Memo(self._encode)
-        self.words = _Memo(self._by_piece)
+        self.model = self.tokenizer.model
+        self.pieces = _Memo(self._piece, PIECES)
+        self.words = _Memo(self._by_piece, WORDS)
+        self.spaced = _Memo(lambda word: self._by_piece(" " + word), WORDS)
 
     @staticmethod
     def _scheme(spec: dict) -> str:
@@ -68,10 +89,15 @@ class Encoder:
         return "word" if steps == ["NFC", "Replace", "Lowercase"] and cuts == ["Split", "ByteLevel"] else "whole"
 
     def _encode(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.width).tobytes()
+        return b"" if not text else np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, self.width).tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        """A plain pre-token goes to the library's model as it is, but for its bytes' letters."""
+        spelt = piece if piece.isascii() and piece[0] != " " else "".join(map(BYTE_LETTER.__getitem__, piece.encode()))
+        return np.array([t.id for t in self.model.tokenize(spelt)], self.width).tobytes()
 
     def _by_piece(self, word: str) -> bytes:
-        if not word.isascii():
+        if not PLAIN.fullmatch(word):
             return self._encode(word)
         found = WORD_PIECE.findall(word.lower()) if self.scheme == "word" else BYTE_PIECE.findall(word)
         return b"".join(map(self.pieces.__getitem__, found))
@@ -82,8 +108,18 @@ class Encoder:
             return np.empty(0, self.width)
         if self.scheme == "whole" or ODD_SPACE.search(text):
             return np.frombuffer(self._encode(text), self.width)
-        words = text.replace("\n", " ").split(" ") if self.scheme == "word" else CHUNK.findall(text)
-        return np.frombuffer(b"".join(map(self.words.__getitem__, words)), self.width)
+        if self.scheme == "word":
+            found = map(self.words.__getitem__, text.replace("\n", " ").split(" "))
+        elif RUNS.search(text):
+            found = map(self.words.__getitem__, CHUNK.findall(text))
+        else:  # single spaces and newlines between words: spaces belong to what follows
+            found = []
+            for i, line in enumerate(text.split("\n")):
+                first, *rest = line.split(" ")
+                found += [self.words["\n"]] * (i > 0)
+                found.append(self.words[first])
+                found.extend(map(self.spaced.__getitem__, rest))
+        return np.frombuffer(b"".join(found), self.width)
 
 
 def encoder(path: str) -> Encoder:

@@ -181,7 +181,7 @@ def test_quality_without_labels(spark):
 def test_encoder_is_the_library(name):
     e = Encoder(vocabulary(name))
     rng = random.Random(2)
-    pool = [*"abcA Z09'.,!\n\t éßñ你<|>sdtm", "<|endoftext|>", "'s", " re", "\n\n", "́", " "]
+    pool = [*"abcA Z09'.,!\n\t éßñ你<|>sdtmÀÿřŽ×÷ªµİŉſŁ²_ǅΣς", "<|endoftext|>", "'s", " re", "\n\n", "́", " "]
     texts = ["", " ", "\n", "a\n\nb", *("".join(rng.choice(pool) for _ in range(rng.randint(0, 40))) for _ in range(1500))]
     assert [e.ids(t).tolist() for t in texts] == [x.ids for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
 
