@@ -11,8 +11,7 @@ estimate), all unknown words of a class being one outcome, and probabilities add
 The network is a GRU in numpy, trained by truncated backpropagation.  It starts from the counts of all in its
 class biases and from some steps on the driver over the ``sample_docs`` training documents of the smallest
 identifier hashes, which settle what words are typical of.  Then the tasks of the whole corpus each go on
-from there over one in ``SHARE`` of their training documents, by the hash of the identifier, so that training
-grows with the corpus; what they reach is averaged by tokens, in a tree.  Documents are scored whole: a worker runs many side by side in windows, carries each one's state from
+from there over all of their training documents; what they reach is averaged by tokens, in a tree.  Documents are scored whole: a worker runs many side by side in windows, carries each one's state from
 window to window, and fills places that become free.
 
 Tail words are looked up by a join with the count table, which may be of any size; frequent words never reach
@@ -47,8 +46,8 @@ HIDDEN = 32
 ALPHA = 0.1
 #: Distinct words that a counting task holds before it passes them on.
 HELD_WORDS = 400_000
-#: One in so many training documents refines the network, in streams of so many tokens, at a lower rate.
-SHARE, STREAMS, CHUNK, RATE = 8, 64, 64 * 24 * 16, 0.002
+#: Training documents refine the network in so many streams, so many tokens at a time, at a lower rate.
+STREAMS, CHUNK, RATE = 64, 64 * 24 * 16, 0.002
 #: Documents side by side, and steps of a window, while scoring.
 PLACES, WINDOW = 256, 32
 
@@ -301,12 +300,11 @@ def streams_of(docs: list[list[bytes]], tables: Tables, rows: int = STREAMS) ->
 
 
 def refined(rows: DataFrame, network: Network, tables: Tables, fan: int = 16) -> Network:
-    """The mean of what each task's share of the training documents makes of the network.
+    """The mean of what each task's training documents, all of them, make of the network.
 
     A task holds one stretch of tokens at a time; parameters, under 1 MB a task, meet ``fan`` at a time.
     """
     sent = rows.sparkSession.sparkContext.broadcast((network.packed(), tables))
-    some = rows.where("not held_out").where(F.pmod(F.xxhash64("doc_id"), F.lit(SHARE)) == 0)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, tables = sent.value
@@ -335,7 +333,7 @@ def refined(rows: DataFrame, network: Network, tables: Tables, fan: int = 16) ->
         return pd.DataFrame({"part": [pdf["part"].iloc[0] // fan], "tokens": [tokens.sum()], "data": [flat.astype("<f4").tobytes()]})
 
     schema = "part long, tokens double, data binary"
-    parts = materialize(some.select("text").mapInArrow(run, schema), "parameters")
+    parts = materialize(rows.where("not held_out").select("text").mapInArrow(run, schema), "parameters")
     last = parts.agg(F.max("part")).first()[0]
     while last:
         parts = materialize(parts.groupBy(F.floor(F.col("part") / fan)).applyInPandas(mean, schema), "parameters")

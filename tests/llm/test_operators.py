@@ -402,6 +402,18 @@ def test_scores(spark, docs):
     assert lm.score(df.limit(0)).count() == 0
 
 
+def test_every_training_document_refines(spark):
+    """Whatever its identifier: none is left out by its hash, the null one neither."""
+    docs, _, _, t = tables()
+    net = lm.Network(t.mass)
+    text = b" ".join(docs[0]).decode()
+    for i in (None, *range(8)):
+        rows = spark.createDataFrame([(i, text, False)], "doc_id long, text string, held_out boolean")
+        assert lm.refined(rows, net, t).packed() != net.packed(), i
+    rows = spark.createDataFrame([(1, text, True)], "doc_id long, text string, held_out boolean")
+    assert lm.refined(rows, net, t).packed() == net.packed()
+
+
 def tables(n=40, seed=0):
     rng = random.Random(seed)
     vocab = [f"w{k}".encode() for k in range(30)] + [b"rare.", "é".encode(), b"odd"]
