@@ -10,7 +10,8 @@ estimate), all unknown words of a class being one outcome, and probabilities add
 
 The network is a GRU in numpy, trained by truncated backpropagation.  It starts from the counts of all in its
 class biases and from some steps on the driver over the ``sample_docs`` training documents of the smallest
-identifier hashes, which settle what words are typical of.  Then the tasks of the whole corpus each go on
+identifier hashes, which also settle the centres of the kinds of documents; what kind a word is typical of is
+counted over all training documents, each of the kind of its nearest centre.  Then the tasks of the whole corpus each go on
 from there over all of their training documents; what they reach is averaged by tokens, in a tree.  Documents are scored whole: a worker runs many side by side in windows, carries each one's state from
 window to window, and fills places that become free.
 
@@ -238,15 +239,15 @@ def frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int, int]]:
     return sorted(((r["word"].encode(), r["k"], r["c"]) for r in rows), key=lambda x: (-x[2], x[0]))
 
 
-def doc_kinds(docs: list[np.ndarray], words: int, rounds: int = 12) -> np.ndarray:
-    """For each frequent word the kind of document that it is most typical of.
+def shares(ids: np.ndarray, top: int) -> np.ndarray:
+    """The roots of a document's shares of the ``top`` most frequent words."""
+    return np.sqrt(np.bincount(ids[(ids >= 0) & (ids < top)], minlength=top)[:top] / max(1, len(ids)))
 
-    Documents are clustered by their shares of the most frequent words (k-means from far-apart seeds).
-    """
-    if not docs or not words:
-        return np.zeros(words, np.int64)
+
+def doc_centres(docs: list[np.ndarray], words: int, rounds: int = 12) -> np.ndarray:
+    """Centres of documents by their shares of the most frequent words (k-means from far-apart seeds)."""
     top = min(256, words)
-    rows = np.array([np.sqrt(np.bincount(d[(d >= 0) & (d < top)], minlength=top)[:top] / max(1, len(d))) for d in docs])
+    rows = np.array([shares(d, top) for d in docs])
     centres = rows[[0]]
     while len(centres) < min(KINDS, len(rows)):
         apart = ((rows[:, None] - centres) ** 2).sum(axis=2).min(axis=1)
@@ -254,18 +255,91 @@ def doc_kinds(docs: list[np.ndarray], words: int, rounds: int = 12) -> np.ndarra
     for _ in range(rounds):
         kind = ((rows[:, None] - centres) ** 2).sum(axis=2).argmin(axis=1)
         centres = np.array([rows[kind == k].mean(axis=0) if (kind == k).any() else centres[k] for k in range(len(centres))])
-    counts = np.zeros((words, KINDS))
-    for d, k in zip(docs, kind.tolist(), strict=True):
-        np.add.at(counts[:, k], d[(d >= 0) & (d < words)], 1)
-    share = (counts + 0.01) / (counts.sum(axis=0) + 1)
-    return share.argmax(axis=1)
+    return centres
+
+
+class KindCounts:
+    """How often each frequent word, and the end word, occurs in documents of each kind, the nearest centre's."""
+
+    def __init__(self, centres: np.ndarray, number: dict[bytes, int]):
+        self.centres, self.number = centres, number
+        self.counts = np.zeros(len(number) * KINDS, np.int64)
+        self.held: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, words: list[bytes]) -> None:
+        ids = np.array([self.number.get(w, -1) for w in words], np.int64)
+        kind = int(((self.centres - shares(ids, self.centres.shape[1])) ** 2).sum(axis=1).argmin())
+        ends = [self.number[b""]] if b"" in self.number else []
+        self.held.append(np.concatenate([ids[ids >= 0], np.array(ends, np.int64)]) * KINDS + kind)
+        self.size += len(self.held[-1])
+        if self.size > len(self.counts):
+            self.flush()
+
+    def flush(self) -> None:
+        if self.held:
+            self.counts += np.bincount(np.concatenate(self.held), minlength=len(self.counts))
+        self.held, self.size = [], 0
+
+    def table(self) -> np.ndarray:
+        self.flush()
+        return self.counts.reshape(-1, KINDS)
+
+
+def typical(counts: np.ndarray) -> np.ndarray:
+    """For each word the kind of document that it is most typical of."""
+    return ((counts + 0.01) / (counts.sum(axis=0) + 1)).argmax(axis=1)
+
+
+def doc_kinds(docs: list[list[bytes]], number: dict[bytes, int]) -> np.ndarray:
+    """For each frequent word its kind, by these documents alone."""
+    if not docs or not number:
+        return np.zeros(len(number), np.int64)
+    found = KindCounts(doc_centres([np.array([number.get(w, -1) for w in d], np.int64) for d in docs], len(number)), number)
+    for d in docs:
+        found.add(d)
+    return typical(found.table())
 
 
-def tables_of(top: list[tuple[bytes, int, int]], tail_counts: np.ndarray, total: float, distinct: int, docs: list[list[bytes]]) -> Tables:
-    """Classes of the frequent words (word, tail class, count) in order, and what all counts say of them."""
+def corpus_kinds(rows: DataFrame, docs: list[list[bytes]], number: dict[bytes, int]) -> np.ndarray:
+    """For each frequent word its kind, by all training documents; ``docs`` give the centres alone.
+
+    A task sends a row of ``KINDS`` counts a frequent word, and the driver gets as many rows as there are words.
+    """
+    if not docs or not number:
+        return np.zeros(len(number), np.int64)
+    small_batches(rows.sparkSession)
+    centres = doc_centres([np.array([number.get(w, -1) for w in d], np.int64) for d in docs], len(number))
+    sent = rows.sparkSession.sparkContext.broadcast((centres, number))
+    names = [f"n{k}" for k in range(KINDS)]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = KindCounts(*sent.value)
+        for batch in batches:
+            for text in batch.column(0).to_pylist():
+                found.add(words_of(text))
+        table = found.table()
+        seen = np.flatnonzero(table.any(axis=1))
+        for at in range(0, len(seen), 1 << 14):
+            part = seen[at : at + (1 << 14)]
+            yield pa.RecordBatch.from_pydict({"word": pa.array(part, pa.int64())} | {n: pa.array(table[part, k], pa.int64()) for k, n in enumerate(names)})
+
+    schema = ", ".join(f"{n} long" for n in ["word", *names])
+    summed = rows.where("not held_out").select("text").mapInArrow(run, schema).groupBy("word").agg(*[F.sum(n).alias(n) for n in names]).toArrow()
+    counts = np.zeros((len(number), KINDS), np.int64)
+    counts[summed["word"].to_numpy()] = np.column_stack([summed[n].to_numpy() for n in names])
+    return typical(counts)
+
+
+def tables_of(top: list[tuple[bytes, int, int]], tail_counts: np.ndarray, total: float, distinct: int, docs: list[list[bytes]], kinds: np.ndarray | None = None) -> Tables:
+    """Classes of the frequent words (word, tail class, count) in order, and what all counts say of them.
+
+    The words' kinds are those given, or what ``docs`` say.
+    """
     out = Tables(number={w: i for i, (w, _, _) in enumerate(top)})
     c = np.array([n for _, _, n in top], np.float64)
-    kinds = doc_kinds([out.ids(d)[0] for d in docs], len(top))
+    if kinds is None:
+        kinds = doc_kinds(docs, out.number)
     # Bins hold about equal mass of each kind, the most frequent words first.
     bins = np.zeros(len(top), np.int64)
     for k in range(KINDS):
@@ -404,7 +478,8 @@ def score(docs: DataFrame, sample_docs: int = 2000, steps: int = 400, vocabulary
         tail[k] -= c, 0
     picked = rows.where("not held_out").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
     sample = [words_of(r["text"]) for r in rows.join(F.broadcast(picked), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(sample_docs).select("text").collect()]
-    tables = tables_of(top, tail, total, distinct, sample)
+    kinds = corpus_kinds(rows, sample, {w: i for i, (w, _, _) in enumerate(top)})
+    tables = tables_of(top, tail, total, distinct, sample, kinds)
     network = Network(tables.mass)
     if sample:
         network.train(*streams_of(sample, tables), steps)

@@ -414,6 +414,21 @@ def test_every_training_document_refines(spark):
     assert lm.refined(rows, net, t).packed() == net.packed()
 
 
+def test_kinds_come_from_all_training_documents(spark, monkeypatch):
+    """Words that the driver's few documents lack are of the kind of the documents that hold them."""
+    kept = []
+    monkeypatch.setattr(lm, "refined", lambda rows, network, tables: kept.append(tables) or network)
+    # Two kinds of documents by their frequent words; each has rare words too, spread so that few hold one.
+    texts = [f"{'left up ' * 20 if i % 2 else 'right down ' * 20}{'odd' if i % 2 else 'even'}{i // 2 % 60}" for i in range(600)]
+    lm.score(documents(spark, texts), sample_docs=20, steps=1)
+    t = kept[0]
+    kind = lambda w: t.class_of[t.number[w]] // lm.BINS
+    known = [i for i in range(60) if f"odd{i}".encode() in t.number and f"even{i}".encode() in t.number]
+    assert len(known) > 50
+    assert not {kind(f"odd{i}".encode()) for i in known} & {kind(f"even{i}".encode()) for i in known}
+    assert kind(b"left") != kind(b"right")
+
+
 def tables(n=40, seed=0):
     rng = random.Random(seed)
     vocab = [f"w{k}".encode() for k in range(30)] + [b"rare.", "é".encode(), b"odd"]
