@@ -12,8 +12,6 @@ from .facts import BOM_LENGTH
 
 #: Mappings that a block needs besides its title; the first holds the tool's own facts.
 FRONT_PARTS = ("normalizer", "source", "output")
-#: Bytes from the start of a file that detection looks at.
-HEAD_BYTES = 64 << 10
 
 #: As objects, since workers that import this have no session to parse types with.
 CHARSET = T.StructType([T.StructField("name", T.StringType()), T.StructField("confidence", T.DoubleType()), T.StructField("method", T.StringType())])
@@ -40,7 +38,7 @@ def best_charset(data: bytes) -> tuple[str, float] | None:
 
 @F.pandas_udf(CHARSET)
 def legacy_charset(content: pd.Series) -> pd.DataFrame:
-    found = [best_charset(bytes(c)[:HEAD_BYTES]) for c in content]
+    found = [best_charset(bytes(c)) for c in content]
     return pd.DataFrame({"name": [f and f[0] for f in found], "confidence": [f and f[1] for f in found], "method": ["charset-normalizer" if f else None for f in found]})
 
 

@@ -2,7 +2,7 @@
 
 import random
 
-from corpusloom.functions.detect import decoded, front_error
+from corpusloom.functions.detect import best_charset, decoded, front_error, legacy_charset
 from corpusloom.functions.facts import utf16_suspect, with_facts
 from pyspark.sql import functions as F
 
@@ -48,6 +48,16 @@ def test_decoding(spark):
     assert [tuple(r) for r in rows] == [("a", None), ("é", None), (None, 1), (None, -1), ("x", None)]
 
 
+def test_charsets_are_of_the_whole_content(spark):
+    """Bytes past the first 64 KiB decide too."""
+    head = "caf\xe9 au lait, d\xe9j\xe0 vu. ".encode("cp1252") * 3000
+    data = [head, head + b"\x81\x8d\x8f\x90\x9d" * 3]
+    assert len(head) > 64 << 10 and best_charset(data[0]) != best_charset(data[1])
+    df = spark.createDataFrame([(i, bytearray(b)) for i, b in enumerate(data)], "i int, content binary")
+    rows = df.select("i", legacy_charset("content").alias("d")).orderBy("i").select("d.name", "d.confidence").collect()
+    assert [tuple(r) for r in rows] == [best_charset(b) or (None, None) for b in data]
+
+
 def test_front_errors():
     good = "title: t\nnormalizer: {}\nsource: {}\noutput: {}\ndate: 2024-01-01"
     assert front_error(good) is None and front_error(None) is None
