@@ -100,7 +100,7 @@ def fct12(spark, sf_dir):
 @query("flt05_utf16_suspect")
 def flt05(spark, sf_dir):
     """UTF-16 without a mark, against bytes with odd NULs."""
-    x = F.left("x", F.lit(400))
+    x = F.col("x")
     content = F.when(F.col("doc_id") % 3 == 0, F.encode(x, "UTF-16LE")).when(F.col("doc_id") % 3 == 1, F.encode(x, "UTF-16BE")).otherwise(F.concat(F.encode(x, "UTF-8"), F.unhex(F.lit("0000"))))
     return dirty_docs(spark, sf_dir).select("doc_id", X.utf16_suspect(content).alias("suspect"))
 

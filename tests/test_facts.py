@@ -41,6 +41,30 @@ def test_utf16_suspicion(spark):
     assert found[:2] == [True, True] and found[3] is False
 
 
+def documents(spark, tmp_path, texts):
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    return str(tmp_path)
+
+
+def test_utf16_suspicion_is_of_whole_texts(spark, tmp_path):
+    """Letters past the first 400 decide too, and short texts have rows."""
+    from corpusloom.queries import QUERIES
+
+    texts = ["a" * 400 + "\u6f22" * 5000] * 6 + ["", "a", "ab", "plain text"] + ["\u6f22" * 400 + "a" * 5000] * 6
+    found = {r["doc_id"]: r["suspect"] for r in QUERIES["flt05_utf16_suspect"](spark, documents(spark, tmp_path, texts)).collect()}
+
+    def suspect(b):
+        even, odd = b[::2].count(0), b[1::2].count(0)
+        return len(b) >= 4 and 4 * (even + odd) >= len(b) and 10 * max(even, odd) >= 9 * (even + odd)
+
+    def dirty(i, t):
+        return t + {0: "\n", 3: "\ntail"}.get(i % 8, "") if i % 8 != 6 else "\t " + t
+
+    encode = [lambda x: x.encode("utf-16-le"), lambda x: x.encode("utf-16-be"), lambda x: x.encode() + b"\0\0"]
+    assert found == {i: suspect(encode[i % 3](dirty(i, t))) for i, t in enumerate(texts)}
+    assert not any(found[i] for i in range(6)) and found[10] and found[12]
+
+
 def test_decoding(spark):
     data = [(b"\xef\xbb\xbfa", "utf-8", "utf-8"), ("é".encode("cp1252"), None, "cp1252"), (b"a\xff", None, "utf-8"), (b"a", None, "no-codec"), (b"\xff\xfe\x00\x00" + "x".encode("utf-32-le"), "utf-32-le", "utf-32-le")]
     df = spark.createDataFrame([(i, bytearray(b), m, n) for i, (b, m, n) in enumerate(data)], "i int, c binary, m string, n string").repartition(1)
