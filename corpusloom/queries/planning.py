@@ -104,7 +104,7 @@ def flt07_legacy(spark, sf_dir):
     """Codecs that Spark lacks, decoded strictly; beyond SQL."""
     from ..functions.detect import decoded
 
-    docs = table(spark, sf_dir, "documents").where("doc_id % 3 = 0").select("doc_id", F.encode("text", "UTF-8").alias("c"), F.when(F.col("doc_id") % 2 == 0, F.lit("cp1252")).otherwise(F.lit("utf-8")).alias("name"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.encode("text", "UTF-8").alias("c"), F.when(F.col("doc_id") % 2 == 0, F.lit("cp1252")).otherwise(F.lit("utf-8")).alias("name"))
     rows = docs.select("doc_id", decoded("c", F.lit(None).cast("string"), "name").alias("d"))
     return rows.select("doc_id", F.sha2("d.text", 256).alias("digest"), "d.error_at")
 

@@ -65,6 +65,15 @@ def test_utf16_suspicion_is_of_whole_texts(spark, tmp_path):
     assert not any(found[i] for i in range(6)) and found[10] and found[12]
 
 
+def test_legacy_queries_take_every_document(spark, tmp_path):
+    from corpusloom.queries import QUERIES
+
+    data = documents(spark, tmp_path, ["caf\xe9 d\xe9j\xe0 vu " * 9] * 12)
+    rows = {r["doc_id"]: r["error_at"] for r in QUERIES["flt07_legacy_decode"](spark, data).collect()}
+    assert rows == dict.fromkeys(range(12))
+    assert {r["doc_id"] for r in QUERIES["fct11_legacy_charset"](spark, data).collect()} == set(range(12))
+
+
 def test_decoding(spark):
     data = [(b"\xef\xbb\xbfa", "utf-8", "utf-8"), ("é".encode("cp1252"), None, "cp1252"), (b"a\xff", None, "utf-8"), (b"a", None, "no-codec"), (b"\xff\xfe\x00\x00" + "x".encode("utf-32-le"), "utf-32-le", "utf-32-le")]
     df = spark.createDataFrame([(i, bytearray(b), m, n) for i, (b, m, n) in enumerate(data)], "i int, c binary, m string, n string").repartition(1)
