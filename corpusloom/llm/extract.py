@@ -3,8 +3,8 @@
 A page is cut into blocks of text, each under a root-to-leaf path of block-level tags with their classes.
 Per path the text outside links and the punctuation are added up and divided by the times that it occurs; the
 two ratios are smoothed over the blocks in page order, fused, and paths over a threshold hold content.  The
-content region is an article or main element where the page has one with content, else the smallest element
-that holds most of what the chosen paths hold; everything in it belongs to the article, headings and short
+content region is the article elements, or else the main elements, if they hold most of what the chosen paths
+hold; else the smallest element that does; everything in it belongs to the article, headings and short
 paragraphs too, but for what can't be its text: navigation, headers and footers of the page, sidebars,
 notices, adverts, forms, scripts, styles, reader comments, and, where no element is named the article, lists of
 links.
@@ -48,6 +48,8 @@ ARTICLE = set("article content entry main post story".split())
 CLOSES = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}, "thead": {"tr", "td", "th"}, "tbody": {"tr", "td", "th", "thead"}, "tfoot": {"tr", "td", "th", "tbody"}}
 #: Elements that an implied end doesn't reach across.
 WALLS = {"table", "ul", "ol", "dl", "article", "section", "div", "main", "body", "blockquote", "select", "td", "th"}
+#: Part of the chosen paths' text that named elements hold if they are the content region.
+MOST = 0.5
 PUNCTUATION = re.compile(r"[.,;:!?¡¿。、，]")
 
 
@@ -91,8 +93,13 @@ def _element(tag: str, attributes: str, parent: int, elements: list[Element]) ->
 
 
 def _up(i: int, elements: list[Element]):
+    return (elements[j] for j in _above(i, elements))
+
+
+def _above(i: int, elements: list[Element]):
+    """An element and those around it, by number."""
     while i >= 0:
-        yield elements[i]
+        yield i
         i = elements[i].parent
 
 
@@ -228,12 +235,9 @@ def content_blocks(blocks: list[Block], elements: list[Element]) -> list[Block]:
         while i >= 0:
             inside[i] += len(b.text) - b.linked
             i = elements[i].parent
-    articles = {i for i, e in enumerate(elements) if e.article and (inside.get(i) or any(_within(b.element, i, elements) for b in free))}
-    if articles:
-        inner = {i for i in articles if elements[i].tag == "article"}
-        regions = inner or articles
-        title = lambda b: elements[b.element].tag == "h1" and any(_within(b.element, i, elements) for i in articles)
-        return [b for b in free if title(b) or any(_within(b.element, i, elements) for i in regions)]
+    if regions := named_regions(free, chosen, inside, elements):
+        title = lambda b: elements[b.element].tag == "h1" and any(elements[i].article for i in _above(b.element, elements))
+        return [b for b in free if title(b) or any(i in regions for i in _above(b.element, elements))]
     total, region = inside.get(0, 0.0), 0
     while True:
         below = [i for i in inside if elements[i].parent == region and inside[i] >= 0.75 * total and i != region]
@@ -246,12 +250,26 @@ def content_blocks(blocks: list[Block], elements: list[Element]) -> list[Block]:
     return [b for b in out if b.linked < 0.8 * len(b.text) or elements[b.element].tag in ("p", "h1", "h2", "h3")]
 
 
+def named_regions(free: list[Block], chosen: list[Block], inside: dict[int, float], elements: list[Element]) -> set[int]:
+    """The article elements, else the main elements, that hold most of the chosen paths' text; none if neither do.
+
+    Where no text is chosen, any with a block will do.
+    """
+    total = inside.get(0, 0.0)
+    for tags in (lambda e: e.tag == "article", lambda e: True):
+        named = {i for i, e in enumerate(elements) if e.article and tags(e)}
+        if total:
+            held = sum(len(b.text) - b.linked for b in chosen if any(i in named for i in _above(b.element, elements)))
+            found = {i for i in named if inside.get(i)} if held >= MOST * total else set()
+        else:
+            found = {i for b in free for i in _above(b.element, elements) if i in named}
+        if found:
+            return found
+    return set()
+
+
 def _within(i: int, region: int, elements: list[Element]) -> bool:
-    while i >= 0:
-        if i == region:
-            return True
-        i = elements[i].parent
-    return False
+    return region in _above(i, elements)
 
 
 def main_text(page: str | None) -> str:

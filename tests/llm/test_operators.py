@@ -113,6 +113,17 @@ def test_extraction(body):
     assert extract.main_text(PAGE % body) == WANTED
 
 
+def test_small_articles_are_not_the_text():
+    """A teaser in an article element doesn't stand for a page whose text is elsewhere."""
+    whole = "".join(f"<p>Part {i} of the text, which is long enough, and has its marks.</p>" for i in range(9))
+    wanted = [f"Part {i} of the text, which is long enough, and has its marks." for i in range(9)]
+    teaser = "<article><p>A teaser, short.</p></article>"
+    for body in (f"<main><div>{whole}</div><div class=more>{teaser}</div></main>", f"<div id=wrap><div>{whole}</div>{teaser}</div>", f"{teaser}<div>{whole}</div>"):
+        got = extract.main_text(PAGE % body).split("\n\n")
+        assert [x for x in got if x in wanted] == wanted, body
+    assert extract.main_text(PAGE % f"<main><div><p>Other, words.</p></div><article>{whole}</article></main>").split("\n\n") == wanted
+
+
 def test_extraction_edges(spark):
     pages = spark.createDataFrame([(1, "u", None), (2, None, ""), (3, "u", "plain words, no tags."), (4, "u", "<p>cut off <a href='x"), (5, "u", "<script>never closed"), (5, "u", "<p>a</p>"), (6, "u", "<article><p>x &lt;y&gt; &am z")], "page_id long, url string, html string")
     got = rows_of(extract.extract(pages), "page_id", "url", "text", "n_chars")
