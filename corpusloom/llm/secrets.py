@@ -10,9 +10,9 @@ complementary parts occur:
   one needs an identifier (``ident`` or ``access``) too;
 * ``key40`` needs an identifier part.
 
-The linking is an interval join inside the row: parts are sorted by place, and since parts of a kind never
-overlap and have a least length, the parts that can lie within ``scope`` code points of one are a bounded
-stretch of the sorted list, which is looked through.
+The linking is an interval join inside the row: the places within ``scope`` code points of complementary parts
+are joined to disjoint stretches, of which a text has at most one per ``2 * scope`` code points, and a weak span
+is linked if it meets one.
 
 Places are code points.  Null and empty texts have no spans; rows are scanned on their own, so repeated rows
 and identifiers give repeated results; other columns are dropped unless ``carry``.
@@ -32,8 +32,6 @@ IDENT = r"""(?:(?i:user_?name|user_?id|client_?id|account_?id|login))["']?\x20*[
 KEY40 = r"[A-Za-z0-9+/]{40,}"
 ENDPOINT = r"(?:https?|jdbc:[a-z]+|postgres|postgresql|mysql|redis|mongodb|amqp)://[A-Za-z0-9._:@%-]+"
 ORDER = ("assign", "access", "hex", "ident", "key40", "endpoint")
-#: The shortest parts of the weak and strong kinds, for the bound on how many lie in a scope.
-LEAST = {"assign": 12, "access": 20, "hex": 24, "ident": 9, "key40": 40, "endpoint": 8}
 
 SPAN = "struct<start:bigint,`end`:bigint,kind:string>"
 
@@ -84,20 +82,34 @@ def found(text: Column, kind: str) -> Column:
     return _plain(spans)
 
 
+def _around(parts: Column, kinds: tuple[str, ...], scope: int) -> Column:
+    """The places within ``scope`` of sorted parts of these kinds, as disjoint stretches in order."""
+    wide = F.transform(F.filter(parts, lambda y: y["kind"].isin(*kinds)), lambda y: F.struct((y["start"] - scope).alias("start"), (y["end"] + scope).alias("end")))
+    empty = F.array().cast("array<struct<start:bigint,`end`:bigint>>")
+    none = F.lit(None).cast("struct<start:bigint,`end`:bigint>")
+
+    def step(acc: Column, y: Column) -> Column:
+        last = acc["last"]
+        joins = last.isNotNull() & (y["start"] <= last["end"])
+        done = F.when(last.isNull() | joins, acc["done"]).otherwise(F.concat(acc["done"], F.array(last)))
+        return F.struct(done.alias("done"), F.when(joins, F.struct(last["start"].alias("start"), F.greatest(last["end"], y["end"]).alias("end"))).otherwise(y).alias("last"))
+
+    return F.aggregate(wide, F.struct(empty.alias("done"), none.alias("last")), step, lambda acc: F.when(acc["last"].isNull(), acc["done"]).otherwise(F.concat(acc["done"], F.array(acc["last"]))))
+
+
 def link(parts: Column, scope: int) -> Column:
     """The weak spans of sorted parts that are linked to their complementary parts."""
-    reach = sum(scope // n + 2 for n in LEAST.values())
-    secret, name = ("assign", "hex", "key40"), ("ident", "access")
 
-    def near(x: Column, i: Column, all_: Column, kinds: tuple[str, ...]) -> Column:
-        around = F.slice(all_, F.greatest(i + 1 - reach, F.lit(1)), F.lit(2 * reach + 1))
-        return F.exists(around, lambda y: y["kind"].isin(*kinds) & (y["start"] <= x["end"] + scope) & (y["end"] >= x["start"] - scope))
+    def near(x: Column, stretches: Column) -> Column:
+        return F.exists(stretches, lambda y: (y["start"] <= x["end"]) & (y["end"] >= x["start"]))
 
-    def kept(x: Column, i: Column, all_: Column) -> Column:
+    def kept(x: Column, secret: Column, name: Column) -> Column:
         kind = x["kind"]
-        return F.when(kind == "ident", near(x, i, all_, secret)).when(kind == "key40", near(x, i, all_, name)).when(kind == "endpoint", near(x, i, all_, secret) & near(x, i, all_, name)).otherwise(F.lit(False))
+        return F.when(kind == "ident", near(x, secret)).when(kind == "key40", near(x, name)).when(kind == "endpoint", near(x, secret) & near(x, name)).otherwise(F.lit(False))
 
-    return _let(parts, lambda all_: F.filter(all_, lambda x, i: kept(x, i, all_)))
+    secrets = lambda all_: _around(all_, ("assign", "hex", "key40"), scope)
+    names = lambda all_: _around(all_, ("ident", "access"), scope)
+    return _let(parts, lambda all_: _let(F.struct(secrets(all_).alias("secret"), names(all_).alias("name")), lambda by: F.filter(all_, lambda x: kept(x, by["secret"], by["name"]))))
 
 
 def _listed(spans: Column) -> Column:

@@ -611,6 +611,24 @@ def test_weak_spans_need_their_parts(spark):
     assert all(rows[i] == [] for i in (0, 1, 2, 3, 5, 7, 12))
 
 
+def test_links_reach_over_any_number_of_parts(spark):
+    """A long part that holds many others doesn't hide its complement, and links are those of a plain comparison."""
+    rng = random.Random(5)
+    runs = "/".join(["ab12" * 6] * 300)
+    texts = [f"https://db.example.com/ user_id={runs} {KEY40}", f"{KEY40} user_id={runs} AKIA{'Z' * 16}"]
+    pool = [KEY40, "user_id=maxime", "login: bob", "token=abcdefgh", "https://db.example.com:5432", f"AKIA{'Z' * 16}", "ab12" * 7, *["x " * n for n in (20, 60, 95, 99, 100, 101, 140)]]
+    texts += [" ".join(rng.choice(pool) for _ in range(rng.randint(1, 40))) for _ in range(60)]
+    secret, name = ("assign", "hex", "key40"), ("ident", "access")
+    needs = {"ident": [secret], "key40": [name], "endpoint": [secret, name]}
+    spans = F.array_sort(F.concat(*[secrets.found(F.col("text"), k) for k in secrets.ORDER]))
+    every = {r["doc_id"]: [(x["start"], x["end"], x["kind"]) for x in r["s"]] for r in documents(spark, texts).select("doc_id", spans.alias("s")).collect()}
+    for r in secrets.scan(documents(spark, texts)).collect():
+        parts = every[r["doc_id"]]
+        near = lambda a, kinds: any(k in kinds and s <= a[1] + 200 and e >= a[0] - 200 for s, e, k in parts)
+        assert [(x["start"], x["end"], x["kind"]) for x in r["linked"]] == [a for a in parts if a[2] in needs and all(near(a, n) for n in needs[a[2]])]
+    assert sum(k == "key40" for _, _, k in every[0]) == 1 and len(every[0]) > 200
+
+
 def test_redaction(spark):
     df = documents(spark, SECRETS)
     found = secrets.scan(df, carry=True)
