@@ -18,7 +18,7 @@ from ..operators.tables import kept as materialize
 from ..operators.tables import scratch
 from ..session import ship
 
-__all__ = ["arrow_pass", "crc_mod", "ddl", "materialize", "scratch", "small_batches", "table"]
+__all__ = ["arrow_pass", "crc_mod", "ddl", "materialize", "quoted", "scratch", "small_batches", "table"]
 
 #: Rows of one Arrow batch; texts can be long, so batches are short.
 BATCH_ROWS = 512
@@ -49,7 +49,7 @@ def arrow_pass(
     it returns.  With ``carry`` the columns of df come along as struct ``row``.
     """
     small_batches(df.sparkSession)
-    picked = [c.alias(k) for k, c in inputs.items()] + ([F.struct(*[df[c] for c in df.columns]).alias("row")] if carry else [])
+    picked = [c.alias(k) for k, c in inputs.items()] + ([F.struct(*[F.col(quoted(c)) for c in df.columns]).alias("row")] if carry else [])
     source = df.select(*picked)
     out = schema + (f", row {ddl(source.schema['row'].dataType)}" if carry else "")
 
@@ -66,6 +66,11 @@ def arrow_pass(
     return source.mapInArrow(run, out)
 
 
+def quoted(name: str) -> str:
+    """A column's name as an expression, whatever characters it has."""
+    return "`" + name.replace("`", "``") + "`"
+
+
 def ddl(kind: DataType) -> str:
     """A type in DDL, with the names of fields quoted."""
     if isinstance(kind, StructType):

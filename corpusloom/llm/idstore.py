@@ -9,14 +9,17 @@ A file holds a run of documents in ascending ``doc_id`` order::
 
 An Elias-Fano sequence of n values below u takes about ``n * (2 + log2(u / n))`` bits: the low bits of each
 value are packed, the high parts are a unary bit vector, and the place of every 256th set bit is sampled, so
-``select`` finds any boundary by reading one sampled stretch.
+``select`` finds any boundary by reading one sampled stretch; files are read back through it, a stretch at a
+time.
 
 Nulls and repeats: a null text is empty; null identifiers come first; rows of one identifier stay separate
-documents, in the order of their texts.  An empty table gives no file and no rows.
+documents, in the order of their texts' hashes, and as many of them as there may be are spread over tasks.  An
+empty table gives no file and no rows; other columns are dropped.
 """
 
 from __future__ import annotations
 
+import itertools
 import struct
 import zlib
 from collections.abc import Iterator
@@ -36,6 +39,8 @@ HEADER = struct.Struct("<8sQQQBq")
 MAGIC = b"EFIDS\x00\x00\x01"
 EF_HEADER = struct.Struct("<QQB")
 SAMPLE = 256
+#: Documents that are read back at a time.
+STRETCH = 16 * SAMPLE
 #: A file is closed once it has this many ids; one longer document makes one longer file.
 FILE_IDS = 4 << 20
 
@@ -86,12 +91,25 @@ class EliasFano:
             value = value * 2 + (int(self.low[bit // 8]) >> bit % 8 & 1)
         return value
 
-    def all(self) -> np.ndarray:
-        """Every value, decoded at once."""
-        high = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n] - np.arange(self.n)
-        bits = np.unpackbits(self.low, bitorder="little")[: self.n * self.low_bits].reshape(self.n, self.low_bits)
-        low = (bits.astype(np.int64) << np.arange(self.low_bits)).sum(axis=1) if self.low_bits else 0
-        return (high.astype(np.int64) << self.low_bits) + low
+    def selects(self, first: int, last: int) -> np.ndarray:
+        """Values first to last - 1, from the sampled stretches that hold them."""
+        if not 0 <= first <= last <= self.n:
+            raise IndexError((first, last))
+        if first == last:
+            return np.empty(0, np.int64)
+        block, beyond = first // SAMPLE, -(-last // SAMPLE)
+        start = int(self.samples[block]) // 8
+        end = int(self.samples[beyond]) // 8 + 1 if beyond < len(self.samples) else len(self.high)
+        places = np.flatnonzero(np.unpackbits(self.high[start:end], bitorder="little")) + 8 * start
+        skipped = int(np.searchsorted(places, int(self.samples[block]))) + first - block * SAMPLE
+        ranks = np.arange(first, last)
+        out = places[skipped : skipped + last - first].astype(np.int64) - ranks
+        if self.low_bits:
+            byte = first * self.low_bits // 8
+            bits = np.unpackbits(self.low[byte : (last * self.low_bits + 7) // 8], bitorder="little")
+            own = bits[first * self.low_bits - 8 * byte :][: len(ranks) * self.low_bits].reshape(len(ranks), self.low_bits)
+            out = (out << self.low_bits) + (own.astype(np.int64) << np.arange(self.low_bits)).sum(axis=1)
+        return out
 
 
 def pack(doc_ids: list[int | None], ids: list[np.ndarray]) -> bytes:
@@ -129,18 +147,25 @@ class IdFile:
         """The ids of document i, found through select alone."""
         return self.ids[self.ends.select(i - 1) if i else 0 : self.ends.select(i)]
 
-    def doc_ids(self) -> list[int | None]:
-        return [None] * self.nulls + (self.names.all() + self.base).tolist()
+    def stretch(self, first: int, last: int) -> tuple[list[int | None], np.ndarray]:
+        """Identifiers of documents first to last - 1, and their boundaries: one more than there are documents."""
+        known = self.names.selects(max(0, first - self.nulls), max(0, last - self.nulls)) + self.base
+        names = [None] * (last - first - len(known)) + known.tolist()
+        before = [] if first else [0]
+        return names, np.concatenate([before, self.ends.selects(max(0, first - 1), last)]).astype(np.int64)
 
 
 def write_ids(docs: DataFrame, vocabulary: str, folder: str, end_id: int, id_col: str = "doc_id", text_col: str = "text", file_ids: int = FILE_IDS) -> DataFrame:
     """Encodes every text and writes the files; a row per file: its name, place in the order and ids.
 
     Texts are ranged by identifier before they are encoded, so that one shuffle of texts is all that moves.
+    Rows of one identifier are ranged further, by their texts' hashes and, where these agree too, by their place.
     """
     small_batches(docs.sparkSession)
     put(f"{folder}/_STARTED", b"")
-    ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    keys = ["doc_id", "hash", "place"]
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.xxhash64(text_col).alias("hash"), F.monotonically_increasing_id().alias("place"))
+    ordered = rows.repartitionByRange(*keys).sortWithinPartitions(*keys).select("doc_id", "text")
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, encode, end = TaskContext.get().partitionId(), encoder(vocabulary), np.array([end_id])
@@ -178,12 +203,11 @@ def read_ids(docs: DataFrame, files: DataFrame, folder: str) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for path, data in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                held = IdFile(data.as_buffer())
-                ends = held.ends.all()
-                starts = np.concatenate([[0], ends[:-1]]).astype(np.int64)
-                sums = [zlib.crc32(held.ids[a:b].astype("<u4").tobytes()) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-                name = path.rpartition("/")[2]
-                yield pa.RecordBatch.from_pydict({"name": [name] * held.n, "doc_id": pa.array(held.doc_ids(), pa.int64()), "at": starts, "n_tokens": ends - starts, "ids_crc32": pa.array(sums, pa.int64())})
+                held, name = IdFile(data.as_buffer()), path.rpartition("/")[2]
+                for first in range(0, held.n, STRETCH):
+                    names, edges = held.stretch(first, min(first + STRETCH, held.n))
+                    sums = [zlib.crc32(held.ids[a:b].astype("<u4").tobytes()) for a, b in itertools.pairwise(edges.tolist())]
+                    yield pa.RecordBatch.from_pydict({"name": [name] * len(names), "doc_id": pa.array(names, pa.int64()), "at": edges[:-1], "n_tokens": np.diff(edges), "ids_crc32": pa.array(sums, pa.int64())})
 
     rows = raw.select("path", "content").mapInArrow(read, "name string, doc_id long, at long, n_tokens long, ids_crc32 long")
     return rows.join(starts, "name").select("doc_id", (F.col("base") + F.col("at")).alias("start"), "n_tokens", "ids_crc32")

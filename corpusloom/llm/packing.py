@@ -2,31 +2,43 @@
 
 A document's ids are cut where they are made: into whole sequences, and a rest in pieces of at most
 ``piece`` ids whose last ``tail`` or fewer are a piece of their own, for levelling.  The pieces, without ids,
-are dealt by the hash of the document to groups that fill about ``group_windows`` windows.  Each group is partitioned
+are dealt by the place of the document among all rows to groups that fill about ``group_windows`` windows, so that
+rows which repeat an identifier, or have none, spread like others.  Each group is partitioned
 into windows by largest differencing: every piece starts as a partial partition of its own, the two partial
 partitions with the largest imbalance are merged with their imbalances opposed, and so on until one is left.
 Windows come out nearly equal; when the fullest exceeds the capacity, the window count rises and the group is
 partitioned anew.
 
+With a ``folder`` the tasks that make the ids also write them there, as token-id files (``idstore``), and a piece
+has the name of its file and its place among that file's ids.
+
 Null texts are empty documents of the end id alone; repeated identifiers are separate documents; no rows give
-no pieces.  A document's whole sequences take group-local numbers too, so no step sees more than one group.
+no pieces and no files; other columns are dropped.  A document's whole sequences take group-local numbers too, so
+no step sees more than one group.
 """
 
 from __future__ import annotations
 
 import heapq
+import uuid
 import zlib
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_pass, materialize
+from . import idstore
+from .common import materialize, small_batches
+from .files import put
 from .tokens import encoder
 
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long"
+#: Where a piece's ids are, if they are written.
+PLACE = "file string, file_start long"
 
 
 def cuts(n: int, capacity: int, piece: int, tail: int) -> list[int]:
@@ -98,28 +110,60 @@ def windows(sizes: list[int], capacity: int, slack: int) -> list[list[int]]:
         k += max(1, (k - least) // 2, least // 500)
 
 
-def pieces_of(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, piece: int, tail: int, id_col: str, text_col: str) -> DataFrame:
-    """Encodes every text and lists its pieces; the ids themselves go no further."""
+def pieces_of(docs: DataFrame, vocabulary: str, end_id: int, capacity: int, piece: int, tail: int, id_col: str, text_col: str, folder: str | None = None) -> DataFrame:
+    """Encodes every text and lists its pieces with the place of their document; the ids go to files, or no further."""
+    small_batches(docs.sparkSession)
     kind = docs.schema[id_col].dataType.simpleString()
-
-    def make():
-        encode = encoder(vocabulary)
-
-        def work(batch: pa.RecordBatch) -> dict[str, pa.Array]:
-            which, rows = [], []
-            for i, text in enumerate(batch.column(1).to_pylist()):
-                ids = np.append(encode.ids(text).astype("<u4"), np.uint32(end_id)).astype("<u4")
+    if folder and kind not in ("tinyint", "smallint", "int", "bigint"):
+        raise ValueError("token-id files name documents by integers")
+    columns = [x.split()[0] for x in PIECES.split(", ")]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        encode, part = encoder(vocabulary), TaskContext.get().partitionId()
+        serial, held, names, ids, waiting = part << 40, 0, [], [], []
+
+        def close() -> Iterator[pa.RecordBatch]:
+            """Writes the documents held, in ascending order, and passes on their pieces."""
+            order = sorted(range(len(names)), key=lambda i: (names[i] is not None, names[i] or 0))
+            starts = np.zeros(len(names), np.int64)
+            starts[order] = np.cumsum([0, *(len(ids[i]) for i in order)])[:-1]
+            file = f"part-{part:06d}-{uuid.uuid4().hex}.efids"
+            put(f"{folder}/{file}", idstore.pack([names[i] for i in order], [ids[i] for i in order]))
+            for batch, docs_of in waiting:
+                at = starts[docs_of] + batch.column(2).to_numpy()
+                yield batch.append_column("file", pa.array([file] * batch.num_rows, pa.string())).append_column("file_start", pa.array(at, pa.int64()))
+
+        for batch in batches:
+            which, rows, first = [], [], len(names)
+            for i, (name, text) in enumerate(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True)):
+                own = np.append(encode.ids(text), encode.width.type(end_id))
+                wide = own.astype("<u4")
                 start = 0
-                for n in cuts(len(ids), capacity, piece, tail):
+                for n in cuts(len(own), capacity, piece, tail):
                     which.append(i)
-                    rows.append((start, n, zlib.crc32(ids[start : start + n].tobytes()), len(ids)))
+                    rows.append((start, n, zlib.crc32(wide[start : start + n].tobytes()), len(own)))
                     start += n
-            columns = list(zip(*rows, strict=True))
-            return {"doc_id": batch.column(0).take(pa.array(which, pa.int64())), **{k.split()[0]: pa.array(list(v), pa.int64()) for k, v in zip(PIECES.split(", "), columns, strict=True)}}
-
-        return work
-
-    return arrow_pass(docs, {"doc_id": F.col(id_col), "text": F.col(text_col)}, make, f"doc_id {kind}, {PIECES}")
+                if folder:
+                    names.append(name)
+                    ids.append(own)
+                    held += len(own)
+            if not rows:
+                continue
+            made = {"doc_id": batch.column(0).take(pa.array(which, pa.int64())), "place": pa.array([serial + i for i in which], pa.int64())}
+            made |= {k: pa.array(list(v), pa.int64()) for k, v in zip(columns, zip(*rows, strict=True), strict=True)}
+            serial += batch.num_rows
+            out = pa.RecordBatch.from_pydict(made)
+            if not folder:
+                yield out
+                continue
+            waiting.append((out, np.array(which) + first))
+            if held >= idstore.FILE_IDS:
+                yield from close()
+                held, names, ids, waiting = 0, [], [], []
+        if waiting:
+            yield from close()
+
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")).mapInArrow(run, f"doc_id {kind}, place long, {PIECES}" + (f", {PLACE}" if folder else ""))
 
 
 def pack(
@@ -133,19 +177,20 @@ def pack(
     group_windows: int = 256,
     id_col: str = "doc_id",
     text_col: str = "text",
+    folder: str | None = None,
 ) -> DataFrame:
-    """A row per piece: where it lies in its document and in its sequence.
+    """A row per piece: where it lies in its document and in its sequence, and in the files of ``folder`` if there is one.
 
     The number of groups follows the ids and pieces to place, so a group's work is bounded whatever the input.
     """
-    pieces = materialize(pieces_of(docs, vocabulary, end_id, capacity, piece, tail, id_col, text_col), "pieces")
+    pieces = materialize(pieces_of(docs, vocabulary, end_id, capacity, piece, tail, id_col, text_col, folder), "pieces")
     ids, count = pieces.where(F.col("length") < capacity).agg(F.sum("length"), F.count("*")).first()
     groups = max(1, (ids or 0) // (group_windows * capacity), count // (16 * group_windows))
     kind = pieces.schema["doc_id"].dataType.simpleString()
-    dealt = pieces.withColumn("g", F.pmod(F.xxhash64("doc_id", "doc_tokens"), F.lit(groups)))
+    dealt = pieces.withColumn("g", F.pmod(F.xxhash64("place"), F.lit(groups)))
 
     def place(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "doc_id", "start", "ids_crc32"], ascending=[False, True, True, True], kind="stable", ignore_index=True)
+        pdf = pdf.sort_values(["length", "place", "start"], ascending=[False, True, True], kind="stable", ignore_index=True)
         sizes = pdf["length"].to_numpy()
         whole = int((sizes == capacity).sum())
         sequence, offset = np.arange(len(pdf), dtype=np.int64), np.zeros(len(pdf), np.int64)
@@ -156,6 +201,7 @@ def pack(
                 at += int(sizes[whole + i])
         pdf["sequence_id"] = (np.int64(pdf["g"].iloc[0]) << 32) + sequence if len(pdf) else sequence
         pdf["offset"] = offset
-        return pdf.drop(columns="g")
+        return pdf.drop(columns=["g", "place"])
 
-    return dealt.groupBy("g").applyInPandas(place, f"doc_id {kind}, {PIECES}, sequence_id long, offset long")
+    where = f", {PLACE}" if folder else ""
+    return dealt.groupBy("g").applyInPandas(place, f"doc_id {kind}, {PIECES}{where}, sequence_id long, offset long")

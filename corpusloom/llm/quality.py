@@ -9,7 +9,8 @@ are broadcast; every document's cosines with all of them are computed exactly, b
 nearest ``neighbours`` vote with their similarities.
 
 Null and empty texts, and texts like nothing in the sample, score the mean label; without labels that is 0.5.
-Repeated rows score alike; rows of a null label teach nothing; identifiers are never looked at by a score.
+Repeated rows score alike; rows of a null label teach nothing; of rows that repeat a labelled identifier the
+smallest text is learned from, with the mean of its labels; identifiers are never looked at by a score.
 """
 
 from __future__ import annotations

@@ -7,7 +7,8 @@ third, and the rows that it covers are set aside; rules go on while they reject
 The result is an ordered Spark conditional expression, and everything about documents stays one.
 
 Null texts have no words; repeated rows and identifiers give repeated results; rows of a null label teach
-nothing; without labels the list is empty and keeps all that the base rules keep.
+nothing; of rows that repeat a labelled identifier the smallest text is learned from, with the mean of its labels;
+without labels the list is empty and keeps all that the base rules keep; other columns are dropped.
 """
 
 from __future__ import annotations
@@ -39,19 +40,22 @@ def _let(value: Column, body) -> Column:
 
 
 def repeat_words(words: Column) -> Column:
-    """Words inside 3-word windows that occur twice or more; windows are compared by 64-bit hashes.
+    """Words inside 3-word windows that occur twice or more.
 
-    Sorting (hash, place) pairs brings equal windows together; only rows whose windows aren't all different
-    are sorted.
+    Sorting windows by their 64-bit hash, then by their words, brings equal ones together; only rows whose hashes
+    aren't all different, as they are where no window repeats, are sorted.
     """
     n = lambda w: F.size(w)
 
-    def covered(hashes: Column) -> Column:
-        placed = F.array_sort(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+    def covered(w: Column, hashes: Column) -> Column:
+        placed = F.sort_array(F.transform(hashes, lambda h, i: F.struct(h.alias("h"), F.get(w, i).alias("a"), F.get(w, i + 1).alias("b"), F.get(w, i + 2).alias("c"), i.alias("i"))))
 
         def again(s: Column) -> Column:
-            twice = F.filter(s, lambda x, j: F.coalesce(F.get(s, j - 1)["h"] == x["h"], F.lit(False)) | F.coalesce(F.get(s, j + 1)["h"] == x["h"], F.lit(False)))
-            places = F.array_sort(F.transform(twice, lambda x: x["i"]))
+            def same(x: Column, y: Column) -> Column:
+                return F.coalesce((x["h"] == y["h"]) & (x["a"] == y["a"]) & (x["b"] == y["b"]) & (x["c"] == y["c"]), F.lit(False))
+
+            twice = F.filter(s, lambda x, j: same(F.get(s, j - 1), x) | same(F.get(s, j + 1), x))
+            places = F.sort_array(F.transform(twice, lambda x: x["i"]))
             start = F.struct(F.lit(0).alias("end"), F.lit(0).alias("total"))
             step = lambda acc, p: F.struct((p + 3).alias("end"), (acc["total"] + p + 3 - F.greatest(p, acc["end"])).alias("total"))
             return F.aggregate(places, start, step, lambda acc: acc["total"])
@@ -59,13 +63,13 @@ def repeat_words(words: Column) -> Column:
         return F.when(F.size(F.array_distinct(hashes)) == F.size(hashes), F.lit(0)).otherwise(_let(placed, again))
 
     hashes = lambda w: F.transform(F.sequence(F.lit(0), n(w) - 3), lambda i: F.xxhash64(F.get(w, i), F.get(w, i + 1), F.get(w, i + 2)))
-    return _let(words, lambda w: F.when(n(w) < 4, F.lit(0)).otherwise(_let(hashes(w), covered)))
+    return _let(words, lambda w: F.when(n(w) < 4, F.lit(0)).otherwise(_let(hashes(w), lambda h: covered(w, h))))
 
 
 def statistics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The counted statistics of every whole text."""
-    text = F.coalesce(docs[text_col], F.lit(""))
-    rows = docs.select(docs[id_col].alias("doc_id"), text.alias("t"))
+    text = F.coalesce(F.col(text_col), F.lit(""))
+    rows = docs.select(F.col(id_col).alias("doc_id"), text.alias("t"))
     t = F.col("t")
     words = F.filter(F.split(t, SPACE, -1), lambda w: w != "")
     lines = F.filter(F.split(t, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))

@@ -1,13 +1,15 @@
 """Ids of a public tokenizer file, computed once per distinct word.
 
-``Encoder`` gives exactly what ``Tokenizer.encode(text, add_special_tokens=False)`` gives, with the strings of
-special tokens taken as ordinary text.  Both supported pre-tokenizers cut a text at places that can be found
-without them, so a text is cut there and each distinct piece is encoded once per Python worker:
+``Encoder`` gives exactly what ``Tokenizer.encode(text, add_special_tokens=False)`` gives, which makes one id of
+a special token's string in a text; ``plain_specials`` takes such strings as ordinary text instead.  Both
+supported pre-tokenizers cut a text at places that can be found without them, so a text is cut there and each
+distinct piece is encoded once per Python worker:
 
 * word scheme (white space normalised and dropped): at ASCII spaces and newlines;
 * byte scheme: before the last space of a run, with the other white space as pieces of its own.
 
-A text with white space of any other kind, and any other scheme, is encoded whole.
+A text with white space of any other kind, or with a special token's string, and any other scheme, is encoded
+whole.  What a worker remembers is bounded in bytes, and long words aren't remembered.
 """
 
 from __future__ import annotations
@@ -18,8 +20,10 @@ import re
 
 import numpy as np
 
-#: Words and pieces remembered per worker, some 120 MB each; beyond them they are encoded each time.
-WORDS, PIECES = 600_000, 700_000
+#: Bytes of words, and of pieces, that a worker remembers; beyond them they are encoded each time.
+WORD_BYTES, PIECE_BYTES = 120 << 20, 120 << 20
+#: Longer words aren't remembered.  A remembered one takes so many bytes beside its own.
+LONGEST, BESIDE = 128, 180
 #: Letters of European alphabets that are alike in every normal form, and their lower case one letter.
 LETTER = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e"
 #: Words and pieces whose pre-tokens the two patterns below find as the library does.
@@ -47,37 +51,40 @@ def _byte_letters() -> list[str]:
 
 BYTE_LETTER = _byte_letters()
 
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, bool], Encoder] = {}
 
 
 class _Memo(dict):
-    """Missing keys are computed, and remembered up to a bound."""
+    """Missing keys are computed, and remembered while there is room."""
 
-    def __init__(self, make, most: int):
-        self.make, self.most = make, most
+    def __init__(self, make, room: int):
+        self.make, self.room = make, room
 
     def __missing__(self, key):
         value = self.make(key)
-        if len(self) < self.most:
+        if self.room > 0 and len(key) <= LONGEST:
+            self.room -= 4 * len(key) + len(value) + BESIDE
             self[key] = value
         return value
 
 
 class Encoder:
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain_specials: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = plain_specials
         with open(path, encoding="utf-8") as f:
             spec = json.load(f)
+        added = [x["content"] for x in spec.get("added_tokens") or []]
+        self.special = re.compile("|".join(map(re.escape, added)), re.I) if added and not plain_specials else None
         self.width = np.dtype("<u2" if self.tokenizer.get_vocab_size() <= 1 << 16 else "<u4")
         self.scheme = self._scheme(spec)
         self.model = self.tokenizer.model
-        self.pieces = _Memo(self._piece, PIECES)
-        self.words = _Memo(self._by_piece, WORDS)
-        self.spaced = _Memo(lambda word: self._by_piece(" " + word), WORDS)
+        self.pieces = _Memo(self._piece, PIECE_BYTES)
+        self.words = _Memo(self._by_piece, WORD_BYTES // 2)
+        self.spaced = _Memo(lambda word: self._by_piece(" " + word), WORD_BYTES // 2)
 
     @staticmethod
     def _scheme(spec: dict) -> str:
@@ -106,7 +113,7 @@ class Encoder:
         """The ids of a text; null is empty."""
         if not text:
             return np.empty(0, self.width)
-        if self.scheme == "whole" or ODD_SPACE.search(text):
+        if self.scheme == "whole" or ODD_SPACE.search(text) or (self.special and self.special.search(text)):
             return np.frombuffer(self._encode(text), self.width)
         if self.scheme == "word":
             found = map(self.words.__getitem__, text.replace("\n", " ").split(" "))
@@ -122,8 +129,9 @@ class Encoder:
         return np.frombuffer(b"".join(found), self.width)
 
 
-def encoder(path: str) -> Encoder:
+def encoder(path: str, plain_specials: bool = False) -> Encoder:
     """This worker's encoder of the vocabulary file at path."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+    key = (path, plain_specials)
+    if key not in _encoders:
+        _encoders[key] = Encoder(path, plain_specials)
+    return _encoders[key]

@@ -6,12 +6,14 @@ import html as html_lib
 import math
 import random
 import re
+import time
 import zlib
 
 import numpy as np
 import pytest
 import xxhash
 from pyspark.sql import functions as F
+from tokenizers import Tokenizer
 
 from corpusloom.llm import decontam, extract, idstore, lm, packing, quality, rules, secrets, simhash, warc
 from corpusloom.llm.queries import vocabulary
@@ -69,18 +71,18 @@ def hits(text, items, window):
             for j in range(len(w) - n + 1):
                 if w[j : j + n] == b[k : k + n]:
                     hit.update(range(j, j + n))
-                    named.add(str(item))
+                    named.update([str(item)] if item is not None else [])
     return len(w), len(hit), len(named), hashlib.sha256(",".join(sorted(named)).encode()).hexdigest(), bool(hit)
 
 
-@pytest.mark.parametrize("block", [1 << 20, 120])
-def test_decontamination(spark, docs, block):
+@pytest.mark.parametrize("block", [1 << 20, 7])
+def test_decontamination(spark, docs, block, monkeypatch):
+    monkeypatch.setattr(decontam, "SEGMENT_WORDS", 5)
     df, rows = docs
-    items = [(10, rows[20][1]), (9, "ONE"), (2, None), (3, ""), (4, "The, and; the"), (None, "x"), (9, "ONE"), (11, "tion rin tion")]
+    items = [(10, rows[20][1]), (9, "ONE"), (2, None), (3, ""), (4, "The, and; the"), (None, "x"), (9, "ONE"), (11, "tion rin tion"), (None, rows[21][1])]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    found = decontam.decontaminate(df, bench, window=4, block_bytes=block)
-    known = [x for x in items if x[0] is not None]
-    expected = collections.Counter((i, *hits(t, known, 4)) for i, t in rows)
+    found = decontam.decontaminate(df, bench, window=4, block_windows=block)
+    expected = collections.Counter((i, *hits(t, items, 4)) for i, t in rows)
     assert rows_of(found, "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == expected
     texts = collections.defaultdict(list)
     for i, t in rows:
@@ -89,6 +91,14 @@ def test_decontamination(spark, docs, block):
         assert any(sum(len(WORD.findall(t[s["start"] : s["end"]])) for s in r["spans"]) == r["n_hit"] for t in texts[r["doc_id"]] if t)
 
 
+def test_segments_have_the_windows():
+    for n in (0, 1, 3, 4, 5, 9, 23):
+        words = [str(i).encode() for i in range(n)]
+        cut = lambda w, n=n: {tuple(w[k : k + min(4, n)]) for k in range(len(w) - min(4, n) + 1)}
+        parts = list(decontam.segments_of(words, 4, 5))
+        assert set().union(*map(cut, parts)) == cut(words) and max(map(len, parts)) <= 8
+
+
 def test_decontamination_of_nothing(spark, docs):
     df, _ = docs
     none = spark.createDataFrame([], "item_id long, text string")
@@ -194,34 +204,53 @@ def test_encoder_is_the_library(name):
     rng = random.Random(2)
     pool = [*"abcA Z09'.,!\n\t éßñ你<|>sdtmÀÿřŽ×÷ªµİŉſŁ²_ǅΣς", "<|endoftext|>", "'s", " re", "\n\n", "́", " "]
     texts = ["", " ", "\n", "a\n\nb", *("".join(rng.choice(pool) for _ in range(rng.randint(0, 40))) for _ in range(1500))]
-    assert [e.ids(t).tolist() for t in texts] == [x.ids for x in e.tokenizer.encode_batch(texts, add_special_tokens=False)]
+    texts += ["hello <|endoftext|> world", "<|EndOfText|>", "a<|startoftext|>b\n<|endoftext|>", "x" * 5000]
+    library = Tokenizer.from_file(vocabulary(name))
+    assert [e.ids(t).tolist() for t in texts] == [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
+    plain = Encoder(vocabulary(name), plain_specials=True)
+    library.encode_special_tokens = True
+    assert [plain.ids(t).tolist() for t in texts] == [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
+    assert not any(len(w) > 128 for w in plain.words)
 
 
 def test_token_files(spark, docs, tmp_path):
     df, rows = docs
     e = Encoder(vocabulary("word_bpe_49k.json"))
-    order = sorted(rows, key=lambda r: (r[0] is not None, r[0] or 0, r[1] is not None, r[1] or ""))
-    at, expected = 0, collections.Counter()
-    for i, t in order:
-        ids = np.append(e.ids(t), 1).astype("<u4")
-        expected[i, at, len(ids), zlib.crc32(ids.tobytes())] += 1
-        at += len(ids)
+    made = lambda t: np.append(e.ids(t), 1).astype("<u4")
+    expected = collections.Counter((i, len(made(t)), zlib.crc32(made(t).tobytes())) for i, t in rows)
     folder = f"file://{tmp_path}/ids"
     files = idstore.write_ids(df, vocabulary("word_bpe_49k.json"), folder, 1, file_ids=200)
     assert files.count() > 1
-    assert rows_of(idstore.read_ids(df, files, folder), "doc_id", "start", "n_tokens", "ids_crc32") == expected
+    read = idstore.read_ids(df, files, folder)
+    assert rows_of(read, "doc_id", "n_tokens", "ids_crc32") == expected
+    at, last = 0, -1
+    for r in sorted(read.collect(), key=lambda r: r["start"]):
+        assert r["start"] == at and (-1 if r["doc_id"] is None else r["doc_id"]) >= last
+        at, last = at + r["n_tokens"], -1 if r["doc_id"] is None else r["doc_id"]
     assert idstore.token_ids(df.limit(0), vocabulary("word_bpe_49k.json")).count() == 0
 
 
+def test_rows_without_identifier_are_spread(spark, tmp_path):
+    df = documents(spark, [f"word {i % 7}" for i in range(400)], [None] * 390 + list(range(10)))
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        files = idstore.write_ids(df, vocabulary("word_bpe_49k.json"), f"file://{tmp_path}/ids", 1)
+        assert len({r["name"].split("-")[1] for r in files.collect()}) == 4
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+
+
 def test_elias_fano():
     rng = random.Random(7)
     for n, top in ((0, 1), (1, 0), (5, 3), (1000, 10), (3000, 10**12)):
         values = sorted(rng.randint(0, top) for _ in range(n))
         data = idstore.EliasFano.encode(np.array(values, np.int64))
         held, used = idstore.EliasFano.decode(memoryview(data + b"more"))
-        assert used == len(data) and held.all().tolist() == values
+        assert used == len(data) and held.selects(0, n).tolist() == values
         for i in range(0, n, 97):
             assert held.select(i) == values[i]
+            j = rng.randint(i, n)
+            assert held.selects(i, j).tolist() == values[i:j]
         if n == 3000:
             assert len(data) < n * (3 + math.log2(top / n)) / 8 + 200
 
@@ -229,7 +258,11 @@ def test_elias_fano():
 def test_id_file_documents():
     ids = [np.array(x, "<u2") for x in ([5, 6], [], [7] * 300, [1])]
     held = idstore.IdFile(idstore.pack([None, -3, 4, 4], ids))
-    assert [held.doc_id(i) for i in range(4)] == held.doc_ids() == [None, -3, 4, 4]
+    assert [held.doc_id(i) for i in range(4)] == [None, -3, 4, 4]
+    for i in range(5):
+        for j in range(i, 5):
+            names, edges = held.stretch(i, j)
+            assert names == [None, -3, 4, 4][i:j] and edges.tolist() == [0, 2, 2, 302, 303][i : j + 1]
     assert [held.document(i).tolist() for i in range(4)] == [x.tolist() for x in ids]
     with pytest.raises(ValueError):
         idstore.IdFile(idstore.pack([1], [np.array([1], "<u2")])[:-1])
@@ -301,10 +334,46 @@ def test_links_between_fingerprints(spark, threshold, crowd):
     assert sorted(map(sorted, found.values())) == sorted(map(sorted, expected.values()))
 
 
-def test_components_of_a_long_path(spark):
-    edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(100, 101), (101, 100), (7, 7)], "a long, b long").repartition(5)
-    stars = {r["a"]: r["b"] for r in simhash.components(edges).collect()}
-    assert stars == {**{i: 0 for i in range(1, 61)}, 101: 100}
+@pytest.mark.parametrize("hub", [simhash.HUB, 2])
+def test_components_of_a_long_path(spark, hub):
+    edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(30, 200 + i) for i in range(9)] + [(100, 101), (101, 100), (7, 7)], "a long, b long").repartition(5)
+    stars = {r["a"]: r["b"] for r in simhash.components(edges, hub).collect()}
+    assert stars == {**{i: 0 for i in range(1, 61)}, **{200 + i: 0 for i in range(9)}, 101: 100}
+
+
+def test_crowded_blocks_are_split_further(spark):
+    """Fingerprints of one anchor that agree in most bits of the other half too."""
+    rng = random.Random(9)
+    low = rng.getrandbits(32)
+    prints = sorted({(rng.getrandbits(17) << 47 | 5 << 32 | low) ^ (1 << rng.randrange(32) if rng.random() < 0.3 else 0) for _ in range(20_000)})
+    signed = [p - (1 << 64) if p >> 63 else p for p in prints]
+    df = spark.createDataFrame([(p,) for p in signed], "fp long")
+    levels = []
+    kept, simhash.materialize = simhash.materialize, lambda df, name: (levels.append(name), kept(df, name))[1]
+    try:
+        links = simhash.near_links(df, 2, 256)
+    finally:
+        simhash.materialize = kept
+    assert levels.count("links") > 2
+    stars = {r["a"]: r["b"] for r in simhash.components(links).collect()}
+    known, up = set(prints), {p: p for p in prints}
+
+    def find(x):
+        while up[x] != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    masks = [1 << a for a in range(64)] + [1 << a | 1 << b for a in range(64) for b in range(a)]
+    for p in prints:
+        for m in masks:
+            if p ^ m in known:
+                up[find(p)] = find(p ^ m)
+    found, expected = collections.defaultdict(set), collections.defaultdict(set)
+    for p, x in zip(prints, signed, strict=True):
+        found[stars.get(x, x)].add(p)
+        expected[find(p)].add(p)
+    assert sorted(map(sorted, found.values())) == sorted(map(sorted, expected.values()))
 
 
 # WARC ------------------------------------------------------------------------------------------------------
@@ -540,6 +609,26 @@ def test_packing(spark):
     assert packing.pack(df.limit(0), vocabulary("byte_bpe_50k.json")).count() == 0
 
 
+def test_packed_ids_are_written(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(idstore, "FILE_IDS", 300)
+    texts = [*corpus(30, 6), "the and tion " * 2000, None]
+    df = documents(spark, texts, [*range(len(texts) - 3), 0, 0, None])
+    rows = packing.pack(df, vocabulary("byte_bpe_50k.json"), capacity=128, piece=32, tail=8, folder=f"file://{tmp_path}/ids").collect()
+    files = {}
+    for r in rows:
+        held = files.setdefault(r["file"], idstore.IdFile((tmp_path / "ids" / r["file"]).read_bytes()))
+        own = held.ids[r["file_start"] : r["file_start"] + r["length"]].astype("<u4")
+        assert zlib.crc32(own.tobytes()) == r["ids_crc32"]
+    assert sum(f.n for f in files.values()) == len(texts) and len(files) > 1
+
+
+def test_many_rows_of_one_identifier_make_many_groups(spark):
+    df = documents(spark, ["the and"] * 600, [None] * 600)
+    rows = packing.pack(df, vocabulary("byte_bpe_50k.json"), capacity=32, piece=16, tail=4, slack=1, group_windows=4).collect()
+    groups = collections.Counter(r["sequence_id"] >> 32 for r in rows)
+    assert len(rows) == 600 and len(groups) > 5 and max(groups.values()) < 200
+
+
 def test_differencing_is_even():
     rng = random.Random(5)
     for k in (2, 7, 40):
@@ -629,12 +718,24 @@ def test_links_reach_over_any_number_of_parts(spark):
     assert sum(k == "key40" for _, _, k in every[0]) == 1 and len(every[0]) > 200
 
 
+def test_many_matches_in_one_text(spark):
+    n = 20_000
+    df = documents(spark, ["token=abcdefgh user_id=maxime " * n])
+    found = secrets.scan(df, carry=True).select("n_assign", F.size("linked").alias("n"), F.length(secrets.redacted(F.col("row.text"), F.concat("base", "linked"))).alias("left"))
+    found.collect()
+    began = time.perf_counter()
+    assert tuple(found.collect()[0]) == (n, n, n * 18)
+    assert time.perf_counter() - began < 30  # growing arrays take minutes
+
+
 def test_redaction(spark):
-    df = documents(spark, SECRETS)
+    rng = random.Random(8)
+    many = " ".join(rng.choice(["token=abcdefgh", "ab12" * 7, f"password={HEXED}", "é", "secret=token=abcdef"]) for _ in range(500))
+    df = documents(spark, SECRETS + [many])
     found = secrets.scan(df, carry=True)
     text = secrets.redacted(F.coalesce("row.text", F.lit("")), F.concat("base", "linked"))
     rows = {r["doc_id"]: r for r in found.select("doc_id", text.alias("t"), F.concat("base", "linked").alias("s")).collect()}
-    for i, t in enumerate(SECRETS):
+    for i, t in enumerate(SECRETS + [many]):
         out, at = "", 0
         for s in sorted((x["start"], x["end"]) for x in rows[i]["s"]):
             if s[0] >= at:
@@ -674,8 +775,13 @@ def test_pipeline(spark, tmp_path):
     masked = {r["doc_id"]: r for r in P.mask_secrets(spark, clean, folder).collect()}
     assert HEXED not in masked[11]["text"] and "[SECRET]" in masked[11]["text"] and masked[11]["n_chars"] == len(masked[11]["text"])
     assert all(masked[i]["text"] == all_texts[i] for i in masked if i != 11)
-    packed = P.run(spark, folder).select("doc_id").distinct().collect()
-    assert {r[0] for r in packed} == set(masked)
+    packed = P.run(spark, folder).collect()
+    assert {r["doc_id"] for r in packed} == set(masked)
+    e, files = Encoder(vocabulary("byte_bpe_50k.json")), {}
+    for r in packed:  # what is packed can be read back from the files
+        held = files.setdefault(r["file"], idstore.IdFile(open(r["file"].removeprefix("file://"), "rb").read()))
+        own = held.ids[r["file_start"] : r["file_start"] + r["length"]]
+        assert own.tolist() == np.append(e.ids(masked[r["doc_id"]]["text"]), 0)[r["start"] : r["start"] + r["length"]].tolist()
 
 
 def test_repeated_documents_stay_once(spark):
@@ -683,3 +789,29 @@ def test_repeated_documents_stay_once(spark):
 
     docs = spark.createDataFrame([(1, "a b c d", "x"), (1, "a b c d", "x"), (2, "a b c d", "y"), (None, "q r s t", "z"), (None, "a b c d", "z")], "doc_id long, text string, lang string")
     assert sorted(map(tuple, P.keep_one_of_each(spark, docs, "").collect()), key=str) == [(1, "a b c d", "x"), (None, "q r s t", "z")]
+
+
+def test_an_identifier_that_repeats_is_not_one_document(spark):
+    """Rows are near duplicates by their texts alone."""
+    import corpus_pipeline as P
+
+    a, b = "a b c d e f", "q r s t u v"
+    keep = lambda rows: sorted(map(tuple, P.keep_one_of_each(spark, spark.createDataFrame(rows, "doc_id long, text string"), "").collect()))
+    assert keep([(1, a), (2, b), (2, a)]) == [(1, a), (2, b)]
+    assert keep([(3, a), (3, b)]) == [(3, a), (3, b)]
+
+
+def test_stages_leave_columns_of_any_name(spark, tmp_path):
+    import corpus_pipeline as P
+
+    schema = "doc_id long, text string, rows int, kept_id long, place string, root int, `a.b` map<string,int>, `row` struct<`x.y`: int>, masked int, n_chars int"
+    docs = spark.createDataFrame([(i % 3, t, 1, 2, "p", 3, {"k": 1}, (4,), 5, 6) for i, t in enumerate(["a b c d", "a b c d", f"token={HEXED} x", None, "q r"])], schema)
+    folder = f"file://{tmp_path}/sf"
+    spark.createDataFrame([(1, "q r")], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    assert P.keep_good(spark, docs, folder).schema.simpleString() == docs.schema.simpleString()
+    for stage, left in ((P.keep_one_of_each, 4), (P.drop_contaminated, 4), (P.mask_secrets, 5)):
+        out = stage(spark, docs, folder)
+        assert out.schema.simpleString() == docs.schema.simpleString() and out.count() == left
+        assert stage(spark, docs.limit(0), folder).count() == 0
+    assert P.pack_windows(spark, docs, folder).select("file").distinct().count() >= 1
