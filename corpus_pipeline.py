@@ -6,9 +6,10 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DataType, MapType, StructType
 
 from corpusloom.llm import quality, simhash
-from corpusloom.llm.common import materialize, table
+from corpusloom.llm.common import materialize, quoted, scratch, table
 from corpusloom.llm.decontam import decontaminate
 from corpusloom.llm.packing import pack
 from corpusloom.llm.queries import vocabulary
@@ -16,47 +17,65 @@ from corpusloom.llm.secrets import redacted, scan
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts."""
+    """Documents that the quality classifier accepts.
+
+    Null and empty texts have the mean label for a score, so without good labels in the majority they go; rows
+    that repeat an identifier are judged one by one; no documents give none; other columns stay as they are.
+    """
     model = quality.fit(docs, table(spark, sf_dir, "labels"))
     return quality.score(docs, model, threshold=0.7, carry=True).where("predicted = 1").select("row.*")
 
 
+def _holds_map(kind: DataType) -> bool:
+    if isinstance(kind, StructType):
+        return any(_holds_map(f.dataType) for f in kind.fields)
+    return isinstance(kind, MapType) or (isinstance(kind, ArrayType) and _holds_map(kind.elementType))
+
+
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The smallest identifier's document of every class of near duplicates.
+    """One row of every class of near duplicates: the first by its identifier, then by a hash of its columns.
 
-    Rows that repeat an identifier are one document, of which the first row by its columns stays.  Of a class
-    in which no row has an identifier, the first row by its columns stays.
+    Rows are told apart by their place, so those that repeat an identifier are near duplicates only if their
+    texts are; rows without identifier come last.  Null and wordless texts are one class; no documents give
+    none; other columns, of any name and kind, stay as they are.
     """
-    rows = materialize(simhash.fingerprints(docs), "fingerprints")
-    classes = simhash.classes(rows)
-    keep = rows.join(classes, "fp").where("doc_id = component_id").groupBy(F.col("doc_id").alias("kept_id")).agg(F.count("*").alias("rows"))
-    kept = docs.join(keep, F.col("doc_id") == F.col("kept_id"))
-    out = kept.where("rows = 1").select(*[docs[c] for c in docs.columns])
-    first = F.min(F.struct(*[F.col(c) for c in docs.columns])).alias("first")
-    if not keep.where("rows > 1").isEmpty():
-        out = out.unionByName(kept.where("rows > 1").groupBy("kept_id").agg(first).select("first.*"))
-    if not rows.where("doc_id IS NULL").isEmpty():
-        nameless = simhash.fingerprints(docs.where("doc_id IS NULL"), carry=True).join(classes.where("component_id IS NULL"), "fp")
-        out = out.unionByName(nameless.groupBy("root").agg(F.min("row").alias("first")).select("first.*"))
-    return out
+    rows = materialize(simhash.fingerprints(docs, carry=True), "fingerprints")
+    classes = simhash.classes(rows.select("doc_id", "fp"))
+    columns = [F.to_json(F.struct(c)) if _holds_map(f.dataType) else c for f in docs.schema for c in [F.col(f"row.{quoted(f.name)}")]]
+    order = F.struct(F.col("doc_id").isNull(), "doc_id", F.xxhash64(*columns), "place")
+    first = rows.select("fp", "place", order.alias("rank")).join(classes.select("fp", "root"), "fp").groupBy("root").agg(F.min_by("place", "rank").alias("place"))
+    return rows.join(first.select("place"), "place", "left_semi").select("row.*")
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any window of a benchmark item."""
+    """Documents without any window of a benchmark item.
+
+    Null and wordless texts stay; rows that repeat an identifier are judged one by one; without a benchmark all
+    documents stay; other columns stay as they are.
+    """
     return decontaminate(docs, table(spark, sf_dir, "benchmark"), carry=True).where("not contaminated").select("row.*")
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """All documents, with their secrets masked."""
-    found = scan(docs, carry=True)
-    text = redacted(F.col("row.text"), F.concat("base", "linked"))
-    columns = [(text.alias("text") if c == "text" else F.length(text).cast(docs.schema[c].dataType).alias(c) if c == "n_chars" else F.col(f"row.{c}")) for c in docs.columns]
-    return found.select(*columns)
+    """All documents, with their secrets masked, and ``n_chars`` by the masked text where there is such a column.
+
+    Null texts stay null; repeated rows are masked alike; no documents give none; other columns stay as they are.
+    """
+    masked = scan(docs, carry=True).select("row", redacted(F.col("row.text"), F.concat("base", "linked")).alias("masked"))
+    changed = {"text": F.col("masked"), "n_chars": F.length("masked")}
+    return masked.select(*[changed[f.name].cast(f.dataType).alias(f.name) if f.name in changed else F.col(f"row.{quoted(f.name)}") for f in docs.schema])
 
 
 def pack_windows(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The pieces of all documents in sequences of at most 1024 ids."""
-    return pack(docs, vocabulary("byte_bpe_50k.json"), end_id=0, capacity=1024)
+    """The pieces of all documents in sequences of at most 1024 ids, and where their ids are.
+
+    The ids are written below the shared folder, as token-id files; ``file`` is the path of a piece's one, and
+    ``file_start`` its place there.  Null and empty texts are their end id; rows that repeat an identifier are
+    documents of their own; no documents give no pieces; other columns are dropped.
+    """
+    folder = f"{scratch(spark)}/ids"
+    packed = pack(docs, vocabulary("byte_bpe_50k.json"), end_id=0, capacity=1024, folder=folder)
+    return packed.withColumn("file", F.concat(F.lit(f"{folder}/"), "file"))
 
 
 STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] = [
