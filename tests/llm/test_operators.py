@@ -2,8 +2,10 @@
 
 import collections
 import hashlib
-import html as html_lib
+import html
+import html.parser
 import math
+import os
 import random
 import re
 import time
@@ -20,6 +22,7 @@ from corpusloom.llm.queries import vocabulary
 from corpusloom.llm.tokens import Encoder
 
 SPACE = re.compile("[^\x20\x09-\x0d]+")
+PAGES = "/root/testdata/sf0.001"
 DOCS = "doc_id long, text string, source string, n_chars long, row string, fp long, score double, spans string"
 
 
@@ -138,7 +141,98 @@ def test_extraction_edges(spark):
     pages = spark.createDataFrame([(1, "u", None), (2, None, ""), (3, "u", "plain words, no tags."), (4, "u", "<p>cut off <a href='x"), (5, "u", "<script>never closed"), (5, "u", "<p>a</p>"), (6, "u", "<article><p>x &lt;y&gt; &am z")], "page_id long, url string, html string")
     got = rows_of(extract.extract(pages), "page_id", "url", "text", "n_chars")
     assert got == collections.Counter([(1, "u", "", 0), (2, None, "", 0), (3, "u", "plain words, no tags.", 21), (4, "u", "cut off", 7), (5, "u", "", 0), (5, "u", "a", 1), (6, "u", "x <y> &am z", 11)])
-    assert html_lib.unescape("&am") == "&am"
+    assert html.unescape("&am") == "&am"
+
+
+class ArticleReader(html.parser.HTMLParser):
+    """The blocks inside article elements, by the library's parser."""
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.depth, self.blocks, self.held = 0, [], []
+
+    def end_block(self):
+        text = " ".join("".join(self.held).split())
+        if text:
+            self.blocks.append(text)
+        self.held = []
+
+    def handle_starttag(self, tag, attrs):
+        self.depth += tag == "article"
+        if tag in ("article", "p", "h1", "h2", "ul", "li", "div"):
+            self.end_block()
+        if tag == "br":
+            self.held.append(" ")
+
+    def handle_endtag(self, tag):
+        if tag in ("article", "p", "h1", "h2", "ul", "li", "div"):
+            self.end_block()
+        self.depth -= tag == "article"
+
+    def handle_data(self, data):
+        if self.depth:
+            self.held.append(data)
+
+
+@pytest.mark.skipif(not os.path.isdir(PAGES), reason="no data here")
+def test_extraction_agrees_with_a_plain_reading_of_pages(spark):
+    pages = spark.read.parquet(f"{PAGES}/pages.parquet")
+    wanted = {}
+    for r in pages.collect():
+        reader = ArticleReader()
+        reader.feed(r["html"] or "")
+        reader.close()
+        wanted[r["page_id"]] = "\n\n".join(reader.blocks)
+    got = {r["page_id"]: r["text"] for r in extract.extract(pages).collect()}
+    assert len(got) > 20 and got == wanted
+
+
+def test_ratios_choose_without_names(monkeypatch):
+    """No element says which is the article, and none is marked; then ratios that say nothing keep everything."""
+    long = "".join(f"<p>Part {i} of the text, which is long enough, and has its marks; some more of it follows here.</p>" for i in range(9))
+    page = f"<body><div><div><a href=/>Menu</a></div><div><a href=/a>More</a></div></div><div>Short teaser.</div><section>{long}</section><div>Legal text</div></body>"
+    blocks, elements = extract.blocks_of(page)
+    assert len(blocks) == 13
+    assert [b.text[:4] for b in extract.content_blocks(blocks, elements)] == ["Part"] * 9
+    monkeypatch.setattr(extract, "fused_ratios", lambda blocks: np.ones(len(blocks)))
+    assert extract.content_blocks(blocks, elements) == blocks
+
+
+def test_ratios_by_hand():
+    page = "<div><p>ab, c.</p><p>abcd</p></div><ul><li><a>xy</a> z!</li></ul>"
+    blocks, _ = extract.blocks_of(page)
+    w = np.exp(-2.0)
+    a, b, c = w / (1 + 2 * w), 1 / (1 + 2 * w), w / (1 + 2 * w)
+    text, marks = [5.0, 5.0, 3.0], [1.0, 1.0, 1.0]
+    soft = lambda v: [a * v[0] + b * v[0] + c * v[1], a * v[0] + b * v[1] + c * v[2], a * v[1] + b * v[2] + c * v[2]]
+    assert extract.fused_ratios(blocks).tolist() == pytest.approx([x * (1 + y) for x, y in zip(soft(text), soft(marks), strict=True)])
+
+
+HOSTILE = {
+    "attributes": "<p>a</p><a " + 'x="y" ' * 170_000,
+    "open quotes": "<p>a</p><a " + '="' * 500_001 + "></a>",
+    "quoted ends": '<a x=">"' * 120_000,
+    "nested": "<div>" * 90_000 + "x" + "</div>" * 90_000,
+    "headings": "<h1>" * 100_000 + "x<p>" * 100_000,
+    "signs": "<a<" * 300_000,
+    "paragraphs": "<p>word, word. " * 60_000,
+    "ends": "</b></div>" * 100_000,
+    "comments": "<!--" * 250_000,
+    "heads": "<div><header class=x>" * 40_000 + "t",
+    "references": "&amp" * 250_000,
+    "scripts": "<script>" * 120_000,
+    "tables": "<table><tr><td>" * 60_000,
+    "spans": "<span class=ad>x" * 40_000 + "</span>" * 40_000,
+    "paths": "".join(f"<div class=c{i}><p>x, y.</p>" for i in range(30_000)),
+}
+
+
+@pytest.mark.parametrize("name", sorted(HOSTILE))
+def test_hostile_pages_take_linear_time(name):
+    """A page of about 1 MB; quadratic work takes minutes, and what is meant is a second or few."""
+    began = time.process_time()
+    extract.main_text(HOSTILE[name])
+    assert time.process_time() - began < 12
 
 
 # Quality vote ----------------------------------------------------------------------------------------------
