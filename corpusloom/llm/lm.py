@@ -1,27 +1,36 @@
 """Language-model scoring with a gated recurrent network and class-factored output.
 
-Words are counted over all training documents.  The ``vocabulary`` most frequent ones, seen ``LEAST`` times or
+Words are counted over all training documents, and documents become numbers once, in a table.  The ``vocabulary`` most frequent ones, seen ``LEAST`` times or
 more, are held by every worker; each belongs to an output class made of the kind of document it is most typical of and its frequency.
 All other words belong to a few tail classes, by their letters and endings.  A token's probability is that of
-its class, by the network's softmax over classes given everything before it, times that of the word within
-its class, by the corpus counts: a softmax whose logits are the logarithms of counts, so that no training
-token is left out.  Each tail class keeps the share of its words seen once for unknown words (Good and Turing's
-estimate), all unknown words of a class being one outcome, and probabilities add up to one.
+its class, by the network's softmax over classes given everything before it, times that of the word within its
+class: a softmax over the words of the class whose logits are the logarithms of their counts, to which the network
+adds, for the ``LEARNED`` most frequent words, what it has learned of them given the same state.  Each tail class
+keeps the share of its words seen once for unknown words (Good and Turing's estimate), all unknown words of a class
+being one outcome, and probabilities add up to one.
 
 The network is a GRU in numpy, trained by truncated backpropagation.  It starts from the counts of all in its
 class biases and from some steps on the driver over the ``sample_docs`` training documents of the smallest
-identifier hashes, which also settle the centres of the kinds of documents; what kind a word is typical of is
-counted over all training documents, each of the kind of its nearest centre.  Then the tasks of the whole corpus each go on
-from there over all of their training documents; what they reach is averaged by tokens, in a tree.  Documents are scored whole: a worker runs many side by side in windows, carries each one's state from
-window to window, and fills places that become free.
+identifier hashes that have ``SAMPLE_TOKENS`` tokens at most, which also settle the centres of the kinds of documents;
+what kind a word is typical of is counted over all training documents, each of the kind of its nearest centre.
+Then it goes on over all training documents, each once, in some rounds: a round's documents are dealt to shards by
+the hash of their numbers, a task goes on from the round's network over the documents of its shard in the order of
+these hashes, and what the shards reach is averaged by tokens, in a tree.  So the result doesn't follow the files or
+partitions that documents come in; of texts that repeat very often, whose copies are dealt by their place, it may
+differ by as little as a few copies' weight.  The number of shards grows with the tokens, up to ``MOST_SHARDS`` a
+round; from there on shards grow.  Documents are scored whole: a worker runs many side by side in windows, carries
+each one's state from window to window, and fills places that become free.
 
 Tail words are looked up by a join with the count table, which may be of any size; frequent words never reach
 it.  Null texts are the end token alone; rows without identifier train; repeated rows and identifiers are
-scored apart; without training documents every score follows from the formula with zero counts.
+scored apart; without training documents every score follows from the formula with zero counts; other columns are
+dropped.
 """
 
 from __future__ import annotations
 
+import heapq
+import itertools
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -41,69 +50,87 @@ VOCABULARY = 1 << 17
 LEAST = 3
 KINDS, BINS, TAIL = 8, 8, 16
 CLASSES = KINDS * BINS + TAIL
-#: Words with an input vector of their own; others enter as their class.
-INPUTS = 2048
+#: Words with an input vector of their own, others enter as their class; and with an output vector of their own.
+INPUTS = LEARNED = 2048
 HIDDEN = 32
 ALPHA = 0.1
 #: Distinct words that a counting task holds before it passes them on.
 HELD_WORDS = 400_000
-#: Training documents refine the network in so many streams, so many tokens at a time, at a lower rate.
-STREAMS, CHUNK, RATE = 64, 64 * 24 * 16, 0.002
+#: Streams and steps of a window while training, and the tokens that a task takes up at a time.
+STREAMS, STEPS, CHUNK = 512, 24, 512 * 24 * 8
+#: Rounds of the training, tokens of a shard, shards of a round, and the shards that make another round worth it.
+ROUNDS, SHARD_TOKENS, MOST_SHARDS, LEAST_SHARDS = 4, 1 << 20, 4096, 4
+RATE = 0.004
+#: Tokens of a document that the driver's sample may have.
+SAMPLE_TOKENS = 1 << 13
+#: Rows with the same text beyond which they are dealt by their place; with more rows in all, a 10,000th part of them.
+COPIES = 256
 #: Documents side by side, and steps of a window, while scoring.
 PLACES, WINDOW = 256, 32
+#: Rows of a softmax at a time, and tokens of documents that are read ahead.
+BLOCK, AHEAD = 1024, 1 << 19
 
 
 def words_of(text: str | None) -> list[bytes]:
     return text.encode("utf-8", "surrogatepass").translate(LOWER).split() if text else []
 
 
+def _endings() -> bytes:
+    """What a word's last byte says of it, as 0 to 6: a letter or above ASCII, a full stop, a comma, a loud end, a digit, a sign, all else."""
+    kinds = [(b".", 1), (b",", 2), (b"!?", 3), (b"0123456789", 4), (b"#$%&*|", 5)]
+    return bytes(0 if b >= 128 or chr(b).isalpha() else next((k for ends, k in kinds if b in ends), 6) for b in range(256))
+
+
+ENDING = _endings()
+
+
 def tail_class(word: bytes) -> int:
     """0 to 15: by whether a word is ASCII, and by its last character."""
-    if not word:
-        return 15
-    end = word[-1:]
-    kind = 0 if end.isalpha() or end >= b"\x80" else 1 if end == b"." else 2 if end == b"," else 3 if end in b"!?" else 4 if end.isdigit() else 5 if end in b"#$%&*|" else 6
-    return kind + (0 if word.isascii() else 8)
+    return 15 if not word else ENDING[word[-1]] + (0 if word.isascii() else 8)
 
 
 @dataclass
 class Tables:
     """What every worker knows of the frequent words and of the classes."""
 
-    number: dict[bytes, int] = field(default_factory=dict)
     class_of: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
     in_class: np.ndarray = field(default_factory=lambda: np.zeros(0))  # natural log of a word's share of its class
-    base: np.ndarray = field(default_factory=lambda: np.zeros(0))  # log10 of the base model
     tail_known: np.ndarray = field(default_factory=lambda: np.zeros(TAIL))  # log10 of what one count of a tail word is worth
     tail_unknown: np.ndarray = field(default_factory=lambda: np.zeros(TAIL))  # log10 of the unknown words' share
     mass: np.ndarray = field(default_factory=lambda: np.full(CLASSES, ALPHA))
-
-    def ids(self, words: list[bytes]) -> tuple[np.ndarray, list[bytes]]:
-        """Word numbers, or -1 - tail class; and the tail words."""
-        find = self.number.get
-        ids = np.array([find(w, -1) for w in words], np.int64)
-        rest = np.flatnonzero(ids < 0).tolist()
-        tail = [words[i] for i in rest]
-        ids[rest] = [-1 - tail_class(w) for w in tail]
-        return ids, tail
+    # The learned words by class: where each is, where classes begin, shares of the class, and what is left of it.
+    slot: np.ndarray = field(default_factory=lambda: np.zeros(0, np.int64))
+    begin: np.ndarray = field(default_factory=lambda: np.zeros(KINDS * BINS + 1, np.int64))
+    share: np.ndarray = field(default_factory=lambda: np.zeros(0, np.float32))
+    rest: np.ndarray = field(default_factory=lambda: np.ones(KINDS * BINS, np.float32))
 
     def classes(self, ids: np.ndarray) -> np.ndarray:
         if not len(self.class_of):
             return KINDS * BINS - 1 - ids
         return np.where(ids >= 0, self.class_of[np.maximum(ids, 0)], KINDS * BINS - 1 - ids)
 
-    def inputs(self, ids: np.ndarray, classes: np.ndarray) -> np.ndarray:
-        """What the network reads before each token: the token before it, or the start."""
+    def fed(self, docs: list[np.ndarray]) -> np.ndarray:
+        """Documents end to end as three rows: what the network reads before each token (the token before it, or the start), classes, words."""
+        ids = np.concatenate(docs).astype(np.int64)
+        classes = self.classes(ids)
         own = np.where((ids >= 0) & (ids < INPUTS), ids, INPUTS + classes)
-        return np.concatenate([[INPUTS + CLASSES], own[:-1]])
+        x = np.concatenate([[0], own[:-1]])
+        x[np.cumsum([0, *(len(d) for d in docs[:-1])])] = INPUTS + CLASSES
+        return np.stack([x, classes, ids])
 
 
-def sigmoid(x: np.ndarray) -> np.ndarray:
-    return 1 / (1 + np.exp(-x))
+def numbered(words: list[bytes], number: dict[bytes, int]) -> tuple[np.ndarray, Counter]:
+    """Word numbers, or -1 - tail class, of a document and its end; and its tail words, with their counts."""
+    words = [*words, b""]
+    ids = np.array([number.get(w, -1) for w in words], np.int32)
+    rest = np.flatnonzero(ids < 0)
+    tail = [words[i] for i in rest.tolist()]
+    ids[rest] = [-1 - tail_class(w) for w in tail]
+    return ids, Counter(tail)
 
 
 class Network:
-    """A GRU over input vectors, with a softmax over classes."""
+    """A GRU over input vectors, with a softmax over classes and one over the words of each class."""
 
     def __init__(self, mass: np.ndarray, seed: int = 7):
         rng = np.random.default_rng(seed)
@@ -112,78 +139,203 @@ class Network:
             "hidden": rng.normal(0, 0.5 / math.sqrt(HIDDEN), (HIDDEN, 3 * HIDDEN)).astype(np.float32),
             "out": np.zeros((HIDDEN, CLASSES), np.float32),
             "bias": np.log(np.maximum(mass, 1e-9) / mass.sum()).astype(np.float32),
+            "words": np.zeros((LEARNED, HIDDEN), np.float32),
         }
         self.moments: tuple[dict, dict, int] | None = None
-
-    def states(self, x: np.ndarray, h: np.ndarray, keep: list | None = None) -> np.ndarray:
-        """The states after each of the inputs x (steps x rows), from h; ``keep`` gets what backpropagation needs."""
-        u, vectors = self.p["hidden"], self.p["inputs"]
-        out = np.empty((*x.shape, HIDDEN), np.float32)
-        start = INPUTS + CLASSES
-        for t in range(len(x)):
-            if (fresh := x[t] == start).any():
-                h = np.where(fresh[:, None], np.float32(0), h)
-            gx, gh = vectors[x[t]], h @ u
-            zr = sigmoid(gx[:, : 2 * HIDDEN] + gh[:, : 2 * HIDDEN])
-            z, r, ghn = zr[:, :HIDDEN], zr[:, HIDDEN:], gh[:, 2 * HIDDEN :]
-            n = np.tanh(gx[:, 2 * HIDDEN :] + r * ghn)
-            before, h = h, n + z * (h - n)
-            out[t] = h
-            if keep is not None:
-                keep.append((before, z, r, n, ghn, fresh))
-        return out
-
-    def log_classes(self, states: np.ndarray) -> np.ndarray:
-        logits = states.reshape(-1, HIDDEN) @ self.p["out"] + self.p["bias"]
-        logits -= logits.max(axis=1, keepdims=True)
-        return logits - np.log(np.exp(logits).sum(axis=1, keepdims=True))
-
-    def gradients(self, x: np.ndarray, y: np.ndarray, h: np.ndarray) -> tuple[dict[str, np.ndarray], np.ndarray, float]:
-        """Truncated backpropagation over one window; also the last state and the mean loss."""
-        keep: list = []
-        states = self.states(x, h, keep)
-        logs = self.log_classes(states)
-        flat = y.ravel()
-        loss = -float(logs[np.arange(len(flat)), flat].mean())
-        d = np.exp(logs)
-        d[np.arange(len(flat)), flat] -= 1
-        d /= len(flat)
-        g = {k: np.zeros_like(v) for k, v in self.p.items()}
-        g["out"], g["bias"] = states.reshape(-1, HIDDEN).T @ d, d.sum(axis=0)
-        dh_out = (d @ self.p["out"].T).reshape(states.shape)
-        dh, read = np.zeros_like(h), []
-        for t in reversed(range(len(x))):
-            before, z, r, n, ghn, fresh = keep[t]
-            dh = dh + dh_out[t]
-            dz, dn = dh * (before - n) * z * (1 - z), dh * (1 - z) * (1 - n * n)
-            dr = dn * ghn * r * (1 - r)
-            dgh = np.concatenate([dz, dr, dn * r], axis=1)
-            read.append(np.concatenate([dz, dr, dn], axis=1))
-            g["hidden"] += before.T @ dgh
-            dh = np.where(fresh[:, None], np.float32(0), dh * z + dgh @ self.p["hidden"].T)
-        order = np.argsort(x[::-1], axis=None, kind="stable")
-        seen, first = np.unique(x[::-1].ravel()[order], return_index=True)
-        g["inputs"][seen] = np.add.reduceat(np.concatenate(read)[order], first)
-        return g, states[-1], loss
-
-    def train(self, streams: np.ndarray, targets: np.ndarray, steps: int = 400, window: int = 24, rate: float = 0.01, decay: bool = True) -> list[float]:
-        """Adam over the windows of parallel streams (rows x tokens), in order; states are carried along."""
-        zeros = lambda: {k: np.zeros_like(x) for k, x in self.p.items()}
+        self.spaces: dict[tuple, np.ndarray] = {}
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"spaces": {}, "moments": None}
+
+    def space(self, name: str, *shape: int) -> np.ndarray:
+        """An array that is used again, with whatever it holds."""
+        key = (name, shape, self.p["hidden"].dtype)
+        if key not in self.spaces:
+            if len(self.spaces) > 64:
+                self.spaces.clear()
+            self.spaces[key] = np.empty(shape, key[2])
+        return self.spaces[key]
+
+    def states(self, x: np.ndarray, h: np.ndarray, keep: dict | None = None) -> np.ndarray:
+        """The states after each of the inputs x (steps x rows), from h; ``keep`` gets what backpropagation needs.
+
+        Inside, features come first and rows second, so that gates are contiguous.
+        """
+        u, vectors = self.p["hidden"].T.copy(), self.p["inputs"].T.copy()
+        steps, rows = x.shape
+        out = self.space("states", steps, HIDDEN, rows)
+        held = steps if keep is not None else 1
+        gates, new, inner, before = (self.space(name, held, n, rows) for name, n in (("gates", 2 * HIDDEN), ("new", HIDDEN), ("inner", HIDDEN), ("before", HIDDEN)))
+        gx, gh = self.space("gx", 3 * HIDDEN, rows), self.space("gh", 3 * HIDDEN, rows)
+        fresh = x == INPUTS + CLASSES
+        any_fresh = fresh.any(axis=1)
+        h = h.T
+        for t in range(steps):
+            i = t if keep is not None else 0
+            zr, n, ghn, old = gates[i], new[i], inner[i], before[i]
+            old[:] = h
+            if any_fresh[t]:
+                old[:, fresh[t]] = 0
+            np.take(vectors, x[t], axis=1, out=gx, mode="clip")
+            np.matmul(u, old, out=gh)
+            np.add(gx[: 2 * HIDDEN], gh[: 2 * HIDDEN], out=zr)
+            np.negative(zr, out=zr)
+            np.exp(zr, out=zr)
+            zr += 1
+            np.reciprocal(zr, out=zr)
+            ghn[:] = gh[2 * HIDDEN :]
+            np.multiply(zr[HIDDEN:], ghn, out=n)
+            n += gx[2 * HIDDEN :]
+            np.tanh(n, out=n)
+            h = out[t]
+            np.subtract(old, n, out=h)
+            h *= zr[:HIDDEN]
+            h += n
+        if keep is not None:
+            keep.update(gates=gates, new=new, inner=inner, before=before, fresh=fresh)
+        found = self.space("found", steps, rows, HIDDEN)
+        found[:] = out.transpose(0, 2, 1)
+        return found
+
+    def of_classes(self, states: np.ndarray, y: np.ndarray, g: dict | None = None, back: np.ndarray | None = None, share: float = 1.0) -> np.ndarray:
+        """Log probabilities of the classes y (0 where y is negative) after states (rows x hidden).
+
+        Adds gradients of their negative sum, times ``share``, to ``g`` and ``back``.  Rows are taken some at a time.
+        """
+        out, bias = self.p["out"], self.p["bias"]
+        # No logit is above this, and if none can be far below it, no row needs its own largest one.
+        top = float((bias + np.abs(out).sum(axis=0)).max())
+        near = top - float((bias - np.abs(out).sum(axis=0)).min()) < 80
+        logs = np.empty(len(states), np.float64)
+        for a in range(0, len(states), BLOCK):
+            own, target = states[a : a + BLOCK], y[a : a + BLOCK]
+            e = np.matmul(own, out, out=self.space("classes", len(own), CLASSES))
+            e += bias - top if near else bias
+            if not near:
+                e -= e.max(axis=1, keepdims=True)
+            at = np.arange(len(own)), np.maximum(target, 0)
+            picked = e[at]
+            np.exp(e, out=e)
+            total = e @ np.ones(CLASSES, e.dtype)
+            logs[a : a + BLOCK] = np.where(target >= 0, picked - np.log(total), 0)
+            if g is not None:
+                scale = np.where(target >= 0, share, 0).astype(e.dtype)
+                e *= (scale / total)[:, None]
+                e[at] -= scale
+                g["out"] += own.T @ e
+                g["bias"] += np.ones(len(own), e.dtype) @ e
+                back[a : a + BLOCK] += e @ out.T
+        return logs
+
+    def of_words(self, states: np.ndarray, y: np.ndarray, words: np.ndarray, tables: Tables, g: dict | None = None, back: np.ndarray | None = None, share: float = 1.0) -> np.ndarray:
+        """Log probabilities of words within their classes y, by number (0 where it is negative); gradients as above."""
+        vectors = self.p["words"]
+        logs = np.zeros(len(states), np.float64)
+        frequent = np.flatnonzero(words >= 0)
+        logs[frequent] = tables.in_class[words[frequent]]
+        order = frequent[np.argsort(y[frequent].astype(np.int8), kind="stable")]
+        edges = np.searchsorted(y[order], np.arange(KINDS * BINS + 1))
+        for k in range(KINDS * BINS):
+            first, last = int(tables.begin[k]), int(tables.begin[k + 1])
+            if first == last:
+                continue
+            for a in range(int(edges[k]), int(edges[k + 1]), BLOCK):
+                rows = order[a : min(a + BLOCK, int(edges[k + 1]))]
+                own = states[rows]
+                slot = tables.slot[words[rows]]
+                learned = np.flatnonzero(slot >= 0)
+                at = learned, slot[learned] - first
+                e = own @ vectors[first:last].T
+                logs[rows[learned]] += e[at]
+                np.exp(e, out=e)
+                e *= tables.share[first:last]
+                total = e @ np.ones(last - first, e.dtype) + tables.rest[k]
+                logs[rows] -= np.log(total)
+                if g is not None:
+                    e *= (share / total)[:, None].astype(e.dtype)
+                    e[at] -= e.dtype.type(share)
+                    g["words"][first:last] += e.T @ own
+                    back[rows] += e @ vectors[first:last]
+        return logs
+
+    def gradients(self, x: np.ndarray, y: np.ndarray, words: np.ndarray, h: np.ndarray, tables: Tables) -> tuple[dict[str, np.ndarray], np.ndarray, float]:
+        """Truncated backpropagation over one window (steps x rows); also the last state and the mean loss."""
+        kept: dict = {}
+        states = self.states(x, h, kept)
+        flat, target = states.reshape(-1, HIDDEN), y.ravel()
+        count = max(1, int((target >= 0).sum()))
+        g = {k: self.space(f"g {k}", *v.shape) for k, v in self.p.items()}
+        for v in g.values():
+            v.fill(0)
+        back = self.space("back", *flat.shape)
+        back.fill(0)
+        loss = self.of_classes(flat, target, g, back, 1 / count).sum() + self.of_words(flat, target, words.ravel(), tables, g, back, 1 / count).sum()
+        steps, rows = x.shape
+        coming = self.space("coming", steps, HIDDEN, rows)
+        coming[:] = back.reshape(states.shape).transpose(0, 2, 1)
+        u = self.p["hidden"]
+        read, turned = self.space("read", steps, 3 * HIDDEN, rows), self.space("turned", steps, 3 * HIDDEN, rows)
+        dh, some = np.zeros((HIDDEN, rows), states.dtype), self.space("some", HIDDEN, rows)
+        for t in reversed(range(steps)):
+            n, d, inner = kept["new"][t], read[t], turned[t]
+            z, r = kept["gates"][t][:HIDDEN], kept["gates"][t][HIDDEN:]
+            dz, dr, dn = d[:HIDDEN], d[HIDDEN : 2 * HIDDEN], d[2 * HIDDEN :]
+            dh += coming[t]
+            np.subtract(1, z, out=some)
+            some *= dh  # what comes through 1 - z
+            np.subtract(kept["before"][t], n, out=dz)
+            dz *= some
+            dz *= z
+            np.multiply(n, n, out=dn)
+            np.subtract(1, dn, out=dn)
+            dn *= some
+            np.subtract(1, r, out=dr)
+            dr *= r
+            dr *= kept["inner"][t]
+            dr *= dn
+            inner[: 2 * HIDDEN] = d[: 2 * HIDDEN]
+            np.multiply(dn, r, out=inner[2 * HIDDEN :])
+            dh *= z
+            dh += np.matmul(u, inner, out=some)
+            if kept["fresh"][t].any():
+                dh[:, kept["fresh"][t]] = 0
+            g["hidden"] += kept["before"][t] @ inner.T
+        flat = self.space("flat", x.size, 3 * HIDDEN)
+        flat.reshape(steps, rows, -1)[:] = read.transpose(0, 2, 1)
+        order = np.argsort(x.ravel().astype(np.int16), kind="stable")
+        seen, first = np.unique(x.ravel()[order], return_index=True)
+        g["inputs"][seen] = np.add.reduceat(np.take(flat, order, axis=0, out=self.space("sorted", *flat.shape)), first)
+        return g, states[-1].copy(), -loss / count
+
+    def train(self, streams: np.ndarray, tables: Tables, steps: int | None = None, rate: float = 0.01, decay: bool = True) -> list[float]:
+        """Adam over the windows of parallel streams, in order, once or for so many steps; states are carried along."""
+        x, y, words = streams
+        zeros = lambda: {k: np.zeros_like(v) for k, v in self.p.items()}
         m, v, done = self.moments or (zeros(), zeros(), 0)
-        h = np.zeros((len(streams), HIDDEN), np.float32)
+        h = np.zeros((len(x), HIDDEN), np.float32)
+        steps = -(-x.shape[1] // STEPS) if steps is None else steps
         at, losses = 0, []
         for step in range(1, steps + 1):
-            if at >= streams.shape[1]:
+            if at >= x.shape[1]:
                 at, h = 0, np.zeros_like(h)
-            g, h, loss = self.gradients(streams[:, at : at + window].T, targets[:, at : at + window].T, h)
-            at, done = at + window, done + 1
-            norm = math.sqrt(sum(float((x * x).sum()) for x in g.values()))
+            g, h, loss = self.gradients(*(a[:, at : at + STEPS].T for a in (x, y, words)), h, tables)
+            at, done = at + STEPS, done + 1
+            norm = math.sqrt(sum(float((k * k).sum()) for k in g.values()))
             now = rate * (min(1.0, 2 * (1 - step / (steps + 1))) if decay else min(1.0, done / 20))
-            for k, x in g.items():
-                x *= min(1.0, 1.0 / max(norm, 1e-9))
-                m[k] = 0.9 * m[k] + 0.1 * x
-                v[k] = 0.99 * v[k] + 0.01 * x * x
-                self.p[k] -= now * (m[k] / (1 - 0.9**done)) / (np.sqrt(v[k] / (1 - 0.99**done)) + 1e-7)
+            now *= math.sqrt(1 - 0.99**done) / (1 - 0.9**done)
+            for k, d in g.items():
+                d *= min(1.0, 1.0 / max(norm, 1e-9))
+                m[k] *= 0.9
+                m[k] += 0.1 * d
+                v[k] *= 0.99
+                d *= d
+                d *= 0.01
+                v[k] += d
+                np.sqrt(v[k], out=d)
+                d += 1e-8
+                np.divide(m[k], d, out=d)
+                d *= now
+                self.p[k] -= d
             losses.append(loss)
         self.moments = (m, v, done)
         return losses
@@ -259,19 +411,17 @@ def doc_centres(docs: list[np.ndarray], words: int, rounds: int = 12) -> np.ndar
 
 
 class KindCounts:
-    """How often each frequent word, and the end word, occurs in documents of each kind, the nearest centre's."""
+    """How often each frequent word occurs in documents of each kind, the nearest centre's."""
 
-    def __init__(self, centres: np.ndarray, number: dict[bytes, int]):
-        self.centres, self.number = centres, number
-        self.counts = np.zeros(len(number) * KINDS, np.int64)
+    def __init__(self, centres: np.ndarray, words: int):
+        self.centres = centres
+        self.counts = np.zeros(words * KINDS, np.int64)
         self.held: list[np.ndarray] = []
         self.size = 0
 
-    def add(self, words: list[bytes]) -> None:
-        ids = np.array([self.number.get(w, -1) for w in words], np.int64)
+    def add(self, ids: np.ndarray) -> None:
         kind = int(((self.centres - shares(ids, self.centres.shape[1])) ** 2).sum(axis=1).argmin())
-        ends = [self.number[b""]] if b"" in self.number else []
-        self.held.append(np.concatenate([ids[ids >= 0], np.array(ends, np.int64)]) * KINDS + kind)
+        self.held.append(ids[ids >= 0].astype(np.int64) * KINDS + kind)
         self.size += len(self.held[-1])
         if self.size > len(self.counts):
             self.flush()
@@ -291,33 +441,31 @@ def typical(counts: np.ndarray) -> np.ndarray:
     return ((counts + 0.01) / (counts.sum(axis=0) + 1)).argmax(axis=1)
 
 
-def doc_kinds(docs: list[list[bytes]], number: dict[bytes, int]) -> np.ndarray:
+def doc_kinds(docs: list[np.ndarray], words: int) -> np.ndarray:
     """For each frequent word its kind, by these documents alone."""
-    if not docs or not number:
-        return np.zeros(len(number), np.int64)
-    found = KindCounts(doc_centres([np.array([number.get(w, -1) for w in d], np.int64) for d in docs], len(number)), number)
+    if not docs or not words:
+        return np.zeros(words, np.int64)
+    found = KindCounts(doc_centres(docs, words), words)
     for d in docs:
         found.add(d)
     return typical(found.table())
 
 
-def corpus_kinds(rows: DataFrame, docs: list[list[bytes]], number: dict[bytes, int]) -> np.ndarray:
+def corpus_kinds(rows: DataFrame, docs: list[np.ndarray], words: int) -> np.ndarray:
     """For each frequent word its kind, by all training documents; ``docs`` give the centres alone.
 
     A task sends a row of ``KINDS`` counts a frequent word, and the driver gets as many rows as there are words.
     """
-    if not docs or not number:
-        return np.zeros(len(number), np.int64)
-    small_batches(rows.sparkSession)
-    centres = doc_centres([np.array([number.get(w, -1) for w in d], np.int64) for d in docs], len(number))
-    sent = rows.sparkSession.sparkContext.broadcast((centres, number))
+    if not docs or not words:
+        return np.zeros(words, np.int64)
+    centres = doc_centres(docs, words)
     names = [f"n{k}" for k in range(KINDS)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found = KindCounts(*sent.value)
+        found = KindCounts(centres, words)
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                found.add(words_of(text))
+            for ids in batch.column(0).to_pylist():
+                found.add(np.frombuffer(ids, "<i4"))
         table = found.table()
         seen = np.flatnonzero(table.any(axis=1))
         for at in range(0, len(seen), 1 << 14):
@@ -325,95 +473,130 @@ def corpus_kinds(rows: DataFrame, docs: list[list[bytes]], number: dict[bytes, i
             yield pa.RecordBatch.from_pydict({"word": pa.array(part, pa.int64())} | {n: pa.array(table[part, k], pa.int64()) for k, n in enumerate(names)})
 
     schema = ", ".join(f"{n} long" for n in ["word", *names])
-    summed = rows.where("not held_out").select("text").mapInArrow(run, schema).groupBy("word").agg(*[F.sum(n).alias(n) for n in names]).toArrow()
-    counts = np.zeros((len(number), KINDS), np.int64)
+    summed = rows.where("not held_out").select("ids").mapInArrow(run, schema).groupBy("word").agg(*[F.sum(n).alias(n) for n in names]).toArrow()
+    counts = np.zeros((words, KINDS), np.int64)
     counts[summed["word"].to_numpy()] = np.column_stack([summed[n].to_numpy() for n in names])
     return typical(counts)
 
 
-def tables_of(top: list[tuple[bytes, int, int]], tail_counts: np.ndarray, total: float, distinct: int, docs: list[list[bytes]], kinds: np.ndarray | None = None) -> Tables:
-    """Classes of the frequent words (word, tail class, count) in order, and what all counts say of them.
-
-    The words' kinds are those given, or what ``docs`` say.
-    """
-    out = Tables(number={w: i for i, (w, _, _) in enumerate(top)})
+def tables_of(top: list[tuple[bytes, int, int]], tail_counts: np.ndarray, total: float, distinct: int, kinds: np.ndarray) -> Tables:
+    """Classes of the frequent words (word, tail class, count) in order, by their kinds, and what all counts say of them."""
+    out = Tables()
     c = np.array([n for _, _, n in top], np.float64)
-    if kinds is None:
-        kinds = doc_kinds(docs, out.number)
-    # Bins hold about equal mass of each kind, the most frequent words first.
-    bins = np.zeros(len(top), np.int64)
+    # A kind has bins by its mass, one at least, and they hold about equal mass, the most frequent words first.
+    out.class_of, first = np.zeros(len(top), np.int64), 0
+    held = np.bincount(kinds, c, KINDS) if len(top) else np.zeros(KINDS)
+    free = KINDS * BINS - KINDS
     for k in range(KINDS):
+        bins = 1 + int(free * held[k] / max(held[k:].sum(), 1))
+        free -= bins - 1
         own = np.flatnonzero(kinds == k)
         if len(own):
-            bins[own] = np.minimum((np.cumsum(c[own]) - c[own]) * BINS // c[own].sum(), BINS - 1)
-    out.class_of = kinds * BINS + bins
+            out.class_of[own] = first + np.minimum((np.cumsum(c[own]) - c[own]) * bins // c[own].sum(), bins - 1)
+        first += bins
     mass = np.bincount(out.class_of, c, CLASSES) if len(top) else np.zeros(CLASSES)
     out.in_class = np.log(c / mass[out.class_of]) if len(top) else np.zeros(0)
+    own = out.class_of[:LEARNED]
+    order = np.argsort(own, kind="stable")
+    out.slot = np.full(len(top), -1, np.int64)
+    out.slot[order] = np.arange(len(order))
+    out.begin = np.searchsorted(own[order], np.arange(KINDS * BINS + 1))
+    shares_of = np.exp(out.in_class[order])
+    out.share = shares_of.astype(np.float32)
+    out.rest = np.maximum(1 - np.bincount(own[order], shares_of, KINDS * BINS), 0).astype(np.float32)
     tokens, once = tail_counts[:, 0], tail_counts[:, 1]
     unknown = np.where(tokens > 0, np.clip(once / np.maximum(tokens, 1), 1 / (tokens + 2), 1 - 1 / (tokens + 2)), 1)
     out.tail_known = np.log10(np.maximum(1 - unknown, 1e-300) / np.maximum(tokens, 1))
     out.tail_unknown = np.log10(unknown)
     mass[KINDS * BINS :] = tokens + ALPHA
     out.mass = np.maximum(mass, 1e-3)
-    out.base = np.log10((c + ALPHA) / (total + ALPHA * (distinct + 1)))
     return out
 
 
-def streams_of(docs: list[list[bytes]], tables: Tables, rows: int = STREAMS) -> tuple[np.ndarray, np.ndarray]:
-    """Documents end to end, dealt to parallel streams: inputs and target classes."""
-    x, y = [], []
-    for d in docs:
-        ids, _ = tables.ids([*d, b""])
-        classes = tables.classes(ids)
-        x.append(tables.inputs(ids, classes))
-        y.append(classes)
-    flat_x, flat_y = np.concatenate(x), np.concatenate(y)
-    length = max(1, len(flat_x) // rows)
-    rows = min(rows, len(flat_x) // length)
-    return flat_x[: rows * length].reshape(rows, length), flat_y[: rows * length].reshape(rows, length)
+def streams_of(docs: list[np.ndarray], tables: Tables, rows: int = STREAMS) -> np.ndarray:
+    """Documents end to end, dealt to parallel streams: inputs, target classes and words, negative where a stream has ended."""
+    flat = tables.fed(docs)
+    n = flat.shape[1]
+    rows = max(1, min(rows, n // STEPS))
+    length = -(-n // rows)
+    out = np.full((3, rows * length), -1, np.int64)
+    out[0] = INPUTS + CLASSES
+    out[:, :n] = flat
+    return out.reshape(3, rows, length)
 
 
-def refined(rows: DataFrame, network: Network, tables: Tables, fan: int = 16) -> Network:
-    """The mean of what each task's training documents, all of them, make of the network.
+def shards(rows: DataFrame, tokens: int, documents: int) -> tuple[int, int, DataFrame]:
+    """Rounds, shards of a round, and the training documents' ids with their ``round``, ``shard`` and ``hash``.
 
-    A task holds one stretch of tokens at a time; parameters, under 1 MB a task, meet ``fan`` at a time.
+    Documents that repeat beyond a bound, 10,000 of them at most, are dealt by their place and not by their hash alone.
     """
+    whole = max(1, -(-tokens // SHARD_TOKENS))
+    rounds = max(1, min(ROUNDS, whole // LEAST_SHARDS))
+    each = min(MOST_SHARDS, -(-whole // rounds))
+    texts = rows.where("not held_out").select("ids", F.xxhash64("ids").alias("hash"), F.col("uid").alias("place"))
+    often = materialize(texts.groupBy("hash").agg(F.count("*").alias("n")).where(F.col("n") > max(COPIES, documents // 10_000)).select("hash", F.lit(1).alias("often")), "copies")
+    dealt = texts.join(F.broadcast(often), "hash", "left").withColumn("deal", F.pmod(F.xxhash64("hash", F.when(F.col("often") == 1, F.col("place"))), F.lit(rounds * each)).cast("int"))
+    return rounds, each, dealt.select((F.col("deal") / each).cast("int").alias("round"), F.pmod("deal", F.lit(each)).alias("shard"), "hash", "ids")
+
+
+def refined(rows: DataFrame, network: Network, tables: Tables, tokens: int, documents: int, fan: int = 16) -> Network:
+    """The network after all training documents: in each round the mean of what the shards make of it.
+
+    A task holds one stretch of tokens at a time; parameters, about 1 MB a shard, meet ``fan`` at a time.
+    """
+    small_batches(rows.sparkSession)
+    rounds, each, dealt = shards(rows, tokens, documents)
+    schema = "part long, tokens double, data binary"
+
+    def mean(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.sort_values("part")
+        weight = pdf["tokens"].to_numpy()
+        flat = sum(w * np.frombuffer(d, "<f4").astype(np.float64) for w, d in zip(weight / weight.sum(), pdf["data"], strict=True))
+        return pd.DataFrame({"part": [pdf["part"].iloc[0] // fan], "tokens": [weight.sum()], "data": [flat.astype("<f4").tobytes()]})
+
+    for number in range(rounds):
+        own = dealt.where(F.col("round") == number).select("shard", "hash", "ids").repartitionById(each, "shard").sortWithinPartitions("shard", "hash")
+        parts = materialize(own.select("shard", "ids").mapInArrow(_training(rows, network, tables), schema), "parameters")
+        last = parts.agg(F.max("part")).first()[0]
+        while last:
+            parts = materialize(parts.groupBy(F.floor(F.col("part") / fan)).applyInPandas(mean, schema), "parameters")
+            last //= fan
+        found = parts.select("data").collect()
+        network = network.unpacked(bytes(found[0]["data"])) if found else network
+    return network
+
+
+def _training(rows: DataFrame, network: Network, tables: Tables):
+    """What a task does with the sorted documents of its shards."""
     sent = rows.sparkSession.sparkContext.broadcast((network.packed(), tables))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         data, tables = sent.value
-        own, seen, held, size = Network(np.ones(CLASSES)).unpacked(data), 0, [], 0
+        now, own, seen, held, size = None, None, 0, [], 0
 
         def learn() -> None:
-            x, y = streams_of(held, tables)
-            own.train(x, y, -(-x.shape[1] // 24), 24, RATE, decay=False)
+            nonlocal seen, held, size
+            if size:
+                own.train(streams_of(held, tables), tables, rate=RATE, decay=False)
+            seen, held, size = seen + size, [], 0
+
+        def done() -> Iterator[pa.RecordBatch]:
+            if own is not None:
+                learn()
+                yield pa.RecordBatch.from_pydict({"part": pa.array([now], pa.int64()), "tokens": [float(seen)], "data": pa.array([own.packed()], pa.binary())})
 
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                held.append(words_of(text))
-                size += len(held[-1]) + 1
+            for shard, ids in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+                if shard != now:
+                    yield from done()
+                    now, own, seen = shard, Network(np.ones(CLASSES)).unpacked(data), 0
+                held.append(np.frombuffer(ids, "<i4"))
+                size += len(held[-1])
                 if size >= CHUNK:
                     learn()
-                    seen, held, size = seen + size, [], 0
-        if size:
-            learn()
-            seen += size
-        if seen:
-            yield pa.RecordBatch.from_pydict({"part": pa.array([TaskContext.get().partitionId()], pa.int64()), "tokens": [float(seen)], "data": pa.array([own.packed()], pa.binary())})
+        yield from done()
 
-    def mean(pdf: pd.DataFrame) -> pd.DataFrame:
-        tokens = pdf["tokens"].to_numpy()
-        flat = sum(w * np.frombuffer(d, "<f4").astype(np.float64) for w, d in zip(tokens / tokens.sum(), pdf["data"], strict=True))
-        return pd.DataFrame({"part": [pdf["part"].iloc[0] // fan], "tokens": [tokens.sum()], "data": [flat.astype("<f4").tobytes()]})
-
-    schema = "part long, tokens double, data binary"
-    parts = materialize(rows.where("not held_out").select("text").mapInArrow(run, schema), "parameters")
-    last = parts.agg(F.max("part")).first()[0]
-    while last:
-        parts = materialize(parts.groupBy(F.floor(F.col("part") / fan)).applyInPandas(mean, schema), "parameters")
-        last //= fan
-    found = parts.select("data").collect()
-    return network.unpacked(bytes(found[0]["data"])) if found else network
+    return run
 
 
 class Scorer:
@@ -422,51 +605,57 @@ class Scorer:
     def __init__(self, network: Network, tables: Tables):
         self.network, self.tables = network, tables
         self.h = np.zeros((PLACES, HIDDEN), np.float32)
-        self.x: list = [None] * PLACES
-        self.y: list = [None] * PLACES
+        self.doc: list = [None] * PLACES
         self.at = [0] * PLACES
         self.total = [0.0] * PLACES
         self.key: list = [None] * PLACES
 
-    def run(self, docs: Iterator[tuple[object, np.ndarray, np.ndarray]]) -> Iterator[tuple[object, float]]:
-        """Documents as (key, inputs, classes) to (key, summed natural log of class probabilities)."""
-        more, busy = True, 0
+    def run(self, docs: Iterator[tuple[object, np.ndarray]]) -> Iterator[tuple[object, float]]:
+        """Documents as (key, inputs, classes and words in three rows) to (key, summed natural log of probabilities)."""
+        busy, serial = 0, 0
+        # Documents read ahead, the longest first, so that no long one is left to run alone at the end.
+        ahead: list[tuple[int, int, object, np.ndarray]] = []
+        room, more = AHEAD, True
         while True:
+            while more and room > 0:
+                found = next(docs, None)
+                if found is None:
+                    more = False
+                    break
+                serial += 1
+                room -= found[1].shape[1]
+                heapq.heappush(ahead, (-found[1].shape[1], serial, *found))
             for i in range(PLACES):
-                if more and self.x[i] is None:
-                    found = next(docs, None)
-                    if found is None:
-                        more = False
-                        break
-                    self.key[i], self.x[i], self.y[i] = found
+                if ahead and self.doc[i] is None:
+                    size, _, self.key[i], self.doc[i] = heapq.heappop(ahead)
+                    room -= size
                     self.at[i], self.total[i] = 0, 0.0
                     busy += 1
             if not busy:
                 return
-            active = [i for i in range(PLACES) if self.x[i] is not None]
-            lengths = [min(WINDOW, len(self.x[i]) - self.at[i]) for i in active]
+            active = [i for i in range(PLACES) if self.doc[i] is not None]
+            lengths = [min(WINDOW, self.doc[i].shape[1] - self.at[i]) for i in active]
             steps = max(lengths)
-            x = np.full((len(active), steps), INPUTS + CLASSES, np.int64)
-            y = np.zeros((len(active), steps), np.int64)
+            window = np.empty((3, len(active), steps), np.int64)
+            window[0], window[1:] = INPUTS + CLASSES, -1
             for j, (i, n) in enumerate(zip(active, lengths, strict=True)):
-                x[j, :n], y[j, :n] = self.x[i][self.at[i] : self.at[i] + n], self.y[i][self.at[i] : self.at[i] + n]
-            states = self.network.states(x.T, self.h[active])
+                window[:, j, :n] = self.doc[i][:, self.at[i] : self.at[i] + n]
+            x, y, words = window.transpose(0, 2, 1)
+            states = self.network.states(x, self.h[active])
             self.h[active] = states[-1]
-            logs = self.network.log_classes(states).reshape(steps, len(active), CLASSES)
-            picked = np.take_along_axis(logs, y.T[:, :, None], 2)[:, :, 0].astype(np.float64)
-            picked *= np.arange(steps)[:, None] < np.array(lengths)
-            for i, n, s in zip(active, lengths, picked.sum(axis=0).tolist(), strict=True):
+            flat, y, words = states.reshape(-1, HIDDEN), y.ravel(), words.ravel()
+            logs = self.network.of_classes(flat, y) + self.network.of_words(flat, y, words, self.tables)
+            for i, n, s in zip(active, lengths, logs.reshape(steps, -1).sum(axis=0).tolist(), strict=True):
                 self.total[i] += s
                 self.at[i] += n
-                if self.at[i] >= len(self.x[i]):
+                if self.at[i] >= self.doc[i].shape[1]:
                     yield self.key[i], self.total[i]
-                    self.x[i] = None
+                    self.doc[i] = None
                     busy -= 1
 
 
-def score(docs: DataFrame, sample_docs: int = 2000, steps: int = 400, vocabulary: int = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(docs: DataFrame, sample_docs: int = 2000, steps: int = 200, vocabulary: int = VOCABULARY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The base and the model's log10 probability of every document."""
-    spark = docs.sparkSession
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(crc_mod(id_col, 10) == 0, F.lit(False)).alias("held_out"))
     counts = materialize(count_words(rows.where("not held_out")), "counts")
     total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
@@ -476,81 +665,88 @@ def score(docs: DataFrame, sample_docs: int = 2000, steps: int = 400, vocabulary
         tail[r["k"]] = r["c"], r["once"]
     for _, k, c in top:
         tail[k] -= c, 0
-    picked = rows.where("not held_out").select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
-    sample = [words_of(r["text"]) for r in rows.join(F.broadcast(picked), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(sample_docs).select("text").collect()]
-    kinds = corpus_kinds(rows, sample, {w: i for i, (w, _, _) in enumerate(top)})
-    tables = tables_of(top, tail, total, distinct, sample, kinds)
+    base = np.log10((np.array([c for _, _, c in top], np.float64) + ALPHA) / (total + ALPHA * (distinct + 1)))
+    tokens = materialize(_tokens(rows, {w: i for i, (w, _, _) in enumerate(top)}, base), "tokens")
+    short = tokens.where(~F.col("held_out") & (F.col("n_tokens") <= SAMPLE_TOKENS))
+    picked = short.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
+    found = short.join(F.broadcast(picked), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("ids")).limit(sample_docs).select("ids").collect()
+    sample = [np.frombuffer(r["ids"], "<i4") for r in found]
+    tables = tables_of(top, tail, total, distinct, corpus_kinds(tokens, sample, len(top)))
     network = Network(tables.mass)
     if sample:
-        network.train(*streams_of(sample, tables), steps)
-        network = refined(rows, network, tables)
-    network.moments = None
-    scored = materialize(_scored(rows, network, tables), "scored")
+        network.train(streams_of(sample, tables), tables, steps)
+    if total:
+        documents = next((c for w, _, c in top if not w), 0)
+        network = refined(tokens, network, tables, total, documents)
+    scored = materialize(_scored(tokens, network, tables), "scored")
     unknown = math.log10(ALPHA / (total + ALPHA * (distinct + 1)))
-    return _with_tail(scored, counts, tables, unknown, total, distinct)
+    return _with_tail(scored, tokens, counts, tables, unknown, total, distinct)
 
 
-def _scored(rows: DataFrame, network: Network, tables: Tables) -> DataFrame:
-    """A row per document: its sums over frequent words and classes, and its tail words with their numbers."""
+def _tokens(rows: DataFrame, number: dict[bytes, int], base: np.ndarray) -> DataFrame:
+    """A row per document: its word numbers, 4 bytes each, what the frequent ones say, and its tail words with their counts."""
     small_batches(rows.sparkSession)
-    sent = rows.sparkSession.sparkContext.broadcast((network, tables))
+    sent = rows.sparkSession.sparkContext.broadcast((number, base))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    item = pa.list_(pa.struct([("word", pa.string()), ("k", pa.int32()), ("n", pa.int64())]))
+
+    def tails(found: list[Counter]) -> pa.Array:
+        words = list(itertools.chain.from_iterable(found))
+        flat = pa.StructArray.from_arrays([pa.array(words, pa.binary()).cast(pa.string()), pa.array([tail_class(w) for w in words], pa.int32()), pa.array(list(itertools.chain.from_iterable(x.values() for x in found)), pa.int64())], ["word", "k", "n"])
+        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), flat)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        number, base = sent.value
+        serial = TaskContext.get().partitionId() << 40
+        for batch in batches:
+            ids, tail = zip(*(numbered(words_of(t), number) for t in batch.column(1).to_pylist()), strict=True) if batch.num_rows else ((), ())
+            known = [x[x >= 0] for x in ids]
+            yield pa.RecordBatch.from_pydict({
+                "uid": pa.array(range(serial, serial + batch.num_rows), pa.int64()),
+                "doc_id": batch.column(0),
+                "held_out": batch.column(2),
+                "n_tokens": pa.array([len(x) for x in ids], pa.int64()),
+                "n_top": pa.array([len(x) for x in known], pa.int64()),
+                "base_top": pa.array([float(base[x].sum()) for x in known], pa.float64()),
+                "ids": pa.array([x.astype("<i4").tobytes() for x in ids], pa.binary()),
+                "tail": tails(list(tail)),
+            })
+            serial += batch.num_rows
+
+    schema = f"uid long, doc_id {kind}, held_out boolean, n_tokens long, n_top long, base_top double, ids binary, tail array<struct<word:string,k:int,n:long>>"
+    return rows.select("doc_id", "text", "held_out").mapInArrow(run, schema)
+
+
+def _scored(tokens: DataFrame, network: Network, tables: Tables) -> DataFrame:
+    """``uid`` and the sum of a document's log10 probabilities of classes, and of its frequent words within them."""
+    small_batches(tokens.sparkSession)
+    sent = tokens.sparkSession.sparkContext.broadcast((network, tables))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         network, tables = sent.value
-        part = TaskContext.get().partitionId()
-        serial = 0
-        id_type: list = []
 
-        def feed():
-            nonlocal serial
+        def feed() -> Iterator[tuple[int, np.ndarray]]:
             for batch in batches:
-                id_type[:] = [batch.schema.field(0).type]
-                for doc_id, text, held_out in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                    words = [*words_of(text), b""]
-                    ids, tail = tables.ids(words)
-                    classes = tables.classes(ids)
-                    known = ids[ids >= 0]
-                    facts = {
-                        "uid": (part << 40) + serial,
-                        "doc_id": doc_id,
-                        "held_out": held_out,
-                        "n_tokens": len(words),
-                        "n_top": len(known),
-                        "base_top": float(tables.base[known].sum()),
-                        "in_class": float(tables.in_class[known].sum()),
-                        "tail": [{"word": w.decode("utf-8", "surrogatepass"), "k": tail_class(w), "n": n} for w, n in Counter(tail).items()],
-                    }
-                    serial += 1
-                    yield facts, tables.inputs(ids, classes), classes
-
-        def batch_of(rows: list[dict]) -> pa.RecordBatch:
-            kinds = {"uid": pa.int64(), "doc_id": id_type[0], "held_out": pa.bool_(), "n_tokens": pa.int64(), "n_top": pa.int64(), "base_top": pa.float64(), "score_top": pa.float64(), "tail": item}
-            return pa.RecordBatch.from_pydict({k: pa.array([r[k] for r in rows], t) for k, t in kinds.items()})
-
-        done: list[dict] = []
-        for facts, logs in Scorer(network, tables).run(feed()):
-            done.append(facts | {"score_top": (logs + facts["in_class"]) / math.log(10)})
-            if len(done) >= 256:
-                yield batch_of(done)
-                done = []
-        if done:
-            yield batch_of(done)
-
-    schema = f"uid long, doc_id {kind}, held_out boolean, n_tokens long, n_top long, base_top double, score_top double, tail array<struct<word:string,k:int,n:long>>"
-    return rows.select("doc_id", "text", "held_out").mapInArrow(run, schema)
+                if batch.num_rows:
+                    docs = [np.frombuffer(x, "<i4") for x in batch.column(1).to_pylist()]
+                    parts = np.split(tables.fed(docs).astype(np.int32), np.cumsum([len(d) for d in docs])[:-1], axis=1)
+                    yield from zip(batch.column(0).to_pylist(), parts, strict=True)
+
+        done = Scorer(network, tables).run(feed())
+        while part := list(itertools.islice(done, 4096)):
+            yield pa.RecordBatch.from_pydict({"uid": pa.array([k for k, _ in part], pa.int64()), "score_top": pa.array([x / math.log(10) for _, x in part], pa.float64())})
+
+    return tokens.select("uid", "ids").mapInArrow(run, "uid long, score_top double")
 
 
-def _with_tail(scored: DataFrame, counts: DataFrame, tables: Tables, unknown: float, total: int, distinct: int) -> DataFrame:
+def _with_tail(scored: DataFrame, tokens: DataFrame, counts: DataFrame, tables: Tables, unknown: float, total: int, distinct: int) -> DataFrame:
     """Adds the tail words' part, by a join with the counts."""
     known, new = (F.get(F.array(*[F.lit(float(x)) for x in logs]), F.col("k")) for logs in (tables.tail_known, tables.tail_unknown))
-    found = scored.select("uid", F.explode("tail").alias("t")).select("uid", "t.word", "t.k", "t.n").join(counts.select("word", "c"), "word", "left")
+    found = tokens.select("uid", F.explode("tail").alias("t")).select("uid", "t.word", "t.k", "t.n").join(counts.select("word", "c"), "word", "left")
     c = F.coalesce("c", F.lit(0)).cast("double") + ALPHA
     base = F.when(F.col("c").isNull(), F.lit(unknown)).otherwise(F.log10(c / F.lit(total + ALPHA * (distinct + 1))))
     model = F.when(F.col("c").isNull(), new).otherwise(F.log10("c") + known)
     tail = found.groupBy("uid").agg(F.sum(F.col("n") * base).alias("base_tail"), F.sum(F.col("n") * model).alias("score_tail"), F.sum(F.when(F.col("c").isNotNull(), F.col("n")).otherwise(0)).alias("n_tail"))
-    return scored.drop("tail").join(tail, "uid", "left").select(
+    return tokens.drop("ids", "tail").join(scored, "uid").join(tail, "uid", "left").select(
         "doc_id",
         "held_out",
         "n_tokens",

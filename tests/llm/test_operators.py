@@ -576,96 +576,187 @@ def test_scores(spark, docs):
     assert lm.score(df.limit(0)).count() == 0
 
 
+def as_tokens(spark, rows):
+    """A table as the model makes it, of (doc_id, ids, held_out)."""
+    return spark.createDataFrame([(k, i, bytearray(np.asarray(x, "<i4").tobytes()), h) for k, (i, x, h) in enumerate(rows)], "uid long, doc_id long, ids binary, held_out boolean")
+
+
 def test_every_training_document_refines(spark):
     """Whatever its identifier: none is left out by its hash, the null one neither."""
     docs, _, _, t = tables()
     net = lm.Network(t.mass)
-    text = b" ".join(docs[0]).decode()
     for i in (None, *range(8)):
-        rows = spark.createDataFrame([(i, text, False)], "doc_id long, text string, held_out boolean")
-        assert lm.refined(rows, net, t).packed() != net.packed(), i
-    rows = spark.createDataFrame([(1, text, True)], "doc_id long, text string, held_out boolean")
-    assert lm.refined(rows, net, t).packed() == net.packed()
+        assert lm.refined(as_tokens(spark, [(i, docs[0], False)]), net, t, len(docs[0]), 1).packed() != net.packed(), i
+    assert lm.refined(as_tokens(spark, [(1, docs[0], True)]), net, t, len(docs[0]), 1).packed() == net.packed()
+
+
+def test_training_deals_every_document_once(spark, monkeypatch):
+    monkeypatch.setattr(lm, "SHARD_TOKENS", 100)
+    monkeypatch.setattr(lm, "COPIES", 5)
+    docs = [[i, i + 1, i % 7] for i in range(200)] + [[9, 9, 9]] * 100
+    rounds, each, dealt = lm.shards(as_tokens(spark, [(i, d, i % 10 == 0) for i, d in enumerate(docs)]), 900, 300)
+    rows = dealt.collect()
+    assert rounds == 2 and each == 5
+    assert collections.Counter(tuple(np.frombuffer(r["ids"], "<i4").tolist()) for r in rows) == collections.Counter(tuple(d) for i, d in enumerate(docs) if i % 10)
+    places = collections.Counter((r["round"], r["shard"]) for r in rows)
+    assert set(places) <= {(a, b) for a in range(2) for b in range(5)} and max(places.values()) < 80
+    copies = {(r["round"], r["shard"]) for r in rows if np.frombuffer(r["ids"], "<i4").tolist() == [9, 9, 9]}
+    assert len(copies) > 5
+
+
+def test_scores_do_not_follow_partitions(spark, monkeypatch):
+    monkeypatch.setattr(lm, "SHARD_TOKENS", 500)
+    rng = random.Random(2)
+    texts = [" ".join(rng.choice(["the", "and", "stone", "rare%d" % rng.randrange(40)]) for _ in range(rng.randint(1, 60))) for _ in range(200)]
+    df = documents(spark, [*texts, None, *texts[:9]], [*range(200), 200, *range(300, 309)])
+    few, many = ({r["doc_id"]: r["score"] for r in lm.score(df.repartition(n), sample_docs=30, steps=10).collect()} for n in (4, 40))
+    assert len(few) == 210 and few == pytest.approx(many, rel=1e-6)
 
 
 def test_kinds_come_from_all_training_documents(spark, monkeypatch):
     """Words that the driver's few documents lack are of the kind of the documents that hold them."""
     kept = []
-    monkeypatch.setattr(lm, "refined", lambda rows, network, tables: kept.append(tables) or network)
+    monkeypatch.setattr(lm, "refined", lambda rows, network, tables, *rest: kept.append(tables) or network)
+    made, numbers = lm.frequent, []
+    monkeypatch.setattr(lm, "frequent", lambda *a: numbers.append(made(*a)) or numbers[-1])
     # Two kinds of documents by their frequent words; each has rare words too, spread so that few hold one.
     texts = [f"{'left up ' * 20 if i % 2 else 'right down ' * 20}{'odd' if i % 2 else 'even'}{i // 2 % 60}" for i in range(600)]
     lm.score(documents(spark, texts), sample_docs=20, steps=1)
-    t = kept[0]
-    kind = lambda w: t.class_of[t.number[w]] // lm.BINS
-    known = [i for i in range(60) if f"odd{i}".encode() in t.number and f"even{i}".encode() in t.number]
+    number = {w: i for i, (w, _, _) in enumerate(numbers[0])}
+    of = lambda w: int(kept[0].class_of[number[w]])
+    known = [i for i in range(60) if f"odd{i}".encode() in number and f"even{i}".encode() in number]
     assert len(known) > 50
-    assert not {kind(f"odd{i}".encode()) for i in known} & {kind(f"even{i}".encode()) for i in known}
-    assert kind(b"left") != kind(b"right")
+    assert not {of(f"odd{i}".encode()) for i in known} & {of(f"even{i}".encode()) for i in known}
+    assert of(b"left") != of(b"right")
 
 
-def tables(n=40, seed=0):
+def tables(n=80, seed=0, size=300, least=9):
     rng = random.Random(seed)
-    vocab = [f"w{k}".encode() for k in range(30)] + [b"rare.", "é".encode(), b"odd"]
-    docs = [[rng.choice(vocab[:30]) if rng.random() < 0.95 else rng.choice(vocab[30:]) for _ in range(rng.randint(1, 90))] for _ in range(n)]
+    vocab = [f"w{k}".encode() for k in range(size)] + [b"rare.", "é".encode(), b"odd"]
+    docs = [[rng.choice(vocab[:size]) if rng.random() < 0.999 else rng.choice(vocab[size:]) for _ in range(rng.randint(1, 90))] for _ in range(n)]
     c = collections.Counter(w for d in docs for w in [*d, b""])
-    top = [(w, lm.tail_class(w), k) for w, k in c.most_common() if k >= 20]
+    top = [(w, lm.tail_class(w), k) for w, k in c.most_common() if k >= least]
     tail = np.zeros((lm.TAIL, 2))
     for w, k in c.items():
-        if k < 20:
+        if k < least:
             tail[lm.tail_class(w)] += k, k == 1
-    return docs, c, top, lm.tables_of(top, tail, sum(c.values()), len(c), docs)
+    number = {w: i for i, (w, _, _) in enumerate(top)}
+    ids = [lm.numbered(d, number)[0] for d in docs]
+    return ids, c, top, lm.tables_of(top, tail, sum(c.values()), len(c), lm.doc_kinds(ids, len(top)))
+
+
+def stirred(net, seed=1):
+    """A network with vectors of its own for words, so that what is learned within classes counts."""
+    rng = np.random.default_rng(seed)
+    for k in net.p:
+        net.p[k] = (net.p[k] + rng.normal(0, 0.2, net.p[k].shape)).astype(net.p[k].dtype)
+    return net
 
 
-def test_probabilities_add_up():
+def test_probabilities_add_up(monkeypatch):
+    monkeypatch.setattr(lm, "LEARNED", 100)
     docs, c, top, t = tables()
-    net = lm.Network(t.mass)
-    net.train(*lm.streams_of(docs, t, 4), steps=5)
-    logs = net.log_classes(net.states(np.array([[lm.INPUTS + lm.CLASSES, 3]]), np.zeros((2, lm.HIDDEN), np.float32)))[0].astype(float)
-    total = sum(math.exp(logs[t.class_of[i]] + t.in_class[i]) for i in range(len(top)))
+    assert (t.slot >= 0).sum() == 100 < len(top)
+    net = stirred(lm.Network(t.mass))
+    net.train(lm.streams_of(docs, t, 4), t, steps=5)
+    state = net.states(np.array([[lm.INPUTS + lm.CLASSES, 3]]), np.zeros((2, lm.HIDDEN), np.float32))[0][:1].copy()
+    every = lambda n: np.repeat(state, n, axis=0)
+    logs = net.of_classes(every(lm.CLASSES), np.arange(lm.CLASSES))
+    assert np.exp(logs).sum() == pytest.approx(1, rel=1e-5)
+    within = net.of_words(every(len(top)), t.class_of, np.arange(len(top)), t)
+    sums = np.bincount(t.class_of, np.exp(within), lm.CLASSES)
+    assert sums[np.unique(t.class_of)] == pytest.approx(1, rel=1e-5) and np.ptp(within - t.in_class) > 0.1
     known = {w for w, _, _ in top}
     for k in range(lm.TAIL):
-        p = math.exp(logs[lm.KINDS * lm.BINS + k])
         rest = [n for w, n in c.items() if w not in known and lm.tail_class(w) == k]
-        total += p * (sum(n * 10 ** t.tail_known[k] for n in rest) + 10 ** t.tail_unknown[k])
-    classes = set(t.class_of.tolist()) | set(range(lm.KINDS * lm.BINS, lm.CLASSES))
-    assert total == pytest.approx(sum(math.exp(logs[k]) for k in classes), rel=1e-4)
-    assert total > 0.99
-
-
-def test_gradients():
+        assert sum(n * 10 ** t.tail_known[k] for n in rest) + 10 ** t.tail_unknown[k] == pytest.approx(1)
+
+
+def plain_scores(net, t, ids):
+    """Log10 probability of each frequent word or tail class of one document, by the formulas, token by token."""
+    p = {k: v.astype(np.float64) for k, v in net.p.items()}
+    n = lm.HIDDEN
+    h, last, out = np.zeros(n), lm.INPUTS + lm.CLASSES, 0.0
+    soft = lambda v: 1 / (1 + np.exp(-v))
+    for i in ids.tolist():
+        x, g = p["inputs"][last], h @ p["hidden"]
+        z, r = soft(x[:n] + g[:n]), soft(x[n : 2 * n] + g[n : 2 * n])
+        new = np.tanh(x[2 * n :] + r * g[2 * n :])
+        h = z * h + (1 - z) * new
+        logits = h @ p["out"] + p["bias"]
+        k = int(t.class_of[i]) if i >= 0 else lm.KINDS * lm.BINS - 1 - i
+        out += logits[k] - math.log(np.exp(logits).sum())
+        if i >= 0:
+            members = np.flatnonzero(t.class_of == k)
+            own = np.array([t.in_class[j] + (h @ p["words"][t.slot[j]] if t.slot[j] >= 0 else 0) for j in members])
+            out += own[members == i][0] - math.log(np.exp(own).sum())
+        last = i if 0 <= i < lm.INPUTS else lm.INPUTS + k
+    return out / math.log(10)
+
+
+def test_scores_are_those_of_the_formula(monkeypatch):
+    """Documents of any length, side by side, with states carried across windows."""
+    monkeypatch.setattr(lm, "LEARNED", 100)
+    monkeypatch.setattr(lm, "PLACES", 5)
+    monkeypatch.setattr(lm, "AHEAD", 100)
+    docs, _, _, t = tables(80, 3)
+    docs = docs[:14]
+    docs.append(np.array([1] * 200 + [-3, 2], np.int32))
+    net = stirred(lm.Network(t.mass))
+    net.train(lm.streams_of(docs, t, 4), t, steps=10)
+    got = dict(lm.Scorer(net, t).run((i, t.fed([d]).astype(np.int32)) for i, d in enumerate(docs)))
+    assert {i: x / math.log(10) for i, x in got.items()} == pytest.approx({i: plain_scores(net, t, d) for i, d in enumerate(docs)}, rel=1e-4)
+
+
+def test_whole_scores(spark, docs, monkeypatch):
+    """What the operator returns of each document, against the formula with the tables and the network that it made."""
+    df, rows = docs
+    kept, real = [], lm._scored
+    monkeypatch.setattr(lm, "_scored", lambda tokens, network, tables: kept.append((network, tables)) or real(tokens, network, tables))
+    made, numbers = lm.frequent, []
+    monkeypatch.setattr(lm, "frequent", lambda *a: numbers.append(made(*a)) or numbers[-1])
+    got = collections.Counter((r["doc_id"], round(r["score"], 2)) for r in lm.score(df, sample_docs=20, steps=5, vocabulary=8).collect())
+    net, t = kept[0]
+    number = {w: i for i, (w, _, _) in enumerate(numbers[0])}
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 10 == 0
+    c = collections.Counter(w for i, text in rows if not held(i) for w in [*words(text), ""])
+    expected = collections.Counter()
+    for i, text in rows:
+        ids, tail = lm.numbered([w.encode() for w in words(text)], number)
+        p = plain_scores(net, t, ids)
+        for w, n in tail.items():
+            k = lm.tail_class(w)
+            p += n * (math.log10(c[w.decode()]) + t.tail_known[k] if c[w.decode()] else t.tail_unknown[k])
+        expected[i, round(p, 2)] += 1
+    off = collections.Counter((i, round(p + d, 2)) for (i, p), _ in (got - expected).items() for d in (-0.01, 0, 0.01))
+    assert all((i, p) in off for i, p in (expected - got)) and (got - expected).total() < 8 and len(number) == 8
+
+
+def test_gradients(monkeypatch):
+    monkeypatch.setattr(lm, "LEARNED", 100)
     rng = np.random.default_rng(1)
+    _, _, top, t = tables()
     net = lm.Network(np.ones(lm.CLASSES))
     for k in net.p:
-        net.p[k] = (net.p[k] + rng.normal(0, 0.1, net.p[k].shape)).astype(np.float64)
+        net.p[k] = net.p[k].astype(np.float64)
+    stirred(net)
     x = rng.integers(0, 50, (5, 3))
     x[2, 1] = lm.INPUTS + lm.CLASSES
-    y, h = rng.integers(0, lm.CLASSES, (5, 3)), rng.normal(0, 0.3, (3, lm.HIDDEN))
-    g, _, _ = net.gradients(x, y, h)
-    for k, at in (("hidden", (3, 40)), ("hidden", (1, 70)), ("out", (2, 5)), ("bias", (4,)), ("inputs", (int(x[1, 0]), 9)), ("inputs", (int(x[0, 2]), 80))):
+    ids = rng.integers(-3, len(top), (5, 3))
+    y, h = t.classes(ids), rng.normal(0, 0.3, (3, lm.HIDDEN))
+    y[4, 2], ids[4, 2] = -1, -1  # an ended stream
+    g, _, _ = net.gradients(x, y, ids, h, t)
+    g = {k: v.copy() for k, v in g.items()}
+    seen = int(t.slot[ids[(ids >= 0) & (t.slot[np.maximum(ids, 0)] >= 0)][0]])
+    for k, at in (("hidden", (3, 40)), ("hidden", (1, 70)), ("out", (2, int(y[0, 0]))), ("bias", (int(y[1, 0]),)), ("inputs", (int(x[1, 0]), 9)), ("inputs", (int(x[0, 2]), 80)), ("words", (seen, 5))):
         old, eps, loss = net.p[k][at], 1e-3, []
         for d in (eps, -eps):
             net.p[k][at] = old + d
-            loss.append(net.gradients(x, y, h)[2])
+            loss.append(net.gradients(x, y, ids, h, t)[2])
         net.p[k][at] = old
         assert g[k][at] == pytest.approx((loss[0] - loss[1]) / (2 * eps), rel=0.05, abs=2e-5)
 
 
-def test_state_is_carried_across_windows():
-    docs, _, _, t = tables(12, 3)
-    docs.append([b"w1"] * 200)
-    net = lm.Network(t.mass)
-    net.train(*lm.streams_of(docs, t, 4), steps=10)
-    feed = []
-    for i, d in enumerate(docs):
-        ids, _ = t.ids([*d, b""])
-        k = t.classes(ids)
-        feed.append((i, t.inputs(ids, k), k))
-    got = dict(lm.Scorer(net, t).run(iter(feed)))
-    for i, x, k in feed:
-        logs = net.log_classes(net.states(x[:, None], np.zeros((1, lm.HIDDEN), np.float32)))
-        assert got[i] == pytest.approx(float(logs[np.arange(len(k)), k].sum()), rel=1e-4)
-
-
 # Packing ---------------------------------------------------------------------------------------------------
 
 
