@@ -7,8 +7,13 @@ identifiers are ordinary rows.  Other columns of an input are dropped, or travel
 
 from __future__ import annotations
 
+import ctypes
+import functools
+import glob
+import os
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,7 +23,7 @@ from ..operators.tables import kept as materialize
 from ..operators.tables import scratch
 from ..session import ship
 
-__all__ = ["arrow_pass", "crc_mod", "ddl", "materialize", "quoted", "scratch", "small_batches", "table"]
+__all__ = ["arrow_pass", "crc_mod", "ddl", "materialize", "one_thread", "quoted", "scratch", "small_batches", "table"]
 
 #: Rows of one Arrow batch; texts can be long, so batches are short.
 BATCH_ROWS = 512
@@ -54,6 +59,7 @@ def arrow_pass(
     out = schema + (f", row {ddl(source.schema['row'].dataType)}" if carry else "")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
         work = make()
         for batch in batches:
             if not batch.num_rows:
@@ -66,6 +72,19 @@ def arrow_pass(
     return source.mapInArrow(run, out)
 
 
+@functools.cache
+def one_thread() -> None:
+    """Keeps numpy's products to the thread that asks for them: a task has one core, and small products don't gain by more.
+
+    Where numpy has brought another library than OpenBLAS, all stays as it is.
+    """
+    for path in glob.glob(os.path.join(os.path.dirname(np.__file__), "..", "numpy.libs", "*openblas*")):
+        library = ctypes.CDLL(path)
+        for name in ("scipy_openblas_set_num_threads64_", "scipy_openblas_set_num_threads", "openblas_set_num_threads64_", "openblas_set_num_threads"):
+            if hasattr(library, name):
+                getattr(library, name)(1)
+
+
 def quoted(name: str) -> str:
     """A column's name as an expression, whatever characters it has."""
     return "`" + name.replace("`", "``") + "`"

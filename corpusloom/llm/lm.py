@@ -43,7 +43,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import crc_mod, materialize, small_batches
+from .common import crc_mod, materialize, one_thread, small_batches
 from .simhash import LOWER
 
 VOCABULARY = 1 << 17
@@ -141,6 +141,7 @@ class Network:
             "bias": np.log(np.maximum(mass, 1e-9) / mass.sum()).astype(np.float32),
             "words": np.zeros((LEARNED, HIDDEN), np.float32),
         }
+        one_thread()
         self.moments: tuple[dict, dict, int] | None = None
         self.spaces: dict[tuple, np.ndarray] = {}
 
@@ -722,6 +723,7 @@ def _scored(tokens: DataFrame, network: Network, tables: Tables) -> DataFrame:
     sent = tokens.sparkSession.sparkContext.broadcast((network, tables))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        one_thread()
         network, tables = sent.value
 
         def feed() -> Iterator[tuple[int, np.ndarray]]:

@@ -22,7 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import arrow_pass, crc_mod
+from .common import arrow_pass, crc_mod, one_thread
 
 CLASSES = 12
 EXTRA = 4
@@ -90,6 +90,7 @@ class Model:
 
 def leading(rows: np.ndarray, dimensions: int, rounds: int = 6) -> np.ndarray:
     """The leading right singular directions of rows, by subspace iteration."""
+    one_thread()
     k = min(dimensions, *rows.shape)
     start = np.random.default_rng(0).normal(size=(rows.shape[1], min(k + 16, *rows.shape)))
     basis = np.linalg.qr(start)[0]
