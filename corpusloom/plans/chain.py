@@ -10,6 +10,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .planner import numbered
+
 #: What a terminal record must share with its intent.
 IMMUTABLE = ("operation", "original_path", "target_path", "before_sha", "after_sha")
 
@@ -132,8 +134,7 @@ def unknown_undoes(records: DataFrame) -> DataFrame:
 def restore_order(records: DataFrame) -> DataFrame:
     """Applied actions, newest first: what a restore undoes in turn."""
     states = lifecycle(records).where("state IN ('applied', 'restore-failed', 'pending-restore')")
-    place = F.row_number().over(Window.orderBy(F.desc("set_index"), F.desc("seq")))
-    return states.select("action", "state", place.cast("long").alias("turn"))
+    return numbered(states, F.desc("set_index"), F.desc("seq"), name="turn").select("action", "state", "turn")
 
 
 def inverse_records(records: DataFrame, run: str) -> DataFrame:

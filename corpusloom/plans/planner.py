@@ -89,25 +89,65 @@ def ledger(pending: DataFrame, files: DataFrame, on_collision: str = "skip") ->
     return rows.withColumn("reason", F.when(lost, F.lit("collision"))).withColumn("winner", winner).drop("key", "taken", "claims", "place", "won", "winner_path")
 
 
-def numbered(rows: DataFrame, order: str, prefix: int = 6, name: str = "seq") -> DataFrame:
-    """Adds dense numbers 1..n in order of a string column, without one window over all rows.
+def numbered(rows: DataFrame, *order: str | Column, name: str = "seq") -> DataFrame:
+    """Adds dense numbers 1..n in order of columns, whatever these hold.
 
-    Rows are numbered within their first ``prefix`` characters, and the counts of those, few, give the offsets.
+    Rows are ranged and sorted, and written with their range and place; the counts of the ranges, as many as there
+    are partitions, give the offsets.  So no window holds more than those counts.
     """
-    keyed = rows.withColumn("__p", F.left(F.col(order), F.lit(prefix)))
-    sizes = keyed.groupBy("__p").agg(F.count("*").alias("__n"))
-    before = sizes.select(F.col("__p").alias("__q"), (F.sum("__n").over(Window.orderBy("__p")) - F.col("__n")).alias("__before"))
-    inside = keyed.withColumn("__i", F.row_number().over(Window.partitionBy("__p").orderBy(order)))
-    return inside.join(before, F.col("__p") == F.col("__q")).withColumn(name, (F.col("__before") + F.col("__i")).cast("long")).drop("__p", "__q", "__i", "__before")
+    place = F.monotonically_increasing_id()
+    ranged = kept(rows.repartitionByRange(*order).sortWithinPartitions(*order).withColumn("__place", place), "numbered")
+    part = F.shiftright("__place", 33)
+    sizes = ranged.groupBy(part.alias("__part")).agg(F.count("*").alias("__n"))
+    before = sizes.select("__part", (F.sum("__n").over(Window.orderBy("__part")) - F.col("__n")).alias("__before"))
+    found = ranged.withColumn("__part", part).join(F.broadcast(before), "__part")
+    return found.withColumn(name, (F.col("__before") + F.col("__place").bitwiseAND(F.lit((1 << 33) - 1)) + 1).cast("long")).select(*rows.columns, name)
+
+
+def from_bytes(files: DataFrame, config: Config = Config()) -> DataFrame:
+    """What a plan needs to know of files ``path``, ``content`` and, where it is given, ``nlink``.
+
+    Adds the facts of the bytes, the charset and its confidence, ``kind``, the decoded text ``x``, ``marked`` (to be
+    re-encoded) and ``decode_error``, the offset of what can't be decoded (-1: the codec is unknown).  Only bytes that
+    are neither marked, nor UTF-8, nor hold NULs go to the charset detection, and only those and marked ones that
+    aren't UTF-8 to decoding outside the JVM.  Null content is an unreadable file, whose facts are null.
+    """
+    from ..functions import detect
+    from ..functions.facts import BOM_LENGTH, with_facts
+
+    files = files if "nlink" in files.columns else files.withColumn("nlink", F.lit(1))
+    seen = with_facts(files).withColumn("kind", T.suffix_class(F.col("path")))
+    known = F.col("bom").isNotNull() | F.col("utf8_valid") | F.col("nul_bytes")
+    sure = seen.where(F.coalesce(known, F.lit(True))).withColumns({"charset": F.coalesce("bom", F.lit("utf-8")), "confidence": F.lit(1.0)})
+    unsure = seen.where(~known).withColumn("__found", detect.legacy_charset("content"))
+    unsure = unsure.withColumns({"charset": F.col("__found.name"), "confidence": F.col("__found.confidence")}).drop("__found")
+    plain = F.coalesce(F.col("bom"), F.lit("utf-8")) == "utf-8"
+    skip = F.when(F.col("bom") == "utf-8", BOM_LENGTH["utf-8"]).otherwise(0)
+    bare = F.expr("substring(content, 1 + __skip)")
+    easy = sure.where(plain).withColumn("__skip", skip).withColumn("x", F.when(F.coalesce("utf8_valid", F.lit(False)), bare.cast("string"))).drop("__skip")
+    easy = easy.withColumn("decode_error", F.lit(None).cast("long"))
+    # A mark that lies, and every other codec, are decoded strictly by Python.
+    hard = sure.where(~plain).unionByName(unsure)
+    lying = easy.where((F.col("bom") == "utf-8") & ~F.col("utf8_valid")).drop("x", "decode_error")
+    easy = easy.where(F.coalesce(~((F.col("bom") == "utf-8") & ~F.col("utf8_valid")), F.lit(True)))
+    hard = hard.unionByName(lying).withColumn("__d", detect.decoded("content", "bom", F.coalesce("charset", F.lit("utf-8"))))
+    hard = hard.withColumns({"x": F.col("__d.text"), "decode_error": F.col("__d.error_at")}).drop("__d")
+    return easy.unionByName(hard).withColumn("marked", F.col("bom").isNotNull() | (F.col("charset") != "utf-8"))
 
 
 def build_plan(files: DataFrame, config: Config = Config()) -> DataFrame:
     """A row per file: disposition (action, skip or noop), reason, operations, target, and the actions' numbers.
 
-    ``files`` has path, kind, x, marked and the columns of :func:`gate`.
+    ``files`` has path, kind, x, marked and the columns of :func:`gate`; with the bytes in ``content`` NULs are told
+    from UTF-16, with ``decode_error`` undecodable texts are skipped, and a null ``content`` is unreadable.
     """
-    nul = F.when(F.col("nul_bytes") & F.col("bom").isNull(), F.lit("nul-bytes"))
-    gated = files.withColumn("early", F.coalesce(gate(config), nul))
+    early = [gate(config)]
+    if "content" in files.columns:
+        early = [F.when(F.col("content").isNull(), F.lit("unreadable")), *early, nul_reason(F.col("content"), F.col("nul_bytes"), F.col("bom"))]
+    early.append(F.when(F.col("nul_bytes") & F.col("bom").isNull(), F.lit("nul-bytes")))
+    if "decode_error" in files.columns:
+        early.append(F.when(F.col("decode_error").isNotNull(), F.lit("decode-replacement")))
+    gated = files.withColumn("early", F.coalesce(*early))
     planned = operations(gated.where("early IS NULL"), config.rules, config.rename)
     shrunk = T.non_whitespace_count(F.col("new_text")) < T.non_whitespace_count(F.col("x"))
     none = F.array().cast("array<string>")

@@ -156,17 +156,6 @@ def rst01(spark, sf_dir):
     return rows.select("action", outcome.alias("outcome"))
 
 
-@query("rst02_restored_version", f"{LAST}, pick AS (SELECT doc_id FROM documents JOIN lc ON action = 'run/a' || doc_id WHERE state = 'applied') SELECT d.doc_id, sha256(CASE WHEN p.doc_id IS NULL THEN text || '!' ELSE text END) AS digest FROM documents d LEFT JOIN pick p USING (doc_id)")
-def rst02(spark, sf_dir):
-    """A new version of the corpus in which what was applied has its backup's bytes again."""
-    docs = table(spark, sf_dir, "documents")
-    action = F.concat(F.lit("run/a"), F.col("doc_id").cast("string"))
-    live, backups = docs.select("doc_id", F.concat("text", F.lit("!")).alias("now")), docs.select(action.alias("action"), F.col("text").alias("backup"))
-    undo = C.lifecycle(records(spark, sf_dir)).where("state = 'applied'").select("action").join(backups, "action")
-    rows = live.withColumn("action", action).join(undo, "action", "left")
-    return rows.select("doc_id", F.sha2(F.coalesce("backup", "now"), 256).alias("digest"))
-
-
 @query("jon13_restore_selector", "SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels WHERE toxic = 1)")
 def jon13(spark, sf_dir):
     chosen = table(spark, sf_dir, "labels").where("toxic = 1").select("doc_id")

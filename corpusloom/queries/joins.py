@@ -114,7 +114,7 @@ def srt01(spark, sf_dir):
     from ..plans.planner import numbered
 
     keyed = table(spark, sf_dir, "pages").select("url", F.concat("url", F.lit("\x01"), F.lpad(F.col("page_id").cast("string"), 12, "0")).alias("k"))
-    return numbered(keyed, "k", prefix=14, name="place").select("url", "place")
+    return numbered(keyed, "k", name="place").select("url", "place")
 
 
 @query("srt02_sorted_skips", "SELECT source, lang, doc_id FROM documents WHERE n_chars < 100")

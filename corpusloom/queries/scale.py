@@ -88,22 +88,22 @@ def ladder(spark, sf_dir):
     return spark.sql(LADDER, documents=table(spark, sf_dir, "documents"))
 
 
-@query("apl01_preview", f"{LADDER_SQL} SELECT doc_id, {PREVIEW} AS outcome FROM l")
+@query("apl01_ladder", f"{LADDER_SQL} SELECT doc_id, {PREVIEW} AS outcome FROM l")
 def apl01(spark, sf_dir):
     return ladder(spark, sf_dir).select("doc_id", A.preview().alias("outcome"))
 
 
-@query("apl02_execute", f"{LADDER_SQL} SELECT doc_id, {EXECUTE} AS outcome FROM l")
+@query("apl02_ladder", f"{LADDER_SQL} SELECT doc_id, {EXECUTE} AS outcome FROM l")
 def apl02(spark, sf_dir):
     return ladder(spark, sf_dir).select("doc_id", A.executed().alias("outcome"))
 
 
-@query("apl03_recompute", "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'ERR-006' END AS error FROM documents WHERE length(text) > 0 AND NOT contains(text, chr(13))")
+@query("apl03_recompute", "SELECT doc_id, CASE WHEN doc_id % 5 = 0 THEN 'ERR-006' END AS error FROM documents")
 def apl03(spark, sf_dir):
     """Operations found again must be those planned; every fifth plan names one too many."""
     from ..functions import text as T
 
-    docs = table(spark, sf_dir, "documents").where("length(text) > 0 AND NOT contains(text, '\r')").select("doc_id", F.col("text").alias("x"), F.lit("text").alias("kind"))
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.col("text").alias("x"), F.lit("text").alias("kind"))
     now = T.transformed(docs, "x", "kind")
     planned = F.when(F.col("doc_id") % 5 == 0, F.array_append("text_ops", "rename")).otherwise(F.col("text_ops"))
     return now.select("doc_id", A.recompute_error(planned, F.col("text_ops")).alias("error"))
@@ -129,16 +129,6 @@ def apl06(spark, sf_dir):
     return A.preservation(plans)
 
 
-@query("snk06_new_version", "SELECT doc_id, sha256(CASE WHEN doc_id % 2 = 0 THEN rtrim(text, E'\\n') || E'\\n' ELSE text END) AS digest FROM documents")
-def snk06(spark, sf_dir):
-    """The next version of the corpus: applied actions' outputs, and everything else as it was."""
-    from ..functions.text import ensure_final_newline
-
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    applied = docs.where("doc_id % 2 = 0").select(F.col("doc_id").alias("id"), ensure_final_newline(F.col("text")).alias("output"))
-    return A.next_version(docs, applied).select("doc_id", F.sha2("text", 256).alias("digest"))
-
-
 @query("src08_manifest_lines", "SELECT o_custkey AS run, count(*) AS records, max(o_orderkey) AS last_order FROM orders GROUP BY o_custkey")
 def src08(spark, sf_dir):
     """Manifests as whole texts with a torn last line, read back as records."""

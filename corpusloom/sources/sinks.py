@@ -55,12 +55,20 @@ def write_checked(rows: DataFrame, problems: DataFrame, path: str, mode: str = "
 
 
 def append_backups(copies: DataFrame, path: str) -> None:
-    """Copies by key, each written once: keys that are there already, or named twice, are refused."""
+    """Copies by key, each written once: keys that are there already, or named twice, are refused.
+
+    With their digests in ``sha``, what was written is read again, and a copy that isn't its original is an error.
+    """
     spark = copies.sparkSession
     twice = copies.groupBy("key").count().where("count > 1")
     held = spark.read.parquet(path).select("key") if _exists(spark, path) else copies.select("key").limit(0)
     again = copies.select("key").join(held, "key", "left_semi").withColumn("count", F.lit(2))
     write_checked(copies, twice.select("key", F.col("count").cast("long")).unionByName(again.select("key", F.col("count").cast("long"))), path, "append")
+    if "sha" in copies.columns:
+        written = spark.read.parquet(path).select("key", F.concat(F.lit("sha256:"), F.sha2("content", 256)).alias("found"))
+        wrong = copies.select("key", "sha").join(written, "key", "left").where(~F.col("sha").eqNullSafe(F.col("found"))).limit(5).collect()
+        if wrong:
+            raise ValueError(f"backups that aren't their originals: {wrong}")
 
 
 def _exists(spark, path: str) -> bool:
