@@ -9,9 +9,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def scratch(spark: SparkSession) -> str:
-    """A new folder below the shared one in ``spark.checkpoint.dir``; a local one only where that is unset."""
+    """A new folder below the shared one in ``spark.checkpoint.dir``.
+
+    Where that is unset, a local folder stands in, but only if driver and executors are one process.
+    """
     base = spark.conf.get("spark.checkpoint.dir", None)
     if not base:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         base = f"file://{tempfile.mkdtemp(prefix='corpusloom-')}"
         spark.conf.set("spark.checkpoint.dir", base)
     return f"{base.rstrip('/')}/corpusloom-{uuid.uuid4().hex}"

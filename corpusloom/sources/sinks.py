@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import json
 import os
-import tempfile
 import time
+import uuid
 
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,25 +26,28 @@ def guard(path: str, corpus_root: str, inputs: list[str], folder: str = ".corpus
 
 
 def write_artifact(path: str, value: dict, clobber: bool = True) -> None:
-    """A small JSON artifact: a synced temporary file that takes the name at once."""
-    folder = os.path.dirname(path) or "."
-    os.makedirs(folder, exist_ok=True)
-    fd, hidden = tempfile.mkstemp(dir=folder, prefix=".")
+    """A small JSON artifact on any store that Arrow reaches.
+
+    The store moves a finished file to its name, so nothing is ever half there.  Without ``clobber`` a name that is
+    taken is an error; on a local disk an empty file claims it until the move, so of two writers at once one gets it.
+    """
+    store, place = fs.FileSystem.from_uri(path if "://" in path else os.path.abspath(path))
+    store.create_dir(os.path.dirname(place), recursive=True)
+    if not clobber and store.type_name == "local":
+        with open(place, "xb"):  # the name is claimed, and replaced by the move
+            pass
+    elif not clobber and store.get_file_info(place).type != fs.FileType.NotFound:
+        raise FileExistsError(path)
+    hidden = os.path.join(os.path.dirname(place), f".{os.path.basename(place)}.{uuid.uuid4().hex}")
     try:
-        with os.fdopen(fd, "w", encoding="utf-8") as f:
-            json.dump(value, f, ensure_ascii=False, sort_keys=True)
-            f.flush()
-            os.fsync(f.fileno())
-        if clobber:
-            os.replace(hidden, path)
-        else:
-            os.link(hidden, path)
-        at = os.open(folder, os.O_RDONLY)
-        os.fsync(at)
-        os.close(at)
-    finally:
-        if os.path.exists(hidden):
-            os.unlink(hidden)
+        with store.open_output_stream(hidden) as out:
+            out.write(json.dumps(value, ensure_ascii=False, sort_keys=True).encode())
+        store.move(hidden, place)
+    except BaseException:
+        for left in [hidden] + [place] * (not clobber):
+            if store.get_file_info(left).type != fs.FileType.NotFound:
+                store.delete_file(left)
+        raise
 
 
 def write_checked(rows: DataFrame, problems: DataFrame, path: str, mode: str = "error") -> None:

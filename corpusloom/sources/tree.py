@@ -1,8 +1,12 @@
-"""A file tree as a Spark data source: listed on the driver, read by the executors.
+"""A file tree as a Spark data source: listed and read by the executors, a part of the tree each.
+
+The driver lists as many levels of directories as it takes to have ``parts`` of them, and no files but those beside
+these; a task lists and reads what is below its directories.
 
 ``corpusloom.session.ship(spark)``, ``spark.dataSource.register(TreeSource)`` and then
 ``spark.read.format("corpus_tree").option("exclude", "a/,*.bak").load("/corpus")``.  Names that start with a dot
-are files like others, links are rows that are never followed, and what can't be read is a row with its error.
+are files like others, links are rows that are never followed, what can't be read is a row with its error, and a file
+of more than ``maxFileBytes`` is a row of kind ``oversize``, without content and with its reason.
 """
 
 from __future__ import annotations
@@ -22,10 +26,10 @@ SCHEMA = "path string, kind string, target string, size_bytes long, mtime_ns lon
 
 @dataclass
 class Chunk(InputPartition):
-    """Files that one task reads."""
+    """Directories that one task lists, with all below or by themselves."""
 
     root: str
-    files: list[tuple]
+    tops: list[tuple[str, bool]]
 
 
 def included(path: str, patterns: list[str]) -> bool:
@@ -36,25 +40,34 @@ def included(path: str, patterns: list[str]) -> bool:
     return out
 
 
-def listing(root: str, include: list[str], exclude: list[str]) -> Iterator[tuple]:
-    """(relative path, kind, link target, size, mtime, links, device, object, error) in walking order."""
-    if not os.path.isdir(root) or os.path.islink(root):
-        root, names = os.path.dirname(root) or ".", [os.path.basename(root)]
-        yield from filter(None, (_entry(root, n, include, exclude) for n in names))
-        return
-    errors: list[OSError] = []
-    for top, dirs, names in os.walk(root, onerror=errors.append):
-        below = os.path.relpath(top, root).replace(os.sep, "/")
-        rel = lambda n, below=below: n if below == "." else f"{below}/{n}"
-        links = [d for d in dirs if os.path.islink(os.path.join(top, d))]
-        dirs[:] = sorted(d for d in dirs if d not in links and not included(rel(d) + "/_", exclude))
-        for name in sorted(names + links):
-            found = _entry(root, rel(name), include, exclude)
-            if found:
-                yield found
-        while errors:
-            e = errors.pop()
-            yield (os.path.relpath(e.filename or top, root), "unreadable", None, None, None, None, None, None, str(e))
+def listing(root: str, include: list[str], exclude: list[str], top: str = "", deep: bool = True) -> Iterator[tuple]:
+    """(relative path, kind, link target, size, mtime, links, device, object, error) of a directory, in name order.
+
+    Directories come as kind ``directory`` where not ``deep``, and are gone into where it is.
+    """
+    waiting = [top]
+    while waiting:
+        here = waiting.pop()
+        try:
+            with os.scandir(os.path.join(root, here)) as found:
+                entries = sorted(found, key=lambda e: e.name)
+        except OSError as e:
+            yield (here or ".", "unreadable", None, None, None, None, None, None, str(e))
+            continue
+        for e in entries:
+            rel = f"{here}/{e.name}" if here else e.name
+            try:
+                folder = e.is_dir(follow_symlinks=False)
+            except OSError:
+                folder = False
+            if not folder:
+                if row := _entry(root, rel, include, exclude):
+                    yield row
+            elif not included(rel + "/_", exclude):
+                if deep:
+                    waiting.append(rel)
+                else:
+                    yield (rel, "directory", None, None, None, None, None, None, None)
 
 
 def _entry(root: str, rel: str, include: list[str], exclude: list[str]) -> tuple | None:
@@ -81,27 +94,36 @@ class TreeReader(DataSourceReader):
         self.root = options["path"]
         self.include = [x for x in options.get("include", "*").split(",") if x]
         self.exclude = [x for x in options.get("exclude", "").split(",") if x]
-        self.chunk_bytes = int(options.get("chunkBytes", 64 << 20))
+        self.parts = int(options.get("parts", 64))
         self.limit = int(options.get("maxFileBytes", 100 << 20))
+        self.single = not os.path.isdir(self.root) or os.path.islink(self.root)
 
     def partitions(self) -> list[Chunk]:
-        """Chunks of about equal bytes: one long file is one chunk, many short ones share one."""
-        out, held, size = [], [], 0
-        for row in listing(self.root, self.include, self.exclude):
-            held.append(row)
-            size += (row[3] or 0) + 4096
-            if size >= self.chunk_bytes:
-                out.append(Chunk(self.root, held))
-                held, size = [], 0
-        return [*out, Chunk(self.root, held)] if held or not out else out
+        """Directories dealt to tasks, once a level of the tree has enough of them."""
+        if self.single:
+            return [Chunk(os.path.dirname(self.root) or ".", [])]
+        alone, level = [], [""]
+        while level and len(level) < self.parts:
+            below = [row[0] for top in level for row in listing(self.root, self.include, self.exclude, top, False) if row[1] == "directory"]
+            alone += [(top, False) for top in level]
+            level = below
+        tops = alone + [(top, True) for top in level]
+        return [Chunk(self.root, tops[i :: self.parts]) for i in range(min(self.parts, len(tops)))]
 
     def read(self, partition: Chunk) -> Iterator[tuple]:
-        for path, kind, target, size, mtime, nlink, dev, ino, error in partition.files:
+        if self.single:
+            rows = iter(filter(None, [_entry(partition.root, os.path.basename(self.root), self.include, self.exclude)]))
+        else:
+            rows = (row for top, deep in partition.tops for row in listing(self.root, self.include, self.exclude, top, deep))
+        for path, kind, target, size, mtime, nlink, dev, ino, error in rows:
             content = None
-            if kind == "file" and size <= self.limit:
+            if kind == "directory":
+                continue
+            if kind == "file" and size > self.limit:
+                kind, error = "oversize", f"{size} bytes, of {self.limit} at most"
+            elif kind == "file":
                 try:
-                    root = partition.root if os.path.isdir(partition.root) else os.path.dirname(partition.root) or "."
-                    fd = os.open(os.path.join(root, path), os.O_RDONLY | os.O_NOFOLLOW)
+                    fd = os.open(os.path.join(partition.root, path), os.O_RDONLY | os.O_NOFOLLOW)
                     with os.fdopen(fd, "rb") as f:
                         content = f.read()
                 except OSError as e:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import text as T
+from ..operators.tables import kept
 
 
 def normalized(docs: DataFrame, rules: T.Rules = T.Rules()) -> DataFrame:
@@ -20,18 +21,26 @@ def normalized(docs: DataFrame, rules: T.Rules = T.Rules()) -> DataFrame:
 
 
 def start(stream: DataFrame, out: str, checkpoint: str, rules: T.Rules = T.Rules()):
-    """Writes what each batch brings and no earlier batch has claimed, under its number."""
+    """Writes what each batch brings and no earlier batch has claimed, under its number.
+
+    ``out/texts`` has every text once, under the batch that brought it first, and ``out/paths`` every path with its
+    text's digest.  Claims are digests alone, in one table by batch, so a batch reads no texts of earlier ones; a
+    batch that runs again finds its own claims left out and writes the same.
+    """
 
     def take(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        rows = normalized(batch, rules).dropDuplicates(["sha"])
-        if number > 0:
-            from ..sources.sinks import _exists
-
-            earlier = [f"{out}/batch={i}" for i in range(number) if _exists(spark, f"{out}/batch={i}")]
-            if earlier:
-                rows = rows.join(spark.read.parquet(*earlier).select("sha"), "sha", "left_anti")
-        rows.write.mode("overwrite").parquet(f"{out}/batch={number}")
+        rows = kept(normalized(batch, rules), "batch")
+        rows.select("path", "sha").write.mode("overwrite").parquet(f"{out}/paths/batch={number}")
+        new = rows.groupBy("sha").agg(F.min_by(F.struct("path", "text", "ops"), "path").alias("r")).select("r.path", "r.text", "sha", "r.ops")
+        from ..sources.sinks import _exists
+
+        if _exists(spark, f"{out}/claims"):
+            claims = spark.read.schema("sha string, batch long").parquet(f"{out}/claims").where(F.col("batch") < number)
+            new = new.join(claims, "sha", "left_anti")
+        new = kept(new, "new")
+        new.select("sha").write.mode("overwrite").parquet(f"{out}/claims/batch={number}")
+        new.write.mode("overwrite").parquet(f"{out}/texts/batch={number}")
 
     return stream.writeStream.foreachBatch(take).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 

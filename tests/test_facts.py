@@ -1,9 +1,12 @@
 """Facts of bytes against plain Python, on random bytes."""
 
+import os
 import random
 
+import pytest
 from corpusloom.functions.detect import best_charset, decoded, front_error, legacy_charset
 from corpusloom.functions.facts import utf16_suspect, with_facts
+from corpusloom.queries import QUERIES
 from pyspark.sql import functions as F
 
 
@@ -98,3 +101,20 @@ def test_front_errors():
     assert front_error("- a") == "not a mapping"
     assert "title" in front_error("normalizer: {}")
     assert "not YAML" in front_error("a: [")
+
+
+def plain_reason(data):
+    """NULs without a mark, told by their number and by how they are spread over even and odd places."""
+    if b"\0" not in data or data[:2] in (b"\xff\xfe", b"\xfe\xff") or data[:3] == b"\xef\xbb\xbf":
+        return None
+    nuls = [i % 2 for i, c in enumerate(data) if c == 0]
+    share = max(nuls.count(0), nuls.count(1)) / len(nuls)
+    return "utf16-suspect" if len(data) >= 4 and len(nuls) / len(data) >= 0.25 and share >= 0.9 else "nul-bytes"
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.001"), reason="no data here")
+def test_nul_split_of_whole_documents(spark):
+    docs = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
+    make = [lambda t: t.encode() + b"\0", lambda t: t.encode("utf-16-le"), lambda t: t.encode(), lambda t: b"\xff\xfe" + t.encode("utf-16-le")]
+    got = {r["doc_id"]: r["reason"] for r in QUERIES["flt04_nul_split"](spark, "/root/testdata/sf0.001").collect()}
+    assert got == {i: plain_reason(make[i % 4](t)) for i, t in docs.items()}

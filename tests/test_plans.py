@@ -75,7 +75,7 @@ def test_ledger_is_greedy(spark, policy):
 
 def test_dense_numbers(spark):
     df = spark.createDataFrame([(p,) for p in ["b/2", "a/1", "a/10", "c", "a/2"]], "p string")
-    assert [(r["p"], r["seq"]) for r in planner.numbered(df, "p", prefix=2).orderBy("seq").collect()] == [("a/1", 1), ("a/10", 2), ("a/2", 3), ("b/2", 4), ("c", 5)]
+    assert [(r["p"], r["seq"]) for r in planner.numbered(df, "p").orderBy("seq").collect()] == [("a/1", 1), ("a/10", 2), ("a/2", 3), ("b/2", 4), ("c", 5)]
 
 
 def test_chain_order():
@@ -219,4 +219,26 @@ def test_stream(spark, tmp_path):
     start(spark.readStream.schema(schema).parquet(source), out, f"{tmp_path}/check").awaitTermination()
     spark.createDataFrame([("c.md", "x\n"), ("d.md", "new\n")], schema).coalesce(1).write.mode("append").parquet(source)
     start(spark.readStream.schema(schema).parquet(source), out, f"{tmp_path}/check").awaitTermination()
-    assert sorted(r["text"] for r in spark.read.parquet(out).collect()) == ["new\n", "x\n"]
+    assert sorted(r["text"] for r in spark.read.parquet(f"{out}/texts").collect()) == ["new\n", "x\n"]
+    paths = {r["path"]: r["sha"] for r in spark.read.parquet(f"{out}/paths").collect()}
+    assert sorted(paths) == ["a.txt", "b.md", "c.md", "d.md"] and paths["a.txt"] == paths["b.md"] == paths["c.md"] != paths["d.md"]
+    assert spark.read.parquet(f"{out}/claims").count() == 2
+
+
+def test_trees_are_listed_by_tasks(spark, tmp_path):
+    from corpusloom.session import ship
+    from corpusloom.sources.tree import TreeReader, TreeSource
+
+    names = [f"{a}/{b}/f{c}.txt" for a in "xyz" for b in "pq" for c in range(3)] + ["top.txt", "x/beside.txt"]
+    for n in names:
+        (tmp_path / n).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / n).write_bytes(n.encode())
+    (tmp_path / "x" / "long.txt").write_bytes(b"y" * 100)
+    ship(spark)
+    spark.dataSource.register(TreeSource)
+    for parts in (1, 2, 4, 9, 64):
+        assert len(TreeReader({"path": str(tmp_path), "parts": str(parts)}).partitions()) <= parts
+        rows = spark.read.format("corpus_tree").option("parts", parts).option("maxFileBytes", 50).load(str(tmp_path)).collect()
+        assert {r["path"]: bytes(r["content"]) for r in rows if r["kind"] == "file"} == {n: n.encode() for n in names}
+        assert [(r["path"], r["kind"], r["content"]) for r in rows if r["kind"] != "file"] == [("x/long.txt", "oversize", None)]
+        assert all((r["error"] is None) == (r["kind"] == "file") for r in rows)

@@ -15,25 +15,19 @@ def texts(n=400, seed=5):
     return ["", "\n", "\n\n\n", " \t", "a\n\n\n\n\nb\n"] + ["".join(rng.choice(ALPHABET) for _ in range(rng.randint(0, 30))) for _ in range(n)]
 
 
-def collapse(x, most):
-    if x == "":
-        return x
-    ended = x.endswith("\n")
-    lines = (x[:-1] if ended else x).split("\n")
-    out, run = [], 0
-    for line in lines:
-        run = run + 1 if line.strip(" \t") == "" else 0
-        if run <= most:
-            out.append(line)
-    return "" if not out else "\n".join(out) + ("\n" if ended else "")
-
-
-def tabs(x, width):
-    out = []
-    for line in x.split("\n"):
-        body = line.lstrip(" \t")
-        out.append(line[: len(line) - len(body)].replace("\t", " " * width) + body)
-    return "\n".join(out)
+def blank(line):
+    return set(line) <= {" ", "\t"}
+
+
+def allowed(x, most):
+    """Which lines may stay: those that aren't the last of ``most + 1`` blank ones in a row."""
+    lines = x.split("\n")
+    return [line for i, line in enumerate(lines) if i < most or not all(map(blank, lines[i - most : i + 1]))]
+
+
+def interior_and_leading(x):
+    """The characters of a text, each with whether only blanks stand before it on its line."""
+    return [(c, blank(x[x.rfind("\n", 0, i) + 1 : i])) for i, c in enumerate(x)]
 
 
 def applied(spark, make, values):
@@ -55,11 +49,21 @@ def test_final_newline(spark):
 
 def test_collapse(spark):
     for most in (0, 1, 3):
-        assert applied(spark, lambda x, m=most: T.collapse_blank_lines(x, m), texts()) == [collapse(x, most) for x in texts()]
+        for x, got in zip(texts(), applied(spark, lambda x, m=most: T.collapse_blank_lines(x, m), texts()), strict=True):
+            body, end = (x[:-1], "\n") if x.endswith("\n") else (x, "")
+            stay = allowed(body, most)
+            assert got == ("\n".join(stay) + end if x and stay else "")
+            assert [y for y in got.split("\n") if not blank(y)] == [y for y in x.split("\n") if not blank(y)]
+
+
+def test_collapsing_twice_is_collapsing_once(spark):
+    once = applied(spark, lambda x: T.collapse_blank_lines(x, 2), texts())
+    assert applied(spark, lambda x: T.collapse_blank_lines(x, 2), once) == once
 
 
 def test_tabs(spark):
-    assert applied(spark, lambda x: T.normalize_tabs(x, 4), texts()) == [tabs(x, 4) for x in texts()]
+    for x, got in zip(texts(), applied(spark, lambda x: T.normalize_tabs(x, 4), texts()), strict=True):
+        assert got == "".join(" " * 4 if c == "\t" and leading else c for c, leading in interior_and_leading(x))
 
 
 def test_non_whitespace(spark):
