@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -266,3 +266,10 @@ def finished(names: DataFrame, verdicts: DataFrame) -> DataFrame:
     """
     done = verdicts.where("verdict = 'finish-remaining'").join(names.select(F.col("path").alias("target")), "target", "left_semi")
     return names.join(done.select(F.col("source").alias("path")), "path", "left_anti")
+
+
+def after_abort(outcomes: DataFrame) -> DataFrame:
+    """Statuses of a plan's actions (``plan``, ``seq``, ``status``, ``abort``) where an abort stops those after it."""
+    before = Window.partitionBy("plan").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
+    stopped = F.coalesce(F.max(F.col("abort").cast("int")).over(before), F.lit(0)) == 1
+    return outcomes.select("plan", "seq", F.when(stopped, F.lit("not-attempted")).otherwise(F.col("status")).alias("status"))

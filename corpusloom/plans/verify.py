@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.tables import kept
@@ -106,3 +106,73 @@ def coverage(plan: DataFrame, states: DataFrame, outcomes: DataFrame, applied: D
     for more in (unfinished, doubled, unfounded, illegal, against, previewed, missing, foreign):
         out = out.unionByName(more)
     return out
+
+
+def frontmatter_findings(files: DataFrame) -> DataFrame:
+    """Files ``path`` and decoded text ``x`` (null where the bytes aren't UTF-8) whose block lacks what it must hold.
+
+    Only names that end in .md, in that case, are looked at, and only texts that have a block.
+    """
+    from ..functions.detect import front_problem
+    from ..functions.text import front_block
+
+    blocks = files.where(F.endswith("path", F.lit(".md"))).select("path", front_block(F.col("x")).alias("block")).where("block IS NOT NULL")
+    return blocks.select("path", F.lit("frontmatter").alias("check"), front_problem("block").alias("detail")).where("detail IS NOT NULL")
+
+
+def discovery_findings(skips: DataFrame, checked: DataFrame) -> DataFrame:
+    """Files that couldn't be looked at (``path``, ``reason``), and, where ``checked`` has no row, that nothing was."""
+    kind = F.when(F.col("reason") == "unreadable", F.lit("discovery-unreadable")).when(F.col("reason") == "timeout", F.lit("discovery-timeout"))
+    found = skips.select("path", kind.alias("check")).where("check IS NOT NULL")
+    none = checked.agg(F.count("*").alias("n")).where("n = 0").select(F.lit(None).cast("string").alias("path"), F.lit("zero-checked").alias("check"))
+    return found.unionByName(none)
+
+
+def root_findings(headers: DataFrame, root: str) -> DataFrame:
+    """Manifests (``run_id``, ``source_root``) of another root than the one that is verified."""
+    return headers.where(F.col("source_root") != root).select("run_id", F.lit("manifest-root").alias("check"), F.concat_ws(" is not ", "source_root", F.lit(root)).alias("detail"))
+
+
+def unprovable(records: DataFrame, reports: DataFrame) -> DataFrame:
+    """Attempts whose records say that something was changed, but of which there is no report."""
+    return records.where("kind = 'apply'").select("attempt").distinct().join(reports.select("attempt").distinct(), "attempt", "left_anti")
+
+
+def heartbeat_findings(lines: DataFrame, counts: tuple[str, ...] = ("processed", "skipped", "failed")) -> DataFrame:
+    """``run``, ``place`` and ``problem`` of progress lines that fall behind the one before, or pass their total."""
+    before = Window.partitionBy("run").orderBy("place")
+    fell = F.lit(False)
+    for c in counts:
+        fell |= F.coalesce(F.col(c) < F.lag(c).over(before), F.lit(False))
+    problem = F.when(fell, F.lit("falls")).when(F.col("processed") > F.col("total"), F.lit("passes the total"))
+    return lines.select("run", "place", problem.alias("problem")).where("problem IS NOT NULL")
+
+
+def reconcile(expected: DataFrame, plan: DataFrame, done) -> DataFrame:
+    """What a run made of a corpus, against what was to come of it: ``contract``, ``path``, ``problem``.
+
+    ``expected``: path, disposition, operations and ``after`` (digest of what is left of the file under ``place``);
+    ``plan``: a row per file; ``done``: what the run left.
+    """
+    from ..functions.facts import digest
+    from ..operators.relations import mismatches
+
+    planned = plan.select("path", "disposition", F.col("ops").alias("operations"))
+    wanted = expected.select("path", "disposition", F.when(F.col("disposition") == "action", F.col("operations")).otherwise(F.lit("")).alias("operations"))
+    actions = planned.where("disposition = 'action'").select("path", F.lit("applied").alias("outcome"))
+    recorded = done.journal.where("result = 'applied'").select(F.col("original_path").alias("path"))
+    applied = done.outcomes.where("outcome = 'applied'").select("path")
+    places = expected.where("disposition <> 'skip'").select(F.col("place").alias("path"), F.col("after").alias("sha"))
+    left = done.corpus.select("path", digest(F.col("content")).alias("sha"))
+    contracts = {
+        "inventory": mismatches(wanted, planned, "path", []),
+        "plan": mismatches(wanted.join(planned.select("path"), "path", "left_semi"), planned, "path", ["disposition", "operations"]),
+        "report": mismatches(actions, done.outcomes, "path", ["outcome"]),
+        "manifest": mismatches(applied, recorded, "path", []),
+        "bytes": mismatches(places, left.join(places.select("path"), "path", "left_semi"), "path", ["sha"]),
+    }
+    out = None
+    for name, found in contracts.items():
+        row = found.select(F.lit(name).alias("contract"), "path", "problem")
+        out = row if out is None else out.unionByName(row)
+    return out

@@ -9,7 +9,9 @@ from ..functions.facts import digest
 from ..operators.tables import kept, scratch
 from ..plans import apply as A
 from ..plans import planner as P
-from .base import STEPS, dirty_docs, query
+from ..plans import qualify as Q
+from ..plans import verify as V
+from .base import STEPS, dirty_docs, query, table
 from .planning import TABBED
 
 PLANNED = P.Config(rules=TABBED)
@@ -89,3 +91,41 @@ def rst02(spark, sf_dir):
     changed = F.when(F.col("seq") % 5 == 0, F.concat("content", F.encode(F.lit("!"), "UTF-8"))).otherwise(F.col("content"))
     now = kept(done.corpus.join(applied, "path", "left").select("path", changed.alias("content")), "now")
     return A.restore(now, done.journal, done.backups, "undo", scratch(spark)).corpus.select("path", F.sha2("content", 256).alias("digest"))
+
+
+#: Letters that tell Windows-1252 from other charsets, and too few of them.
+MANY = "Größe und Übermaß: die schöne Straße führt über Brücken, Flüsse und Hügel. Äpfel, Öl, Käse. " * 8
+FEW = "plain words only, " * 20 + "café, naïve"
+
+
+def synthetic(spark, sf_dir) -> DataFrame:
+    """Recipes with their bytes, what is to become of them, and where."""
+    rows = Q.recipes(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("index")))
+    end = F.when(F.col("newline") == "crlf", F.lit("\r\n")).otherwise(F.lit("\n"))
+    body = F.when(F.col("recipe_class") == "legacy-conversion", F.lit(MANY.strip())).when(F.col("recipe_class") == "below-floor-skip", F.lit(FEW)).otherwise(F.concat(F.lit("words of "), F.col("index").cast("string")))
+    rows = rows.withColumn("text", F.concat(body, end, F.lit("more"), end))
+    content = F.when(F.col("encoding") == "utf-8", F.encode("text", "UTF-8")).otherwise(F.encode("text", "ISO-8859-1"))
+    place = F.when(F.contains("operations", F.lit("rename")), F.concat(F.expr("left(path, length(path) - 4)"), F.lit(".md"))).otherwise(F.col("path"))
+    after = digest(F.encode(F.replace("text", F.lit("\r\n"), F.lit("\n")), "UTF-8"))
+    return rows.withColumns({"content": content, "place": place, "after": after})
+
+
+@query("ver13_pipeline_reconciliation", """WITH r AS (SELECT doc_id AS i, doc_id % 40 AS b, doc_id % 37 = 5 AS gone, doc_id % 41 = 6 AS more FROM documents),
+c AS (SELECT *, 'lib/' || lpad(CAST(i % 53 AS VARCHAR), 2, '0') || '/' || lpad(CAST(i // 53 % 41 AS VARCHAR), 2, '0') || '/doc' || lpad(CAST(i AS VARCHAR), 6, '0') AS stem, b < 32 OR b BETWEEN 36 AND 38 OR (b BETWEEN 32 AND 35 AND more) AS works FROM r),
+p AS (SELECT *, stem || CASE WHEN b BETWEEN 32 AND 37 THEN '.md' ELSE '.txt' END AS path, stem || CASE WHEN b = 39 THEN '.txt' ELSE '.md' END AS place FROM c)
+SELECT 'inventory' AS contract, path, 'missing' AS problem FROM p WHERE gone
+UNION ALL SELECT 'plan', path, CASE WHEN b < 24 THEN 'differs: operations' ELSE 'differs: disposition,operations' END FROM p WHERE NOT gone AND more AND (b < 24 OR b BETWEEN 32 AND 35)
+UNION ALL SELECT 'manifest', path, 'missing' FROM p WHERE NOT gone AND works AND i % 43 = 9
+UNION ALL SELECT 'bytes', place, CASE WHEN gone THEN 'missing' ELSE 'differs: sha' END FROM p WHERE (gone OR more) AND b <> 39""")
+def ver13(spark, sf_dir):
+    """A corpus of recipes, planned, applied and held against the recipes; some files are missing, some have more
+    lines than they should, and some terminals are taken from the journal."""
+    recipes = kept(synthetic(spark, sf_dir), "recipes")
+    more = F.when(F.col("index") % 41 == 6, F.concat("content", F.encode(F.lit("x\r\n"), "UTF-8"))).otherwise(F.col("content"))
+    files = recipes.where("index % 37 <> 5").select("path", more.alias("content"))
+    seen = kept(P.from_bytes(files), "seen")
+    plan = kept(P.build_plan(seen), "plan")
+    actions = plan.where("disposition = 'action'").join(seen.select("path", F.col("sha256").alias("source_sha")), "path").select("seq", "path", "target", "source_sha", "ops")
+    done = A.execute(files, actions, "run", scratch(spark))
+    torn = done.journal.where(~((F.col("result") == "applied") & (F.regexp_extract("original_path", r"doc0*(\d+)[.]", 1).cast("long") % 43 == 9)))
+    return V.reconcile(recipes, plan, A.Applied(done.outcomes, torn, done.backups, done.corpus))

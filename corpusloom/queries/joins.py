@@ -6,6 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..operators import relations as R
+from ..plans import lineage as N
 from .base import query, table
 
 #: Parts as files: every brand is a device, sizes are objects.
@@ -33,11 +34,16 @@ def jon01(spark, sf_dir):
     return R.with_links(f, R.hard_links(f)).select("path", "g_dev", "g_ino")
 
 
-@query("jon10_predecessors", "SELECT a.o_orderkey AS attempt, b.o_orderkey AS prior FROM orders a JOIN orders b ON b.o_orderkey = a.o_orderkey - 1 AND b.o_orderpriority = a.o_orderpriority")
+ATTEMPTS = "SELECT 'run' || o_orderkey AS run_id, o_orderpriority || o_orderkey AS sha, CASE WHEN o_orderkey > 3 THEN 'run' || (o_orderkey - 3) END AS prior_run, CASE WHEN o_orderkey > 3 THEN CASE WHEN o_orderkey % 7 = 0 THEN 'other' ELSE p || (o_orderkey - 3) END END AS prior_sha FROM (SELECT o_orderkey, o_orderpriority, (SELECT min(o_orderpriority) FROM {orders}) AS p FROM {orders})"
+
+
+def attempts(spark, sf_dir):
+    return spark.sql(ATTEMPTS, orders=table(spark, sf_dir, "orders"))
+
+
+@query("jon10_predecessors", f"WITH a AS ({ATTEMPTS.format(orders='orders')}) SELECT a.run_id, a.prior_run FROM a JOIN a b ON a.prior_run = b.run_id AND a.prior_sha = b.sha")
 def jon10(spark, sf_dir):
-    o = table(spark, sf_dir, "orders")
-    prior = o.select(F.col("o_orderkey").alias("prior"), F.col("o_orderpriority").alias("sha"))
-    return o.join(prior, (F.col("o_orderkey") - 1 == F.col("prior")) & (F.col("o_orderpriority") == F.col("sha"))).select(F.col("o_orderkey").alias("attempt"), "prior")
+    return N.predecessors(attempts(spark, sf_dir))
 
 
 @query("agg02_totals", "SELECT count(*) AS files, CAST(sum(n_chars) AS BIGINT) AS bytes, count(DISTINCT source) AS groups FROM documents")
@@ -87,15 +93,6 @@ def jon12(spark, sf_dir):
     return R.mismatches(a, b, "k", ["lang", "n"])
 
 
-@query("ver13_pipeline_reconciliation", "WITH r AS (SELECT doc_id, doc_id % 40 AS b FROM documents), e AS (SELECT CASE WHEN b < 24 THEN 'rename-only' WHEN b < 32 THEN 'rewrite-and-rename' WHEN b < 36 THEN 'clean-markdown' WHEN b < 38 THEN 'rewrite-markdown' WHEN b = 38 THEN 'legacy-conversion' ELSE 'below-floor-skip' END AS class FROM r) SELECT class, count(*) AS files, CASE WHEN class = 'clean-markdown' THEN 'noop' WHEN class = 'below-floor-skip' THEN 'skip' ELSE 'action' END AS disposition FROM e GROUP BY class")
-def ver13(spark, sf_dir):
-    """Recipes beside what a plan makes of them: one row per class that agrees with its expectation."""
-    from ..plans import qualify as Q
-
-    rows = Q.recipes(table(spark, sf_dir, "documents").select(F.col("doc_id").alias("index")))
-    return rows.groupBy("recipe_class").agg(F.count("*").alias("files"), F.first("disposition").alias("disposition")).withColumnRenamed("recipe_class", "class")
-
-
 @query("agg15_priority", "SELECT user_id, arg_min(event_type, CASE event_type WHEN 'error' THEN 0 WHEN 'purchase' THEN 1 WHEN 'click' THEN 2 ELSE 3 END * 1000000 + event_id) AS chosen FROM events GROUP BY user_id")
 def agg15(spark, sf_dir):
     """The reason of highest priority, the first of equals."""
@@ -160,19 +157,24 @@ def set06(spark, sf_dir):
     return R.first_of_each(table(spark, sf_dir, "orders"), "o_custkey", "o_orderkey").select("o_custkey", F.col("o_orderkey").alias("first_order"))
 
 
-@query("chn11_unified_attempts", "SELECT coalesce(a.run, b.run) AS run, a.run IS NOT NULL AS has_manifest, b.run IS NOT NULL AS has_report FROM (SELECT s_suppkey AS run FROM supplier WHERE s_suppkey % 3 <> 0) a FULL JOIN (SELECT s_suppkey AS run FROM supplier WHERE s_suppkey % 4 <> 0) b ON a.run = b.run")
+RUNS = "SELECT 'run' || s_suppkey AS run_id, CASE WHEN s_suppkey > 1 THEN 'run' || (s_suppkey - 1) END AS prior_run, CASE WHEN s_suppkey > 1 THEN 's' || (s_suppkey - 1 + {add}) END AS prior_sha FROM {supplier} WHERE s_suppkey % {by} <> 0"
+
+
+@query("chn11_unified_attempts", f"WITH a AS ({RUNS.format(add='0', supplier='supplier', by='3')}), b AS ({RUNS.format(add='CASE WHEN s_suppkey % 10 = 1 THEN 1 ELSE 0 END', supplier='supplier', by='4')}) SELECT coalesce(a.run_id, b.run_id) AS run_id, a.run_id IS NOT NULL AS has_manifest, b.run_id IS NOT NULL AS has_report, a.run_id IS NULL OR b.run_id IS NULL OR a.prior_sha IS NOT DISTINCT FROM b.prior_sha AS agree, CASE WHEN a.run_id IS NOT NULL THEN a.prior_run ELSE b.prior_run END AS prior_run, CASE WHEN a.run_id IS NOT NULL THEN a.prior_sha ELSE b.prior_sha END AS prior_sha FROM a FULL JOIN b ON a.run_id = b.run_id")
 def chn11(spark, sf_dir):
-    s = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").alias("run"))
-    a, b = s.where("run % 3 <> 0"), s.where("run % 4 <> 0").withColumnRenamed("run", "r")
-    return a.join(b, F.col("run") == F.col("r"), "full").select(F.coalesce("run", "r").alias("run"), F.col("run").isNotNull().alias("has_manifest"), F.col("r").isNotNull().alias("has_report"))
+    """Manifests and reports of the same runs, some of one kind alone, some naming other predecessors."""
+    supplier = table(spark, sf_dir, "supplier")
+    rows = lambda add, by: spark.sql(RUNS.format(add=add, by=by, supplier="{supplier}"), supplier=supplier)
+    return N.unified(rows("0", "3"), rows("CASE WHEN s_suppkey % 10 = 1 THEN 1 ELSE 0 END", "4"))
 
 
-@query("chn12_tips", "SELECT o_orderkey AS tip FROM orders a WHERE NOT EXISTS (SELECT 1 FROM orders b WHERE b.o_orderkey = a.o_orderkey + 1 AND b.o_custkey % 2 = a.o_custkey % 2)")
+@query("chn12_tips", f"""WITH a AS ({ATTEMPTS.format(orders='orders')}), e AS (SELECT a.run_id, a.prior_run FROM a JOIN a b ON a.prior_run = b.run_id AND a.prior_sha = b.sha),
+f AS (SELECT run_id, 'first' AS problem FROM a WHERE prior_run IS NULL UNION ALL SELECT run_id, 'tip' FROM a WHERE run_id NOT IN (SELECT prior_run FROM e))
+SELECT run_id, 'gap' AS problem FROM a WHERE prior_run IS NOT NULL AND run_id NOT IN (SELECT run_id FROM e) UNION ALL SELECT prior_run, 'fork' FROM e GROUP BY prior_run HAVING count(*) > 1
+UNION ALL SELECT run_id, problem FROM f WHERE problem IN (SELECT problem FROM f GROUP BY problem HAVING count(*) > 1)""")
 def chn12(spark, sf_dir):
-    """Attempts that no later one names as its predecessor."""
-    o = table(spark, sf_dir, "orders").select("o_orderkey", (F.col("o_custkey") % 2).alias("side"))
-    named = o.select((F.col("o_orderkey") - 1).alias("o_orderkey"), "side")
-    return o.join(named, ["o_orderkey", "side"], "left_anti").select(F.col("o_orderkey").alias("tip"))
+    """Attempts that break the one chain that they should be."""
+    return N.lineage_findings(attempts(spark, sf_dir))
 
 
 @query("snk02_self_check", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type HAVING count(*) <> 2000")

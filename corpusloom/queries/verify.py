@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..plans import apply as A
 from ..plans import chain as C
+from ..plans import lineage as L
 from ..plans import verify as V
-from .base import query, table
+from .base import DIRTY, dirty_docs, query, table
 from .chain import LAST, records
 
 #: Three attempts' outcomes; some are reported twice, some name no planned action.
@@ -106,9 +108,8 @@ def ver09(spark, sf_dir):
 @query("ver10_unprovable", f"{ONCE} SELECT DISTINCT CAST(set_index AS BIGINT) AS attempt FROM rec WHERE kind = 'apply' AND CAST(set_index AS INT) NOT IN (SELECT attempt FROM once WHERE attempt <> 2)")
 def ver10(spark, sf_dir):
     """Attempts with mutations but no report (the second one's is taken away)."""
-    reports = outcomes(spark, sf_dir).where("attempt <> 2").select("attempt").distinct()
-    sets = records(spark, sf_dir).where("kind = 'apply'").select(F.col("set_index").alias("attempt")).distinct()
-    return sets.join(reports, "attempt", "left_anti").select(F.col("attempt").cast("long").alias("attempt"))
+    recorded = records(spark, sf_dir).withColumn("attempt", F.col("set_index"))
+    return V.unprovable(recorded, outcomes(spark, sf_dir).where("attempt <> 2")).select(F.col("attempt").cast("long").alias("attempt"))
 
 
 LIVE = "lv AS (SELECT 't' || doc_id AS path, CASE WHEN doc_id % 10 = 1 THEN 'zz' ELSE 'c' || doc_id END AS live_sha FROM documents WHERE doc_id % 10 <> 2)"
@@ -139,53 +140,48 @@ query("ver07_backup_hash", f"{BACK_SQL} SELECT action_id, role, check_name FROM
 query("jon11_backup_roles", f"{BACK_SQL} SELECT role, check_name, count(*) AS n FROM x GROUP BY role, check_name")(lambda spark, sf_dir: backups(spark, sf_dir).groupBy("role", "check_name").agg(F.count("*").alias("n")))
 
 
-@query("ver02_frontmatter_check", "SELECT doc_id, 'frontmatter' AS check_name FROM documents WHERE doc_id % 7 = 2 AND doc_id % 3 <> 0")
-def ver02(spark, sf_dir):
-    """Blocks of .md paths (in that case alone) that don't hold what they must."""
-    from ..functions.detect import front_problem
+FRONT = ["title: t\nnormalizer: {}\nsource: {}\noutput: {}", "title: a\ntitle: b", "x: 1"]
+
 
+@query("ver02_frontmatter_check", f"WITH {DIRTY} SELECT path, 'frontmatter' AS check_name FROM dirty WHERE path LIKE '%.md' AND doc_id % 4 <> 3 AND doc_id % 3 <> 0")
+def ver02(spark, sf_dir):
+    """Blocks before whole texts, of which every fourth has none."""
     i = F.col("doc_id")
-    block = F.when(i % 3 == 0, F.lit("title: t\nnormalizer: {}\nsource: {}\noutput: {}")).when(i % 3 == 1, F.lit("title: a\ntitle: b")).otherwise(F.lit("x: 1"))
-    rows = table(spark, sf_dir, "documents").where("doc_id % 7 = 2").select("doc_id", block.alias("block"))
-    return rows.select("doc_id", front_problem("block").alias("problem")).where("problem IS NOT NULL").select("doc_id", F.lit("frontmatter").alias("check_name"))
+    block = F.when(i % 3 == 0, F.lit(FRONT[0])).when(i % 3 == 1, F.lit(FRONT[1])).otherwise(F.lit(FRONT[2]))
+    x = F.when(i % 4 == 3, F.concat(F.lit("x\n"), F.col("x"))).otherwise(F.concat(F.lit("---\n"), block, F.lit("\n---\n"), F.col("x")))
+    return V.frontmatter_findings(dirty_docs(spark, sf_dir).select("path", x.alias("x"))).select("path", F.col("check").alias("check_name"))
 
 
-@query("ver03_discovery_findings", "SELECT event_type AS reason, count(*) AS n, CASE WHEN event_type IN ('click', 'view') THEN 'discovery-unreadable' ELSE 'discovery-timeout' END AS check_name FROM events WHERE value > 50 GROUP BY event_type")
+@query("ver03_discovery_findings", f"WITH {DIRTY} SELECT path, CASE doc_id % 5 WHEN 0 THEN 'discovery-unreadable' ELSE 'discovery-timeout' END AS check_name FROM dirty WHERE doc_id % 5 < 2 UNION ALL SELECT NULL, 'zero-checked'")
 def ver03(spark, sf_dir):
-    rows = table(spark, sf_dir, "events").where("value > 50").groupBy(F.col("event_type").alias("reason")).agg(F.count("*").alias("n"))
-    return rows.withColumn("check_name", F.when(F.col("reason").isin("click", "view"), F.lit("discovery-unreadable")).otherwise(F.lit("discovery-timeout")))
+    """Skips of five reasons, of a scan that then had nothing left to check."""
+    rows, i = dirty_docs(spark, sf_dir), F.col("doc_id")
+    reason = F.when(i % 5 == 0, F.lit("unreadable")).when(i % 5 == 1, F.lit("timeout")).otherwise(F.lit("excluded"))
+    return V.discovery_findings(rows.select("path", reason.alias("reason")), rows.limit(0)).select("path", F.col("check").alias("check_name"))
 
 
-@query("ver04_root_agreement", "SELECT c_nationkey AS run, count(DISTINCT c_mktsegment) = 1 AS one_root FROM customer GROUP BY c_nationkey")
+@query("ver04_root_agreement", "SELECT 'run' || s_suppkey AS run_id, '/lib' || (s_nationkey % 3) || ' is not /lib1' AS detail FROM supplier WHERE s_nationkey % 3 <> 1")
 def ver04(spark, sf_dir):
-    return table(spark, sf_dir, "customer").groupBy(F.col("c_nationkey").alias("run")).agg((F.countDistinct("c_mktsegment") == 1).alias("one_root"))
+    heads = table(spark, sf_dir, "supplier").select(F.concat(F.lit("run"), F.col("s_suppkey").cast("string")).alias("run_id"), F.concat(F.lit("/lib"), (F.col("s_nationkey") % 3).cast("string")).alias("source_root"))
+    return V.root_findings(heads, "/lib1").select("run_id", "detail")
 
 
-@query("ver08_binding", "WITH a AS (SELECT o_orderkey AS k, o_orderpriority AS sha, first_value(o_orderpriority) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS expected FROM orders) SELECT k, sha, expected FROM a WHERE sha <> expected")
+@query("ver08_binding", "WITH a AS (SELECT o_custkey AS plan, o_orderkey AS place, o_orderpriority AS sha, first_value(o_orderpriority) OVER (PARTITION BY o_custkey ORDER BY o_orderkey) AS expected FROM orders) SELECT plan, expected, string_agg(place || '=' || sha, '; ' ORDER BY place) AS mismatch FROM a WHERE sha <> expected GROUP BY plan, expected")
 def ver08(spark, sf_dir):
-    """Attempts whose plan isn't the first attempt's of their lineage."""
-    from pyspark.sql import Window
-
-    first = F.first("o_orderpriority").over(Window.partitionBy("o_custkey").orderBy("o_orderkey"))
-    rows = table(spark, sf_dir, "orders").select(F.col("o_orderkey").alias("k"), F.col("o_orderpriority").alias("sha"), first.alias("expected"))
-    return rows.where("sha <> expected")
+    """Attempts whose plan isn't the first attempt's."""
+    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("plan"), F.col("o_orderkey").alias("place"), F.col("o_orderkey").cast("string").alias("run_id"), F.col("o_orderpriority").alias("plan_sha"))
+    return L.binding_findings(rows)
 
 
 @query("win10_not_attempted_tail", "WITH p AS (SELECT o_custkey AS plan, o_orderkey AS seq, o_orderkey % 13 = 0 AS abort FROM orders), q AS (SELECT *, max(CASE WHEN abort THEN 1 ELSE 0 END) OVER (PARTITION BY plan ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS stopped FROM p) SELECT plan, seq, CASE WHEN stopped = 1 THEN 'not-attempted' WHEN abort THEN 'skipped' ELSE 'applied' END AS status FROM q")
 def win10(spark, sf_dir):
     """What an abort leaves of the plan after it."""
-    from pyspark.sql import Window
-
-    rows = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("plan"), F.col("o_orderkey").alias("seq"), (F.col("o_orderkey") % 13 == 0).alias("abort"))
-    before = Window.partitionBy("plan").orderBy("seq").rowsBetween(Window.unboundedPreceding, -1)
-    rows = rows.withColumn("stopped", F.max(F.when(F.col("abort"), 1).otherwise(0)).over(before))
-    return rows.select("plan", "seq", F.when(F.col("stopped") == 1, F.lit("not-attempted")).when(F.col("abort"), F.lit("skipped")).otherwise(F.lit("applied")).alias("status"))
+    abort = F.col("o_orderkey") % 13 == 0
+    return A.after_abort(table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("plan"), F.col("o_orderkey").alias("seq"), F.when(abort, F.lit("skipped")).otherwise(F.lit("applied")).alias("status"), abort.alias("abort")))
 
 
-@query("win08_heartbeats", "WITH h AS (SELECT user_id, event_id, value, lag(value) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events) SELECT user_id, event_id FROM h WHERE value < before")
+@query("win08_heartbeats", "WITH h AS (SELECT user_id, event_id, value, lag(value) OVER (PARTITION BY user_id ORDER BY event_id) AS before FROM events) SELECT user_id AS run, event_id AS place, CASE WHEN value < before THEN 'falls' ELSE 'passes the total' END AS problem FROM h WHERE value < before OR value > 90")
 def win08(spark, sf_dir):
-    """Progress counts that fall from one report to the next."""
-    from pyspark.sql import Window
-
-    before = F.lag("value").over(Window.partitionBy("user_id").orderBy("event_id"))
-    return table(spark, sf_dir, "events").select("user_id", "event_id", "value", before.alias("before")).where("value < before").select("user_id", "event_id")
+    """Progress counts that fall from one line to the next, or pass their total."""
+    lines = table(spark, sf_dir, "events").select(F.col("user_id").alias("run"), F.col("event_id").alias("place"), F.col("value").alias("processed"), F.lit(0).alias("skipped"), F.lit(0).alias("failed"), F.lit(90).alias("total"))
+    return V.heartbeat_findings(lines)
