@@ -28,42 +28,93 @@ def vocabulary(name: str) -> str:
 
 
 def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Hits of every document among the benchmark's windows of 10 words.
+
+    Null and wordless texts have no words and are clean; items without identifier hit but aren't listed; repeated
+    rows and identifiers give repeated rows; no documents give none, no items leave all clean; other columns go.
+    """
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("items", "spans")
 
 
 def op2_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The main text of every page.
+
+    Null and empty html give an empty text, long and broken pages take linear time; repeated rows give repeated
+    rows; no pages give none; other columns go.
+    """
     return extract(table(spark, sf_dir, "pages"))
 
 
 def op3_quality_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The quality score of every document.
+
+    Null and empty texts score the mean label, without labels all score 0.5; null identifiers are not held out;
+    of rows that repeat a labelled identifier the smallest text is learned from; no documents give none; other
+    columns go.
+    """
     return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), threshold=0.7)
 
 
 def op4_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the token-id files say of every document.
+
+    Null texts are empty, with their end id; null identifiers come first; rows that repeat an identifier are
+    documents of their own, in the order of their texts' hashes; no documents give none; other columns go.
+    """
     return token_ids(table(spark, sf_dir, "documents"), vocabulary("word_bpe_49k.json"), end_id=1)
 
 
 def op5_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The fingerprint and the class of every document.
+
+    Null and wordless texts have fingerprint zero and link like others; rows without identifier get the least one
+    of their class, or null; repeated rows are one class; no documents give none; other columns go.
+    """
     return near_duplicates(table(spark, sf_dir, "documents"), threshold=2, shingle=3)
 
 
 def op6_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the archives say of every page.
+
+    Null html is empty; repeated rows of a first page stay responses once; rows without identifier revisit; no
+    pages give none; other columns go.
+    """
     return archive(table(spark, sf_dir, "pages"), least=100)
 
 
 def op7_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The statistics of every document and the rules' verdict.
+
+    Null texts have no words and fail the base rules; without labels these decide alone; repeated rows give
+    repeated rows; no documents give none; other columns go.
+    """
     return judge(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
 def op8_gru_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The base and the model's score of every document.
+
+    Null texts are their end token; rows without identifier train; repeated rows are scored apart; without
+    training documents scores follow from zero counts; no documents give none; other columns go.
+    """
     return score(table(spark, sf_dir, "documents"))
 
 
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of every document in sequences of at most 1024 ids.
+
+    Null texts are their end id; rows that repeat an identifier, or have none, are documents of their own; no
+    documents give none; other columns go.
+    """
     return pack(table(spark, sf_dir, "documents"), vocabulary("byte_bpe_50k.json"), end_id=0, capacity=1024)
 
 
 def op10_secret_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The secrets of every document.
+
+    Null and empty texts have none; repeated rows give repeated rows; ties of place go by the listed kinds; no
+    documents give none; other columns go.
+    """
     return scan(table(spark, sf_dir, "documents")).drop("base", "linked")
 
 
@@ -84,13 +135,13 @@ _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _WORDS = f"regexp_extract_all(translate(coalesce(text, ''), '{_UPPER}', '{_LOWER}'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
 
 _OP1 = f"""WITH d AS (SELECT doc_id, row_number() OVER () AS rid, {_WORDS} AS w FROM documents),
-b AS (SELECT item_id, {_WORDS} AS w FROM benchmark WHERE item_id IS NOT NULL),
+b AS (SELECT item_id, {_WORDS} AS w FROM benchmark),
 s AS (SELECT item_id, w, least(10, len(w)) AS n FROM b WHERE len(w) > 0),
 p AS (SELECT DISTINCT item_id, n, array_to_string(w[k:k + n - 1], ' ') AS x FROM s, LATERAL (SELECT unnest(range(1, len(w) - n + 2)) AS k)),
 g AS (SELECT rid, n, k, array_to_string(w[k:k + n - 1], ' ') AS x FROM d, (SELECT DISTINCT n FROM s), LATERAL (SELECT unnest(range(1, len(w) - n + 2)) AS k)),
 h AS (SELECT rid, g.n, k, item_id FROM g JOIN p ON g.n = p.n AND g.x = p.x),
 c AS (SELECT rid, count(DISTINCT pos) AS n_hit FROM (SELECT rid, unnest(range(k, k + n)) AS pos FROM h) GROUP BY rid),
-i AS (SELECT rid, count(DISTINCT item_id) AS n_items, array_to_string(list_sort(list(DISTINCT CAST(item_id AS VARCHAR))), ',') AS ids FROM h GROUP BY rid)
+i AS (SELECT rid, count(DISTINCT item_id) AS n_items, array_to_string(list_sort(list(DISTINCT CAST(item_id AS VARCHAR)) FILTER (WHERE item_id IS NOT NULL)), ',') AS ids FROM h GROUP BY rid)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN c USING (rid) LEFT JOIN i USING (rid)"""
 
