@@ -20,8 +20,8 @@ import re
 
 import numpy as np
 
-#: Bytes of words, and of pieces, that a worker remembers; beyond them they are encoded each time.
-WORD_BYTES, PIECE_BYTES = 120 << 20, 120 << 20
+#: Bytes of words of either kind, and of pieces, that a worker remembers; beyond them they are encoded each time.
+WORD_BYTES, PIECE_BYTES = 120 << 20, 140 << 20
 #: Longer words aren't remembered.  A remembered one takes so many bytes beside its own.
 LONGEST, BESIDE = 128, 180
 #: Letters of European alphabets that are alike in every normal form, and their lower case one letter.
@@ -83,8 +83,8 @@ class Encoder:
         self.scheme = self._scheme(spec)
         self.model = self.tokenizer.model
         self.pieces = _Memo(self._piece, PIECE_BYTES)
-        self.words = _Memo(self._by_piece, WORD_BYTES // 2)
-        self.spaced = _Memo(lambda word: self._by_piece(" " + word), WORD_BYTES // 2)
+        self.words = _Memo(self._by_piece, WORD_BYTES)
+        self.spaced = _Memo(lambda word: self._by_piece(" " + word), WORD_BYTES)
 
     @staticmethod
     def _scheme(spec: dict) -> str:
