@@ -97,9 +97,14 @@ def fct12(spark, sf_dir):
     return files(spark, sf_dir).agg(F.count("*").alias("files"), F.sum("size_bytes").alias("bytes"), F.count_if(~F.col("utf8_valid")).alias("invalid"))
 
 
-@query("flt05_utf16_suspect")
+#: Characters whose low byte is NUL, as a pattern; those up to U+00FF have a high one.
+LOW_NUL = "".join(f"\\x{{{page:02X}00}}" for page in range(256) if not 0xD8 <= page <= 0xDF)
+
+
+@query("flt05_utf16_suspect", f"""WITH {DIRTY}, c AS (SELECT doc_id, 2 * length(x) AS n, length(regexp_replace(x, '[^\\x00-\\x{{FF}}]', '', 'g')) AS high, length(regexp_replace(x, '[^{LOW_NUL}]', '', 'g')) AS low FROM dirty)
+SELECT doc_id, doc_id % 3 < 2 AND n >= 4 AND 4 * (high + low) >= n AND 10 * greatest(high, low) >= 9 * (high + low) AS suspect FROM c""")
 def flt05(spark, sf_dir):
-    """UTF-16 without a mark, against bytes with odd NULs."""
+    """UTF-16 without a mark, against bytes with odd NULs; the SQL counts NULs by the characters that make them."""
     x = F.col("x")
     content = F.when(F.col("doc_id") % 3 == 0, F.encode(x, "UTF-16LE")).when(F.col("doc_id") % 3 == 1, F.encode(x, "UTF-16BE")).otherwise(F.concat(F.encode(x, "UTF-8"), F.unhex(F.lit("0000"))))
     return dirty_docs(spark, sf_dir).select("doc_id", X.utf16_suspect(content).alias("suspect"))
