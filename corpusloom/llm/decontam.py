@@ -14,6 +14,7 @@ rows; other columns are dropped, or come along in ``row``.
 from __future__ import annotations
 
 import hashlib
+import itertools
 import re
 import uuid
 from collections.abc import Iterator
@@ -30,8 +31,8 @@ from .common import arrow_pass, ddl, materialize, quoted, small_batches
 FOLD = bytes(b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32 for b in range(256))
 #: The same words in the original text.
 ORIGINAL_WORD = re.compile("[^\x00-\x2f\x3a-\x40\x5b-\x60\x7b-\x7f]+")
-#: Windows that one automaton may hold, some 250 MB of it in a worker; a larger benchmark is scanned for in blocks.
-BLOCK_WINDOWS = 400_000
+#: Words whose windows one automaton may hold, some 200 MB of it in a worker; a larger benchmark is scanned for in blocks.
+BLOCK_WORDS = 150_000
 #: Words of one segment of an item; segments overlap by a window less a word, so they have the item's windows.
 SEGMENT_WORDS = 20_000
 
@@ -64,25 +65,36 @@ def segments_of(words: list[bytes], window: int, most: int = SEGMENT_WORDS) -> I
 
 
 class Machine:
-    """An automaton over numbered words."""
+    """An automaton over numbered words.
+
+    A word of the benchmark is three characters, the digits of its number, each from an alphabet of its own, and any
+    other word is a fourth kind of character: so matches start and end with words, and no state of the automaton,
+    which looks through its transitions one by one, has many.
+    """
 
     def __init__(self, segments: list[Segment], window: int):
-        self.number: dict[bytes, int] = {}
-        places: dict[tuple[int, ...], int] = {}
+        numbers: dict[bytes, int] = {}
+        for _, words in segments:
+            for w in words:
+                numbers.setdefault(w, len(numbers))
+        base = 1 + round(len(numbers) ** (1 / 3))
+        base += base**3 < len(numbers)
+        self.code = {w: chr(1 + n // base**2) + chr(1 + base + n // base % base) + chr(1 + 2 * base + n % base) for w, n in numbers.items()}
+        places: dict[str, int] = {}
         named: list[set[str]] = []
         for item, words in segments:
-            ids = [self.number.setdefault(w, len(self.number) + 1) for w in words]
-            size = min(window, len(ids))
-            for k in range(len(ids) - size + 1 if ids else 0):
-                at = places.setdefault(tuple(ids[k : k + size]), len(places))
+            line = "".join([self.code[w] for w in words])
+            size = min(window, len(words))
+            for k in range(len(words) - size + 1 if words else 0):
+                at = places.setdefault(line[3 * k : 3 * (k + size)], len(places))
                 if at == len(named):
                     named.append(set())
                 if item is not None:
                     named[at].add(item)
-        self.sizes = np.array([len(p) for p in places], np.int64)
+        self.sizes = np.array([len(p) // 3 for p in places], np.int64)
         kinds: dict[frozenset, tuple[str, ...]] = {}
         self.items = [kinds.setdefault(key, tuple(key)) for key in map(frozenset, named)]
-        self.machine = ahocorasick.Automaton(ahocorasick.STORE_INTS, ahocorasick.KEY_SEQUENCE)
+        self.machine = ahocorasick.Automaton(ahocorasick.STORE_INTS)
         for pattern, at in places.items():
             self.machine.add_word(pattern, at)
         if places:
@@ -92,13 +104,14 @@ class Machine:
         """Which words are inside an occurrence of a pattern, and the items that those patterns belong to."""
         hit, items = np.zeros(len(words), bool), set()
         if len(self.sizes) and words:
-            find = self.number.get
-            found = list(self.machine.iter(tuple([find(w, 0) for w in words])))
+            codes = list(map(self.code.get, words, itertools.repeat("\0")))
+            found = list(self.machine.iter("".join(codes)))
             if found:
-                ends, at = np.array(found, np.int64).T
+                last, at = np.array(found, np.int64).T
+                ends = np.searchsorted(np.cumsum(list(map(len, codes))), last, side="right") + 1
                 edge = np.zeros(len(words) + 1, np.int64)
-                np.add.at(edge, ends + 1 - self.sizes[at], 1)
-                np.add.at(edge, ends + 1, -1)
+                np.add.at(edge, ends - self.sizes[at], 1)
+                np.add.at(edge, ends, -1)
                 hit = np.cumsum(edge)[:-1] > 0
                 for i in np.unique(at).tolist():
                     items.update(self.items[i])
@@ -128,7 +141,7 @@ def spans_of(text: str, hit: np.ndarray) -> list[dict]:
 
 
 def segmented(benchmark: DataFrame, item_col: str, item_text: str, window: int) -> DataFrame:
-    """``item``, ``words`` (joined by spaces, in lower case) and ``n``, the windows, of the items' segments."""
+    """``item``, ``words`` (joined by spaces, in lower case) and ``n``, how many there are, of the items' segments."""
     small_batches(benchmark.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -137,7 +150,7 @@ def segmented(benchmark: DataFrame, item_col: str, item_text: str, window: int)
                 words = words_of(body)
                 if words:
                     parts = list(segments_of(words, window))
-                    yield pa.RecordBatch.from_pydict({"item": pa.array([item] * len(parts), pa.string()), "words": pa.array([b" ".join(p) for p in parts], pa.binary()), "n": pa.array([max(1, len(p) - window + 1) for p in parts], pa.int64())})
+                    yield pa.RecordBatch.from_pydict({"item": pa.array([item] * len(parts), pa.string()), "words": pa.array([b" ".join(p) for p in parts], pa.binary()), "n": pa.array([len(p) for p in parts], pa.int64())})
 
     return benchmark.select(F.col(item_col).cast("string").alias("item"), F.col(item_text).alias("body")).mapInArrow(run, "item string, words binary, n long")
 
@@ -150,18 +163,18 @@ def decontaminate(
     item_col: str = "item_id",
     item_text: str = "text",
     window: int = 10,
-    block_windows: int = BLOCK_WINDOWS,
+    block_words: int = BLOCK_WORDS,
     carry: bool = False,
 ) -> DataFrame:
     """A row per document: its hits among the benchmark's windows.
 
-    The benchmark is the stated query set.  Its windows are counted first; if one automaton may hold them, it
+    The benchmark is the stated query set.  Its words are counted first; if one automaton may hold their windows, it
     does, and else their segments are dealt by hash to blocks, of which the driver and a worker hold one at a
     time, and documents pass through block after block, written to the shared folder in between.
     """
     parts = segmented(benchmark, item_col, item_text, window)
-    windows = parts.agg(F.sum("n")).first()[0] or 0
-    blocks = max(1, -(-windows // block_windows))
+    words = parts.agg(F.sum("n")).first()[0] or 0
+    blocks = max(1, -(-words // block_words))
     if blocks > 1:
         parts = materialize(parts, "segments")
     row = [F.struct(*[F.col(quoted(c)) for c in docs.columns]).alias("row")] if carry else []

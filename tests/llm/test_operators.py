@@ -84,7 +84,7 @@ def test_decontamination(spark, docs, block, monkeypatch):
     df, rows = docs
     items = [(10, rows[20][1]), (9, "ONE"), (2, None), (3, ""), (4, "The, and; the"), (None, "x"), (9, "ONE"), (11, "tion rin tion"), (None, rows[21][1])]
     bench = spark.createDataFrame(items, "item_id long, text string")
-    found = decontam.decontaminate(df, bench, window=4, block_windows=block)
+    found = decontam.decontaminate(df, bench, window=4, block_words=block)
     expected = collections.Counter((i, *hits(t, items, 4)) for i, t in rows)
     assert rows_of(found, "doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated") == expected
     texts = collections.defaultdict(list)
@@ -102,6 +102,22 @@ def test_segments_have_the_windows():
         assert set().union(*map(cut, parts)) == cut(words) and max(map(len, parts)) <= 8
 
 
+def test_many_words_of_a_benchmark(spark):
+    """More words than an automaton's states could look through, against a plain search."""
+    rng = random.Random(3)
+    vocabulary = [f"w{i}".encode() for i in range(30_000)]
+    items = [(str(i), [rng.choice(vocabulary) for _ in range(rng.randint(1, 40))]) for i in range(2_000)]
+    machine = decontam.Machine(items, 6)
+    patterns = {tuple(w[k : k + min(6, len(w))]) for _, w in items for k in range(len(w) - min(6, len(w)) + 1)}
+    for _ in range(30):
+        line = sum((rng.choice([w, w[3:12], [b"else", b"w5"]]) for _, w in rng.sample(items, 6)), [])
+        hit = {j for k in range(len(line)) for n in range(1, 7) if tuple(line[k : k + n]) in patterns and k + n <= len(line) for j in range(k, k + n)}
+        assert set(np.flatnonzero(machine.hits(line)[0]).tolist()) == hit
+    began = time.process_time()
+    machine.hits([rng.choice(vocabulary) for _ in range(200_000)])
+    assert time.process_time() - began < 2
+
+
 def test_decontamination_of_nothing(spark, docs):
     df, _ = docs
     none = spark.createDataFrame([], "item_id long, text string")
@@ -271,6 +287,26 @@ def test_repeated_labels_count_once(spark):
     assert rules.fit(df.unionByName(many), again) != []
 
 
+def test_terms_by_hand():
+    """Words and form, each with its own length, counted one by one."""
+    text = "Stone stone.\n river| 9 é"
+    row = quality.terms(text)
+    raw = text.encode()
+    c = [int(quality.CLASS_OF[b]) for b in b" " + raw + b" "]
+    form, count = np.zeros(quality.FORM), len(c) - 2
+    for a, b, d in zip(c, c[1:], c[2:], strict=False):
+        form[(a * 12 + b) * 12 + d] += 1 / count
+    form[-4:] = 0, 0, 0, 0.25 / 6  # no word, pair or line repeats, and there are five words
+    form = np.sqrt(form)
+    form /= np.linalg.norm(form)
+    own = np.zeros(quality.WORDS)
+    for w in raw.lower().split():
+        own[zlib.crc32(w) % quality.WORDS] += 1 / 5
+    both = np.concatenate([form, quality.WEIGHT * np.sqrt(own)])
+    assert row == pytest.approx(both / np.linalg.norm(both), abs=1e-6)
+    assert not quality.terms("").any() and not quality.terms(None).any()
+
+
 def test_votes_are_exact():
     rng = np.random.default_rng(0)
     rows, labels = rng.random((50, quality.TERMS)).astype(np.float32), rng.integers(0, 2, 50)
