@@ -61,13 +61,16 @@ def src04(spark, sf_dir):
     return _scan(spark, _tree(spark)).where("kind LIKE 'link%'").select("path", "kind", "target")
 
 
-@query("src06_unreadable", "SELECT 'gone.txt' AS path, 'unreadable' AS kind, true AS explained")
+@query("src06_unreadable", "SELECT * FROM (VALUES ('a.txt', 'unreadable', true), ('gone', 'unreadable', true), ('sub/_b.md', 'file', false)) v(path, kind, explained)")
 def src06(spark, sf_dir):
-    """A file that goes between listing and reading is a row with its error."""
-    from ..sources.tree import Chunk, TreeReader
-
-    root = _folder(spark)
-    rows = TreeReader({"path": root}).read(Chunk(root, [("gone.txt", "file", None, 1, 0, 1, 0, 0, None)]))
+    """A file that goes between listing and reading, and a directory that goes before it is listed, are rows with their errors."""
+    from ..sources.tree import Chunk, TreeReader, listing
+
+    root = _tree(spark)
+    reader = TreeReader({"path": root})
+    seen = [row for row in listing(root, ["a.txt", "*.md"], []) if row[1] == "file"]
+    os.unlink(f"{root}/a.txt")
+    rows = [reader.loaded(root, row) for row in seen] + list(reader.read(Chunk(root, [("gone", True)])))
     return spark.createDataFrame([(r[0], r[1], r[9] is not None) for r in rows], "path string, kind string, explained boolean")
 
 

@@ -115,20 +115,24 @@ class TreeReader(DataSourceReader):
             rows = iter(filter(None, [_entry(partition.root, os.path.basename(self.root), self.include, self.exclude)]))
         else:
             rows = (row for top, deep in partition.tops for row in listing(self.root, self.include, self.exclude, top, deep))
-        for path, kind, target, size, mtime, nlink, dev, ino, error in rows:
-            content = None
-            if kind == "directory":
-                continue
-            if kind == "file" and size > self.limit:
-                kind, error = "oversize", f"{size} bytes, of {self.limit} at most"
-            elif kind == "file":
-                try:
-                    fd = os.open(os.path.join(partition.root, path), os.O_RDONLY | os.O_NOFOLLOW)
-                    with os.fdopen(fd, "rb") as f:
-                        content = f.read()
-                except OSError as e:
-                    kind, error = "unreadable", str(e)
-            yield (path, kind, target, size, mtime, nlink, dev, ino, content, error)
+        for row in rows:
+            if row[1] != "directory":
+                yield self.loaded(partition.root, row)
+
+    def loaded(self, root: str, row: tuple) -> tuple:
+        """A listed file with its content, or with why there is none."""
+        path, kind, target, size, mtime, nlink, dev, ino, error = row
+        content = None
+        if kind == "file" and size > self.limit:
+            kind, error = "oversize", f"{size} bytes, of {self.limit} at most"
+        elif kind == "file":
+            try:
+                fd = os.open(os.path.join(root, path), os.O_RDONLY | os.O_NOFOLLOW)
+                with os.fdopen(fd, "rb") as f:
+                    content = f.read()
+            except OSError as e:
+                kind, error = "unreadable", str(e)
+        return (path, kind, target, size, mtime, nlink, dev, ino, content, error)
 
 
 class TreeSource(DataSource):
