@@ -37,3 +37,19 @@ def test_query(spark, duck, name):
     at = [said.columns.index(c) for c in columns]
     assert len(said.columns) == len(columns)
     assert found == plain([tuple(r[i] for i in at) for r in said.fetchall()])
+
+
+def beside(spark, name, table, rows, tmp_path):
+    """What a query and its SQL make of a table of these rows."""
+    c = duckdb.connect()
+    c.sql(f"CREATE TABLE {table} AS {rows}")
+    c.sql(f"COPY {table} TO '{tmp_path}/{table}.parquet'")
+    df, said = QUERIES[name](spark, str(tmp_path)), c.sql(ORACLES[name])
+    return plain(tuple(r[x] for x in said.columns) for r in df.collect()), plain(said.fetchall())
+
+
+def test_verdict_of_halves(spark, tmp_path):
+    prices = "(1, 199999.5), (2, 200000.4), (3, 200000.5), (4, 200000.51), (5, 200001.5), (6, -0.5), (7, NULL)"
+    found, said = beside(spark, "agg14_verdict", "orders", f"SELECT CAST(k AS BIGINT) AS o_orderkey, CAST(700 AS BIGINT) AS o_custkey, CAST(p AS DOUBLE) AS o_totalprice FROM (VALUES {prices}) AS v(k, p)", tmp_path)
+    assert found == said
+    assert [r[1] for r in found] == [True, True, True, False, False, True, None]
