@@ -29,6 +29,9 @@ dropped.
 
 from __future__ import annotations
 
+import contextlib
+import ctypes
+import functools
 import heapq
 import itertools
 import math
@@ -39,12 +42,12 @@ from dataclasses import dataclass, field
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import crc_mod, materialize, one_thread, small_batches
-from .simhash import LOWER
 
 VOCABULARY = 1 << 17
 LEAST = 3
@@ -54,8 +57,8 @@ CLASSES = KINDS * BINS + TAIL
 INPUTS = LEARNED = 2048
 HIDDEN = 32
 ALPHA = 0.1
-#: Distinct words that a counting task holds before it passes them on.
-HELD_WORDS = 400_000
+#: Words that a counting task holds, distinct ones of each batch, before it adds them up and passes them on.
+HELD_WORDS = 1_600_000
 #: Streams and steps of a window while training, and the tokens that a task takes up at a time.
 STREAMS, STEPS, CHUNK = 512, 24, 512 * 24 * 8
 #: Rounds of the training, tokens of a shard, shards of a round, and the shards that make another round worth it.
@@ -71,8 +74,13 @@ PLACES, WINDOW = 256, 32
 BLOCK, AHEAD = 1024, 1 << 19
 
 
-def words_of(text: str | None) -> list[bytes]:
-    return text.encode("utf-8", "surrogatepass").translate(LOWER).split() if text else []
+@functools.cache
+def keep_memory() -> None:
+    """Has a worker keep the arrays' memory that it frees, since asking the system for it again costs a fifth of the time; elsewhere than with glibc all stays as it is."""
+    with contextlib.suppress(OSError, AttributeError):
+        mallopt = ctypes.CDLL("libc.so.6").mallopt
+        for option, size in ((-3, 32 << 20), (-1, 256 << 20)):  # the sizes from which on blocks are mapped, and free memory is given back
+            mallopt(option, size)
 
 
 def _endings() -> bytes:
@@ -119,14 +127,77 @@ class Tables:
         return np.stack([x, classes, ids])
 
 
-def numbered(words: list[bytes], number: dict[bytes, int]) -> tuple[np.ndarray, Counter]:
-    """Word numbers, or -1 - tail class, of a document and its end; and its tail words, with their counts."""
-    words = [*words, b""]
-    ids = np.array([number.get(w, -1) for w in words], np.int32)
+def split(texts: pa.Array) -> pa.Array:
+    """The words of each text in lower case, and empty ones beside blanks at its ends."""
+    return pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
+
+
+def plain(words: pa.Array) -> list[bytes]:
+    """Words, which have no blanks, as bytes; much faster than one by one."""
+    return pc.binary_join(pa.ListArray.from_arrays([0, len(words)], words.cast(pa.binary())), b" ")[0].as_py().split(b" ") if len(words) else []
+
+
+@dataclass
+class Numbered:
+    """Documents as word numbers, or -1 - tail class, end to end; where each begins and the last one ends; and the tail words of each, with their counts."""
+
+    ids: np.ndarray
+    begin: np.ndarray
+    words: pa.Array
+    numbers: np.ndarray  # of words
+    tail_begin: np.ndarray
+    tail: np.ndarray  # places in words
+    tail_counts: np.ndarray
+
+    def __iter__(self) -> Iterator[np.ndarray]:
+        return map(self.ids.__getitem__, itertools.starmap(slice, itertools.pairwise(self.begin.tolist())))
+
+
+def all_numbered(lists: pa.Array, number: dict[bytes, int]) -> Numbered:
+    """Documents, given as lists of words, with their ends; each distinct word is looked up once."""
+    found = lists.flatten().dictionary_encode()
+    codes, words = found.indices.to_numpy(), [*plain(found.dictionary), b""]
+    end = len(words) - 1
+    held = codes != words.index(b"")
+    begin = np.concatenate([[0], np.cumsum(held)])[np.cumsum([0, *pc.list_value_length(lists).to_pylist()])]
+    codes = np.insert(codes[held], begin[1:], end)
+    begin = begin + np.arange(len(begin))
+    numbers = np.array([n if (n := number.get(w)) is not None else -1 - tail_class(w) for w in words], np.int32)
+    ids = numbers[codes]
     rest = np.flatnonzero(ids < 0)
-    tail = [words[i] for i in rest.tolist()]
-    ids[rest] = [-1 - tail_class(w) for w in tail]
-    return ids, Counter(tail)
+    doc = np.repeat(np.arange(len(begin) - 1), np.diff(begin))[rest]
+    pairs, counts = np.unique(doc * len(words) + codes[rest], return_counts=True)
+    named = pa.concat_arrays([found.dictionary.cast(pa.binary()), pa.array([b""])])
+    return Numbered(ids, begin, named, numbers, np.searchsorted(pairs, np.arange(len(begin)) * len(words)), pairs % len(words), counts)
+
+
+def numbered(words: list[bytes], number: dict[bytes, int]) -> tuple[np.ndarray, Counter]:
+    """The numbers of one document and its end, and its tail words with their counts."""
+    found = all_numbered(pa.array([words], pa.list_(pa.binary())), number)
+    return found.ids, Counter(dict(zip(found.words.take(pa.array(found.tail)).to_pylist(), found.tail_counts.tolist(), strict=True)))
+
+
+def summed(rows: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The keys (small numbers) that occur, in order, and the sum of the rows of each, by halving: neighbours of a key are added up until it has one row."""
+    order = np.argsort(keys.astype(np.int16), kind="stable")
+    keys = keys[order]
+    first = True
+    while first or len(keys):
+        new = np.ones(len(keys), bool)
+        new[1:] = keys[1:] != keys[:-1]
+        begin = np.flatnonzero(new)
+        if not first and len(begin) == len(keys):
+            break
+        # Places of even rank within their key stay, and get the next row where that has the same key.
+        rank = np.arange(len(keys)) - np.repeat(begin, np.diff(begin, append=len(keys)))
+        even = np.flatnonzero(rank & 1 == 0)
+        paired = np.flatnonzero(rank[even + 1 - (even + 1 == len(keys))] & 1 == 1)
+        left = even if not first else order[even]
+        right = even[paired] + 1
+        out = np.take(rows, left, axis=0)
+        out[paired] += np.take(rows, right if not first else order[right], axis=0)
+        rows, keys, first = out, keys[even], False
+    return keys, rows
 
 
 class Network:
@@ -142,6 +213,7 @@ class Network:
             "words": np.zeros((LEARNED, HIDDEN), np.float32),
         }
         one_thread()
+        keep_memory()
         self.moments: tuple[dict, dict, int] | None = None
         self.spaces: dict[tuple, np.ndarray] = {}
 
@@ -160,43 +232,43 @@ class Network:
     def states(self, x: np.ndarray, h: np.ndarray, keep: dict | None = None) -> np.ndarray:
         """The states after each of the inputs x (steps x rows), from h; ``keep`` gets what backpropagation needs.
 
-        Inside, features come first and rows second, so that gates are contiguous.
+        Each gate has arrays of its own, of rows by features, so that all of them are contiguous and none is turned.
         """
-        u, vectors = self.p["hidden"].T.copy(), self.p["inputs"].T.copy()
+        # Of z and r the negatives, as their logistic functions want them.
+        u, vectors = (self.p[k].reshape(-1, 3, HIDDEN).transpose(1, 0, 2).copy() for k in ("hidden", "inputs"))
+        u[:2] *= -1
+        vectors[:2] *= -1
         steps, rows = x.shape
-        out = self.space("states", steps, HIDDEN, rows)
+        x = np.ascontiguousarray(x, np.intp)
+        out = self.space("states", steps, rows, HIDDEN)
         held = steps if keep is not None else 1
-        gates, new, inner, before = (self.space(name, held, n, rows) for name, n in (("gates", 2 * HIDDEN), ("new", HIDDEN), ("inner", HIDDEN), ("before", HIDDEN)))
-        gx, gh = self.space("gx", 3 * HIDDEN, rows), self.space("gh", 3 * HIDDEN, rows)
+        gates, new, inner, before = (self.space(name, held, *n, rows, HIDDEN) for name, n in (("gates", (2,)), ("new", ()), ("inner", ()), ("before", ())))
+        gx = self.space("gx", 3, rows, HIDDEN)
         fresh = x == INPUTS + CLASSES
         any_fresh = fresh.any(axis=1)
-        h = h.T
         for t in range(steps):
             i = t if keep is not None else 0
             zr, n, ghn, old = gates[i], new[i], inner[i], before[i]
             old[:] = h
             if any_fresh[t]:
-                old[:, fresh[t]] = 0
+                old[fresh[t]] = 0
             np.take(vectors, x[t], axis=1, out=gx, mode="clip")
-            np.matmul(u, old, out=gh)
-            np.add(gx[: 2 * HIDDEN], gh[: 2 * HIDDEN], out=zr)
-            np.negative(zr, out=zr)
+            np.matmul(old, u[:2], out=zr)
+            zr += gx[:2]
             np.exp(zr, out=zr)
             zr += 1
             np.reciprocal(zr, out=zr)
-            ghn[:] = gh[2 * HIDDEN :]
-            np.multiply(zr[HIDDEN:], ghn, out=n)
-            n += gx[2 * HIDDEN :]
+            np.matmul(old, u[2], out=ghn)
+            np.multiply(zr[1], ghn, out=n)
+            n += gx[2]
             np.tanh(n, out=n)
             h = out[t]
             np.subtract(old, n, out=h)
-            h *= zr[:HIDDEN]
+            h *= zr[0]
             h += n
         if keep is not None:
             keep.update(gates=gates, new=new, inner=inner, before=before, fresh=fresh)
-        found = self.space("found", steps, rows, HIDDEN)
-        found[:] = out.transpose(0, 2, 1)
-        return found
+        return out
 
     def of_classes(self, states: np.ndarray, y: np.ndarray, g: dict | None = None, back: np.ndarray | None = None, share: float = 1.0) -> np.ndarray:
         """Log probabilities of the classes y (0 where y is negative) after states (rows x hidden).
@@ -220,12 +292,14 @@ class Network:
             total = e @ np.ones(CLASSES, e.dtype)
             logs[a : a + BLOCK] = np.where(target >= 0, picked - np.log(total), 0)
             if g is not None:
-                scale = np.where(target >= 0, share, 0).astype(e.dtype)
-                e *= (scale / total)[:, None]
-                e[at] -= scale
-                g["out"] += own.T @ e
-                g["bias"] += np.ones(len(own), e.dtype) @ e
-                back[a : a + BLOCK] += e @ out.T
+                # A row's weight goes to its narrow side.
+                e[at] -= total
+                weight = (np.where(target >= 0, share, 0) / total).astype(e.dtype)
+                g["out"] += (own * weight[:, None]).T @ e
+                g["bias"] += weight @ e
+                some = e @ out.T
+                some *= weight[:, None]
+                back[a : a + BLOCK] += some
         return logs
 
     def of_words(self, states: np.ndarray, y: np.ndarray, words: np.ndarray, tables: Tables, g: dict | None = None, back: np.ndarray | None = None, share: float = 1.0) -> np.ndarray:
@@ -233,30 +307,43 @@ class Network:
         vectors = self.p["words"]
         logs = np.zeros(len(states), np.float64)
         frequent = np.flatnonzero(words >= 0)
-        logs[frequent] = tables.in_class[words[frequent]]
         order = frequent[np.argsort(y[frequent].astype(np.int8), kind="stable")]
-        edges = np.searchsorted(y[order], np.arange(KINDS * BINS + 1))
+        edges = np.searchsorted(y[order], np.arange(KINDS * BINS + 1)).tolist()
+        named, ranked = words[order], np.take(states, order, axis=0)
+        slot = tables.slot[named]
+        learned = np.flatnonzero(slot >= 0)
+        slot = slot[learned]
+        own, theirs = np.take(ranked, learned, axis=0), np.take(vectors, slot, axis=0)
+        logits = tables.in_class[named]
+        logits[learned] += np.einsum("ij,ij->i", own, theirs)
+        totals = np.ones(len(order), states.dtype)
+        if g is not None:
+            turned = np.zeros_like(ranked)
         for k in range(KINDS * BINS):
             first, last = int(tables.begin[k]), int(tables.begin[k + 1])
             if first == last:
                 continue
-            for a in range(int(edges[k]), int(edges[k + 1]), BLOCK):
-                rows = order[a : min(a + BLOCK, int(edges[k + 1]))]
-                own = states[rows]
-                slot = tables.slot[words[rows]]
-                learned = np.flatnonzero(slot >= 0)
-                at = learned, slot[learned] - first
-                e = own @ vectors[first:last].T
-                logs[rows[learned]] += e[at]
+            part = tables.share[first:last]
+            weighted = vectors[first:last] * part[:, None]
+            for a in range(edges[k], edges[k + 1], BLOCK):
+                rows = slice(a, min(a + BLOCK, edges[k + 1]))
+                e = ranked[rows] @ vectors[first:last].T
                 np.exp(e, out=e)
-                e *= tables.share[first:last]
-                total = e @ np.ones(last - first, e.dtype) + tables.rest[k]
-                logs[rows] -= np.log(total)
+                total = e @ part
+                total += tables.rest[k]
+                totals[rows] = total
                 if g is not None:
-                    e *= (share / total)[:, None].astype(e.dtype)
-                    e[at] -= e.dtype.type(share)
-                    g["words"][first:last] += e.T @ own
-                    back[rows] += e @ vectors[first:last]
+                    weight = (share / total).astype(e.dtype)[:, None]
+                    g["words"][first:last] += (e.T @ (ranked[rows] * weight)) * part[:, None]
+                    np.multiply(e @ weighted, weight, out=turned[rows])
+        logs[order] = logits - np.log(totals)
+        if g is not None:
+            own *= states.dtype.type(share)
+            seen, sums = summed(own, slot)
+            g["words"][seen] -= sums
+            theirs *= states.dtype.type(share)
+            turned[learned] -= theirs
+            back[order] += turned
         return logs
 
     def gradients(self, x: np.ndarray, y: np.ndarray, words: np.ndarray, h: np.ndarray, tables: Tables) -> tuple[dict[str, np.ndarray], np.ndarray, float]:
@@ -272,40 +359,38 @@ class Network:
         back.fill(0)
         loss = self.of_classes(flat, target, g, back, 1 / count).sum() + self.of_words(flat, target, words.ravel(), tables, g, back, 1 / count).sum()
         steps, rows = x.shape
-        coming = self.space("coming", steps, HIDDEN, rows)
-        coming[:] = back.reshape(states.shape).transpose(0, 2, 1)
-        u = self.p["hidden"]
-        read, turned = self.space("read", steps, 3 * HIDDEN, rows), self.space("turned", steps, 3 * HIDDEN, rows)
-        dh, some = np.zeros((HIDDEN, rows), states.dtype), self.space("some", HIDDEN, rows)
+        coming, u = back.reshape(states.shape), self.p["hidden"].T.copy()
+        # What comes to n's input, z, r, and n's part of the state: the input has the first three, the state the last three.
+        read = self.space("read", steps, rows, 4 * HIDDEN)
+        dh = np.zeros((rows, HIDDEN), states.dtype)
+        some, dz, dr, dn = (self.space(name, rows, HIDDEN) for name in ("some", "dz", "dr", "dn"))
         for t in reversed(range(steps)):
-            n, d, inner = kept["new"][t], read[t], turned[t]
-            z, r = kept["gates"][t][:HIDDEN], kept["gates"][t][HIDDEN:]
-            dz, dr, dn = d[:HIDDEN], d[HIDDEN : 2 * HIDDEN], d[2 * HIDDEN :]
+            n, (z, r), old = kept["new"][t], kept["gates"][t], kept["before"][t]
+            to_n, to_z, to_r, to_inner = (read[t, :, k : k + HIDDEN] for k in range(0, 4 * HIDDEN, HIDDEN))
             dh += coming[t]
             np.subtract(1, z, out=some)
             some *= dh  # what comes through 1 - z
-            np.subtract(kept["before"][t], n, out=dz)
+            np.subtract(old, n, out=dz)
             dz *= some
-            dz *= z
+            np.multiply(dz, z, out=to_z)
             np.multiply(n, n, out=dn)
             np.subtract(1, dn, out=dn)
             dn *= some
+            to_n[:] = dn
             np.subtract(1, r, out=dr)
-            dr *= r
-            dr *= kept["inner"][t]
+            dn *= r
+            to_inner[:] = dn
             dr *= dn
-            inner[: 2 * HIDDEN] = d[: 2 * HIDDEN]
-            np.multiply(dn, r, out=inner[2 * HIDDEN :])
+            np.multiply(dr, kept["inner"][t], out=to_r)
             dh *= z
-            dh += np.matmul(u, inner, out=some)
+            dh += np.matmul(read[t, :, HIDDEN:], u, out=some)
             if kept["fresh"][t].any():
-                dh[:, kept["fresh"][t]] = 0
-            g["hidden"] += kept["before"][t] @ inner.T
-        flat = self.space("flat", x.size, 3 * HIDDEN)
-        flat.reshape(steps, rows, -1)[:] = read.transpose(0, 2, 1)
-        order = np.argsort(x.ravel().astype(np.int16), kind="stable")
-        seen, first = np.unique(x.ravel()[order], return_index=True)
-        g["inputs"][seen] = np.add.reduceat(np.take(flat, order, axis=0, out=self.space("sorted", *flat.shape)), first)
+                dh[kept["fresh"][t]] = 0
+        flat = read.reshape(-1, 4 * HIDDEN)
+        g["hidden"] += kept["before"].reshape(-1, HIDDEN).T @ flat[:, HIDDEN:]
+        seen, sums = summed(flat, x.ravel())
+        g["inputs"][seen, 2 * HIDDEN :] = sums[:, :HIDDEN]
+        g["inputs"][seen, : 2 * HIDDEN] = sums[:, HIDDEN : 3 * HIDDEN]
         return g, states[-1].copy(), -loss / count
 
     def train(self, streams: np.ndarray, tables: Tables, steps: int | None = None, rate: float = 0.01, decay: bool = True) -> list[float]:
@@ -358,19 +443,26 @@ def count_words(texts: DataFrame) -> DataFrame:
     small_batches(texts.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: Counter = Counter()
+        held: list[pa.StructArray] = []
 
-        def out() -> pa.RecordBatch:
-            return pa.RecordBatch.from_pydict({"word": pa.array(list(held), pa.binary()).cast(pa.string()), "k": pa.array([tail_class(w) for w in held], pa.int32()), "n": pa.array(held.values(), pa.int64())})
+        def out(docs: int) -> pa.RecordBatch:
+            ends = pa.StructArray.from_arrays([pa.array([""]), pa.array([docs], pa.int64())], ["values", "counts"])
+            parts = pa.Table.from_struct_array(pa.chunked_array([pa.StructArray.from_arrays([x.field("values").cast(pa.string()), x.field("counts")], ["values", "counts"]) for x in [*held, ends]]))
+            summed = parts.group_by("values", use_threads=False).aggregate([("counts", "sum")]).combine_chunks()
+            words = summed["values"].combine_chunks()
+            return pa.RecordBatch.from_pydict({"word": words, "k": pa.array([tail_class(w) for w in plain(words)], pa.int32()), "n": summed["counts_sum"].combine_chunks()})
 
+        docs = 0
         for batch in batches:
-            for text in batch.column(0).to_pylist():
-                held.update(words_of(text))
-                held[b""] += 1
-            if len(held) > HELD_WORDS:
-                yield out()
-                held = Counter()
-        yield out()
+            # Blanks at the ends of texts leave empty words, which are no ends.
+            found = split(batch.column(0)).flatten().value_counts()
+            held.append(found.filter(pc.not_equal(found.field("values"), "")))
+            docs += batch.num_rows
+            if sum(map(len, held)) > HELD_WORDS:
+                yield out(docs)
+                held, docs = [], 0
+        if docs:
+            yield out(docs)
 
     return texts.select("text").mapInArrow(run, "word string, k int, n long").groupBy("word").agg(F.min("k").alias("k"), F.sum("n").alias("c"))
 
@@ -690,26 +782,25 @@ def _tokens(rows: DataFrame, number: dict[bytes, int], base: np.ndarray) -> Data
     sent = rows.sparkSession.sparkContext.broadcast((number, base))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
-    def tails(found: list[Counter]) -> pa.Array:
-        words = list(itertools.chain.from_iterable(found))
-        flat = pa.StructArray.from_arrays([pa.array(words, pa.binary()).cast(pa.string()), pa.array([tail_class(w) for w in words], pa.int32()), pa.array(list(itertools.chain.from_iterable(x.values() for x in found)), pa.int64())], ["word", "k", "n"])
-        return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, found)]), pa.int32()), flat)
+    def tails(found: Numbered) -> pa.Array:
+        flat = pa.StructArray.from_arrays([found.words.cast(pa.string()).take(pa.array(found.tail)), pa.array(-1 - found.numbers[found.tail], pa.int32()), pa.array(found.tail_counts, pa.int64())], ["word", "k", "n"])
+        return pa.ListArray.from_arrays(pa.array(found.tail_begin, pa.int32()), flat)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         number, base = sent.value
         serial = TaskContext.get().partitionId() << 40
         for batch in batches:
-            ids, tail = zip(*(numbered(words_of(t), number) for t in batch.column(1).to_pylist()), strict=True) if batch.num_rows else ((), ())
-            known = [x[x >= 0] for x in ids]
+            found = all_numbered(split(batch.column(1)), number)
+            known = [x[x >= 0] for x in found]
             yield pa.RecordBatch.from_pydict({
                 "uid": pa.array(range(serial, serial + batch.num_rows), pa.int64()),
                 "doc_id": batch.column(0),
                 "held_out": batch.column(2),
-                "n_tokens": pa.array([len(x) for x in ids], pa.int64()),
+                "n_tokens": pa.array(np.diff(found.begin), pa.int64()),
                 "n_top": pa.array([len(x) for x in known], pa.int64()),
                 "base_top": pa.array([float(base[x].sum()) for x in known], pa.float64()),
-                "ids": pa.array([x.astype("<i4").tobytes() for x in ids], pa.binary()),
-                "tail": tails(list(tail)),
+                "ids": pa.array([x.astype("<i4").tobytes() for x in found], pa.binary()),
+                "tail": tails(found),
             })
             serial += batch.num_rows
 
@@ -724,6 +815,7 @@ def _scored(tokens: DataFrame, network: Network, tables: Tables) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         one_thread()
+        keep_memory()
         network, tables = sent.value
 
         def feed() -> Iterator[tuple[int, np.ndarray]]:

@@ -12,6 +12,7 @@ import time
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -1036,3 +1037,24 @@ def test_stages_leave_columns_of_any_name(spark, tmp_path):
         assert out.schema.simpleString() == docs.schema.simpleString() and out.count() == left
         assert stage(spark, docs.limit(0), folder).count() == 0
     assert P.pack_windows(spark, docs, folder).select("file").distinct().count() >= 1
+
+
+def test_words_of_batches():
+    texts = ["  A b\x0bÄ a ", "", None, "\x1cx\x85 B,\n\tb,", "zz zz."]
+    number = {b"a": 0, "Ä".encode(): 1}
+    found = lm.all_numbered(lm.split(pa.array(texts, pa.string())), number)
+    for i, (text, ids) in enumerate(zip(texts, found, strict=True)):
+        own = [*(text or "").encode().lower().split(), b""]
+        assert ids.tolist() == [number.get(w, -1 - lm.tail_class(w)) for w in own]
+        part = slice(found.tail_begin[i], found.tail_begin[i + 1])
+        tail = dict(zip(found.words.take(pa.array(found.tail[part])).to_pylist(), found.tail_counts[part].tolist(), strict=True))
+        assert tail == collections.Counter(w for w in own if w not in number)
+
+
+def test_sums_by_halving():
+    rng = np.random.default_rng(2)
+    for n in (0, 1, 7, 900):
+        keys, rows = rng.integers(0, 9, n) ** 2, rng.normal(0, 1, (n, 3))
+        seen, sums = lm.summed(rows, keys)
+        assert seen.tolist() == sorted(set(keys.tolist()))
+        assert np.allclose(sums, np.array([rows[keys == k].sum(axis=0) for k in seen]).reshape(-1, 3))
