@@ -44,7 +44,7 @@ import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, Row
 from pyspark.sql import functions as F
 
 from .common import crc_mod, materialize, one_thread, small_batches
@@ -72,6 +72,8 @@ COPIES = 256
 PLACES, WINDOW = 256, 32
 #: Rows of a softmax at a time, and tokens of documents that are read ahead.
 BLOCK, AHEAD = 1024, 1 << 19
+#: Rows of a key beyond which they are summed by a product of their own.
+MANY_ROWS = 16
 
 
 @functools.cache
@@ -97,6 +99,19 @@ def tail_class(word: bytes) -> int:
     return 15 if not word else ENDING[word[-1]] + (0 if word.isascii() else 8)
 
 
+def tail_classes(words: pa.Array) -> np.ndarray:
+    """The tail class of each of many words (string or binary, none null)."""
+    if not len(words):
+        return np.zeros(0, np.int32)
+    _, offsets, data = words.buffers()
+    ends = np.frombuffer(offsets, np.int32, len(words) + 1, 4 * words.offset)
+    held = np.diff(ends) > 0
+    out = np.full(len(words), 15, np.int32)
+    out[held] = np.frombuffer(ENDING, np.uint8)[np.frombuffer(data or b"\0", np.uint8)[ends[1:][held] - 1]]
+    out[held & ~pc.string_is_ascii(words.cast(pa.string())).to_numpy(zero_copy_only=False)] += 8
+    return out
+
+
 @dataclass
 class Tables:
     """What every worker knows of the frequent words and of the classes."""
@@ -132,11 +147,6 @@ def split(texts: pa.Array) -> pa.Array:
     return pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts, "")))
 
 
-def plain(words: pa.Array) -> list[bytes]:
-    """Words, which have no blanks, as bytes; much faster than one by one."""
-    return pc.binary_join(pa.ListArray.from_arrays([0, len(words)], words.cast(pa.binary())), b" ")[0].as_py().split(b" ") if len(words) else []
-
-
 @dataclass
 class Numbered:
     """Documents as word numbers, or -1 - tail class, end to end; where each begins and the last one ends; and the tail words of each, with their counts."""
@@ -153,22 +163,32 @@ class Numbered:
         return map(self.ids.__getitem__, itertools.starmap(slice, itertools.pairwise(self.begin.tolist())))
 
 
-def all_numbered(lists: pa.Array, number: dict[bytes, int]) -> Numbered:
-    """Documents, given as lists of words, with their ends; each distinct word is looked up once."""
+def all_numbered(lists: pa.Array, number: dict[bytes, int] | pa.Array) -> Numbered:
+    """Documents, given as lists of words, with their ends; each distinct word is looked up once among the numbers, or among an array of words in their order."""
     found = lists.flatten().dictionary_encode()
-    codes, words = found.indices.to_numpy(), [*plain(found.dictionary), b""]
-    end = len(words) - 1
-    held = codes != words.index(b"")
-    begin = np.concatenate([[0], np.cumsum(held)])[np.cumsum([0, *pc.list_value_length(lists).to_pylist()])]
-    codes = np.insert(codes[held], begin[1:], end)
+    if isinstance(number, dict):
+        number = pa.array(sorted(number, key=number.__getitem__), pa.binary())
+    named = pa.concat_arrays([found.dictionary.cast(pa.binary()), pa.array([b""])])
+    words = len(named)
+    empty = pc.index(named, pa.scalar(b"", pa.binary())).as_py()
+    codes = found.indices.to_numpy()
+    held = codes != empty
+    begin = np.concatenate([[0], np.cumsum(held)])[np.concatenate([[0], np.cumsum(pc.list_value_length(lists).to_numpy())])]
+    # Each word's new place: the ends of the documents before it come in between.
+    sizes = np.diff(begin)
     begin = begin + np.arange(len(begin))
-    numbers = np.array([n if (n := number.get(w)) is not None else -1 - tail_class(w) for w in words], np.int32)
+    own = np.ones(begin[-1], bool)
+    own[begin[1:] - 1] = False
+    kept, codes = codes[held], np.full(len(own), words - 1, codes.dtype)
+    codes[own] = kept
+    numbers = pc.fill_null(pc.index_in(named, value_set=number), -1).to_numpy().astype(np.int32)
+    rare = np.flatnonzero(numbers < 0)
+    numbers[rare] = -1 - tail_classes(named.take(pa.array(rare)))
     ids = numbers[codes]
     rest = np.flatnonzero(ids < 0)
-    doc = np.repeat(np.arange(len(begin) - 1), np.diff(begin))[rest]
-    pairs, counts = np.unique(doc * len(words) + codes[rest], return_counts=True)
-    named = pa.concat_arrays([found.dictionary.cast(pa.binary()), pa.array([b""])])
-    return Numbered(ids, begin, named, numbers, np.searchsorted(pairs, np.arange(len(begin)) * len(words)), pairs % len(words), counts)
+    doc = np.repeat(np.arange(len(sizes)), sizes + 1)[rest]
+    pairs, counts = np.unique(doc * words + codes[rest], return_counts=True)
+    return Numbered(ids, begin, named, numbers, np.searchsorted(pairs, np.arange(len(begin)) * words), pairs % words, counts)
 
 
 def numbered(words: list[bytes], number: dict[bytes, int]) -> tuple[np.ndarray, Counter]:
@@ -178,26 +198,28 @@ def numbered(words: list[bytes], number: dict[bytes, int]) -> tuple[np.ndarray,
 
 
 def summed(rows: np.ndarray, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """The keys (small numbers) that occur, in order, and the sum of the rows of each, by halving: neighbours of a key are added up until it has one row."""
+    """The keys (small numbers) that occur, in order, and the sum of the rows of each: many rows of a key by one product, few by adding the next row of every key that has one."""
     order = np.argsort(keys.astype(np.int16), kind="stable")
     keys = keys[order]
-    first = True
-    while first or len(keys):
-        new = np.ones(len(keys), bool)
-        new[1:] = keys[1:] != keys[:-1]
-        begin = np.flatnonzero(new)
-        if not first and len(begin) == len(keys):
-            break
-        # Places of even rank within their key stay, and get the next row where that has the same key.
-        rank = np.arange(len(keys)) - np.repeat(begin, np.diff(begin, append=len(keys)))
-        even = np.flatnonzero(rank & 1 == 0)
-        paired = np.flatnonzero(rank[even + 1 - (even + 1 == len(keys))] & 1 == 1)
-        left = even if not first else order[even]
-        right = even[paired] + 1
-        out = np.take(rows, left, axis=0)
-        out[paired] += np.take(rows, right if not first else order[right], axis=0)
-        rows, keys, first = out, keys[even], False
-    return keys, rows
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    begin = np.flatnonzero(new)
+    count = np.diff(begin, append=len(keys))
+    by = np.argsort(-count, kind="stable")
+    begin_by, count_by = begin[by], count[by]
+    many = int((count > MANY_ROWS).sum())
+    out = np.empty((len(begin), rows.shape[1]), rows.dtype)
+    ones = np.ones(int(count.max(initial=0)), rows.dtype)
+    for i, (at, n) in enumerate(zip(begin_by[:many].tolist(), count_by[:many].tolist(), strict=True)):
+        np.dot(ones[:n], np.take(rows, order[at : at + n], axis=0), out=out[i])
+    few, at, left = out[many:], begin_by[many:], count_by[many:]
+    few[:] = np.take(rows, order[at], axis=0)
+    for k in range(1, int(left.max(initial=0))):
+        n = int((left > k).sum())
+        few[:n] += np.take(rows, order[at[:n] + k], axis=0)
+    back = np.empty_like(by)
+    back[by] = np.arange(len(by))
+    return keys[begin], np.take(out, back, axis=0)
 
 
 class Network:
@@ -229,15 +251,19 @@ class Network:
             self.spaces[key] = np.empty(shape, key[2])
         return self.spaces[key]
 
-    def states(self, x: np.ndarray, h: np.ndarray, keep: dict | None = None) -> np.ndarray:
+    def by_gates(self) -> tuple[np.ndarray, np.ndarray]:
+        """The parameters of the gates, of z and r the negatives, as their logistic functions want them."""
+        u, vectors = (self.p[k].reshape(-1, 3, HIDDEN).transpose(1, 0, 2).copy() for k in ("hidden", "inputs"))
+        u[:2] *= -1
+        vectors[:2] *= -1
+        return u, vectors
+
+    def states(self, x: np.ndarray, h: np.ndarray, keep: dict | None = None, gates: tuple[np.ndarray, np.ndarray] | None = None) -> np.ndarray:
         """The states after each of the inputs x (steps x rows), from h; ``keep`` gets what backpropagation needs.
 
         Each gate has arrays of its own, of rows by features, so that all of them are contiguous and none is turned.
         """
-        # Of z and r the negatives, as their logistic functions want them.
-        u, vectors = (self.p[k].reshape(-1, 3, HIDDEN).transpose(1, 0, 2).copy() for k in ("hidden", "inputs"))
-        u[:2] *= -1
-        vectors[:2] *= -1
+        u, vectors = gates or self.by_gates()
         steps, rows = x.shape
         x = np.ascontiguousarray(x, np.intp)
         out = self.space("states", steps, rows, HIDDEN)
@@ -273,7 +299,7 @@ class Network:
     def of_classes(self, states: np.ndarray, y: np.ndarray, g: dict | None = None, back: np.ndarray | None = None, share: float = 1.0) -> np.ndarray:
         """Log probabilities of the classes y (0 where y is negative) after states (rows x hidden).
 
-        Adds gradients of their negative sum, times ``share``, to ``g`` and ``back``.  Rows are taken some at a time.
+        Adds gradients of their negative sum, times ``share``, to ``g``, and puts those of the states into ``back``.  Rows are taken some at a time.
         """
         out, bias = self.p["out"], self.p["bias"]
         # No logit is above this, and if none can be far below it, no row needs its own largest one.
@@ -297,52 +323,50 @@ class Network:
                 weight = (np.where(target >= 0, share, 0) / total).astype(e.dtype)
                 g["out"] += (own * weight[:, None]).T @ e
                 g["bias"] += weight @ e
-                some = e @ out.T
+                some = np.matmul(e, out.T, out=back[a : a + BLOCK])
                 some *= weight[:, None]
-                back[a : a + BLOCK] += some
         return logs
 
     def of_words(self, states: np.ndarray, y: np.ndarray, words: np.ndarray, tables: Tables, g: dict | None = None, back: np.ndarray | None = None, share: float = 1.0) -> np.ndarray:
-        """Log probabilities of words within their classes y, by number (0 where it is negative); gradients as above."""
+        """Log probabilities of words within their classes y, by number (0 where it is negative); adds gradients as above, to ``back`` as well."""
         vectors = self.p["words"]
         logs = np.zeros(len(states), np.float64)
         frequent = np.flatnonzero(words >= 0)
         order = frequent[np.argsort(y[frequent].astype(np.int8), kind="stable")]
         edges = np.searchsorted(y[order], np.arange(KINDS * BINS + 1)).tolist()
         named, ranked = words[order], np.take(states, order, axis=0)
+        logits = tables.in_class[named]
+        # The rows of learned words, and each one's column among the learned words of its class.
         slot = tables.slot[named]
         learned = np.flatnonzero(slot >= 0)
-        slot = slot[learned]
-        own, theirs = np.take(ranked, learned, axis=0), np.take(vectors, slot, axis=0)
-        logits = tables.in_class[named]
-        logits[learned] += np.einsum("ij,ij->i", own, theirs)
+        column = slot[learned] - tables.begin[y[order[learned]]]
+        begin = tables.begin.tolist()
         totals = np.ones(len(order), states.dtype)
         if g is not None:
             turned = np.zeros_like(ranked)
         for k in range(KINDS * BINS):
-            first, last = int(tables.begin[k]), int(tables.begin[k + 1])
+            first, last = begin[k], begin[k + 1]
             if first == last:
                 continue
-            part = tables.share[first:last]
-            weighted = vectors[first:last] * part[:, None]
+            part, own = tables.share[first:last], vectors[first:last]
             for a in range(edges[k], edges[k + 1], BLOCK):
                 rows = slice(a, min(a + BLOCK, edges[k + 1]))
-                e = ranked[rows] @ vectors[first:last].T
+                some = slice(*np.searchsorted(learned, (a, rows.stop)).tolist())
+                at = learned[some] - a, column[some]
+                e = ranked[rows] @ own.T
+                logits[learned[some]] += e[at]
                 np.exp(e, out=e)
                 total = e @ part
                 total += tables.rest[k]
                 totals[rows] = total
                 if g is not None:
-                    weight = (share / total).astype(e.dtype)[:, None]
-                    g["words"][first:last] += (e.T @ (ranked[rows] * weight)) * part[:, None]
-                    np.multiply(e @ weighted, weight, out=turned[rows])
+                    e *= part
+                    e *= (share / total).astype(e.dtype)[:, None]
+                    e[at] -= share
+                    g["words"][first:last] += e.T @ ranked[rows]
+                    np.matmul(e, own, out=turned[rows])
         logs[order] = logits - np.log(totals)
         if g is not None:
-            own *= states.dtype.type(share)
-            seen, sums = summed(own, slot)
-            g["words"][seen] -= sums
-            theirs *= states.dtype.type(share)
-            turned[learned] -= theirs
             back[order] += turned
         return logs
 
@@ -356,17 +380,18 @@ class Network:
         for v in g.values():
             v.fill(0)
         back = self.space("back", *flat.shape)
-        back.fill(0)
         loss = self.of_classes(flat, target, g, back, 1 / count).sum() + self.of_words(flat, target, words.ravel(), tables, g, back, 1 / count).sum()
         steps, rows = x.shape
         coming, u = back.reshape(states.shape), self.p["hidden"].T.copy()
-        # What comes to n's input, z, r, and n's part of the state: the input has the first three, the state the last three.
-        read = self.space("read", steps, rows, 4 * HIDDEN)
+        # What comes to z, r and n's input, and n's part of the state: the input has the first three, the state all but n's input.
+        read, inner = self.space("read", steps, rows, 3 * HIDDEN), self.space("read inner", steps, rows, HIDDEN)
         dh = np.zeros((rows, HIDDEN), states.dtype)
-        some, dz, dr, dn = (self.space(name, rows, HIDDEN) for name in ("some", "dz", "dr", "dn"))
+        some, dz, dr = (self.space(name, rows, HIDDEN) for name in ("some", "dz", "dr"))
+        any_fresh = kept["fresh"].any(axis=1)
         for t in reversed(range(steps)):
             n, (z, r), old = kept["new"][t], kept["gates"][t], kept["before"][t]
-            to_n, to_z, to_r, to_inner = (read[t, :, k : k + HIDDEN] for k in range(0, 4 * HIDDEN, HIDDEN))
+            to_z, to_r, to_n = (read[t, :, k : k + HIDDEN] for k in range(0, 3 * HIDDEN, HIDDEN))
+            dn = inner[t]
             dh += coming[t]
             np.subtract(1, z, out=some)
             some *= dh  # what comes through 1 - z
@@ -377,20 +402,20 @@ class Network:
             np.subtract(1, dn, out=dn)
             dn *= some
             to_n[:] = dn
-            np.subtract(1, r, out=dr)
             dn *= r
-            to_inner[:] = dn
+            np.subtract(1, r, out=dr)
             dr *= dn
             np.multiply(dr, kept["inner"][t], out=to_r)
             dh *= z
-            dh += np.matmul(read[t, :, HIDDEN:], u, out=some)
-            if kept["fresh"][t].any():
+            dh += np.matmul(read[t, :, : 2 * HIDDEN], u[: 2 * HIDDEN], out=some)
+            dh += np.matmul(dn, u[2 * HIDDEN :], out=some)
+            if any_fresh[t]:
                 dh[kept["fresh"][t]] = 0
-        flat = read.reshape(-1, 4 * HIDDEN)
-        g["hidden"] += kept["before"].reshape(-1, HIDDEN).T @ flat[:, HIDDEN:]
+        flat, before = read.reshape(-1, 3 * HIDDEN), kept["before"].reshape(-1, HIDDEN).T
+        g["hidden"][:, : 2 * HIDDEN] = before @ flat[:, : 2 * HIDDEN]
+        g["hidden"][:, 2 * HIDDEN :] = before @ inner.reshape(-1, HIDDEN)
         seen, sums = summed(flat, x.ravel())
-        g["inputs"][seen, 2 * HIDDEN :] = sums[:, :HIDDEN]
-        g["inputs"][seen, : 2 * HIDDEN] = sums[:, HIDDEN : 3 * HIDDEN]
+        g["inputs"][seen] = sums
         return g, states[-1].copy(), -loss / count
 
     def train(self, streams: np.ndarray, tables: Tables, steps: int | None = None, rate: float = 0.01, decay: bool = True) -> list[float]:
@@ -450,12 +475,14 @@ def count_words(texts: DataFrame) -> DataFrame:
             parts = pa.Table.from_struct_array(pa.chunked_array([pa.StructArray.from_arrays([x.field("values").cast(pa.string()), x.field("counts")], ["values", "counts"]) for x in [*held, ends]]))
             summed = parts.group_by("values", use_threads=False).aggregate([("counts", "sum")]).combine_chunks()
             words = summed["values"].combine_chunks()
-            return pa.RecordBatch.from_pydict({"word": words, "k": pa.array([tail_class(w) for w in plain(words)], pa.int32()), "n": summed["counts_sum"].combine_chunks()})
+            return pa.RecordBatch.from_pydict({"word": words, "k": pa.array(tail_classes(words)), "n": summed["counts_sum"].combine_chunks()})
 
         docs = 0
         for batch in batches:
             # Blanks at the ends of texts leave empty words, which are no ends.
-            found = split(batch.column(0)).flatten().value_counts()
+            found = split(batch.column(0)).flatten().dictionary_encode()
+            counts = np.bincount(found.indices.to_numpy(), minlength=len(found.dictionary))
+            found = pa.StructArray.from_arrays([found.dictionary, pa.array(counts, pa.int64())], ["values", "counts"])
             held.append(found.filter(pc.not_equal(found.field("values"), "")))
             docs += batch.num_rows
             if sum(map(len, held)) > HELD_WORDS:
@@ -467,32 +494,45 @@ def count_words(texts: DataFrame) -> DataFrame:
     return texts.select("text").mapInArrow(run, "word string, k int, n long").groupBy("word").agg(F.min("k").alias("k"), F.sum("n").alias("c"))
 
 
-def frequent(counts: DataFrame, most: int) -> list[tuple[bytes, int, int]]:
+def levels(counts: DataFrame) -> list[Row]:
+    """A histogram of counts on a logarithmic scale by tail classes, of bounded size: words, tokens and words that occur once."""
+    return counts.groupBy("k", _level().alias("at")).agg(F.count("*").alias("n"), F.sum("c").alias("c"), F.count_if(F.col("c") == 1).alias("once")).collect()
+
+
+def _level() -> Column:
+    return F.floor(F.log2("c") * 64)
+
+
+def frequent(counts: DataFrame, most: int, found: list[Row]) -> list[tuple[bytes, int, int]]:
     """The most frequent words, in order: those above a count that at most ``most`` words reach.
 
-    A histogram of counts on a logarithmic scale, of bounded size, gives that count, so no task sends more to
-    the driver than its part of the result.
+    The histogram gives that count, so no task sends more to the driver than its part of the result.
     """
-    scale = F.floor(F.log2("c") * 64)
-    level, held = 0, 0
-    for r in sorted(counts.where(F.col("c") >= LEAST).groupBy(scale.alias("at")).agg(F.count("*").alias("n")).collect(), reverse=True):
-        held += r["n"]
+    words = Counter()
+    for r in found:
+        words[r["at"]] += r["n"]
+    level, held, least = 0, 0, math.floor(math.log2(LEAST) * 64)
+    for at in sorted((at for at in words if at >= least), reverse=True):
+        held += words[at]
         if held > most:
-            level = r["at"] + 1
+            level = at + 1
             break
-    rows = counts.where((F.col("c") >= LEAST) & (scale >= level)).collect()
+    rows = counts.where((F.col("c") >= LEAST) & (_level() >= level)).collect()
     return sorted(((r["word"].encode(), r["k"], r["c"]) for r in rows), key=lambda x: (-x[2], x[0]))
 
 
-def shares(ids: np.ndarray, top: int) -> np.ndarray:
-    """The roots of a document's shares of the ``top`` most frequent words."""
-    return np.sqrt(np.bincount(ids[(ids >= 0) & (ids < top)], minlength=top)[:top] / max(1, len(ids)))
+def shares(docs: list[np.ndarray], top: int) -> np.ndarray:
+    """The roots of each document's shares of the ``top`` most frequent words."""
+    ids, sizes = np.concatenate(docs).astype(np.int64), np.array([len(d) for d in docs])
+    held = np.flatnonzero((ids >= 0) & (ids < top))
+    counts = np.bincount(np.repeat(np.arange(len(docs)), sizes)[held] * top + ids[held], minlength=len(docs) * top)
+    return np.sqrt(counts.reshape(len(docs), top) / np.maximum(1, sizes)[:, None])
 
 
 def doc_centres(docs: list[np.ndarray], words: int, rounds: int = 12) -> np.ndarray:
     """Centres of documents by their shares of the most frequent words (k-means from far-apart seeds)."""
     top = min(256, words)
-    rows = np.array([shares(d, top) for d in docs])
+    rows = shares(docs, top)
     centres = rows[[0]]
     while len(centres) < min(KINDS, len(rows)):
         apart = ((rows[:, None] - centres) ** 2).sum(axis=2).min(axis=1)
@@ -512,9 +552,12 @@ class KindCounts:
         self.held: list[np.ndarray] = []
         self.size = 0
 
-    def add(self, ids: np.ndarray) -> None:
-        kind = int(((self.centres - shares(ids, self.centres.shape[1])) ** 2).sum(axis=1).argmin())
-        self.held.append(ids[ids >= 0].astype(np.int64) * KINDS + kind)
+    def add(self, docs: list[np.ndarray]) -> None:
+        rows = shares(docs, self.centres.shape[1])
+        kinds = np.column_stack([((rows - c) ** 2).sum(axis=1) for c in self.centres]).argmin(axis=1)
+        ids, kinds = np.concatenate(docs), np.repeat(kinds, [len(d) for d in docs])
+        known = ids >= 0
+        self.held.append(ids[known].astype(np.int64) * KINDS + kinds[known])
         self.size += len(self.held[-1])
         if self.size > len(self.counts):
             self.flush()
@@ -539,8 +582,7 @@ def doc_kinds(docs: list[np.ndarray], words: int) -> np.ndarray:
     if not docs or not words:
         return np.zeros(words, np.int64)
     found = KindCounts(doc_centres(docs, words), words)
-    for d in docs:
-        found.add(d)
+    found.add(docs)
     return typical(found.table())
 
 
@@ -557,8 +599,8 @@ def corpus_kinds(rows: DataFrame, docs: list[np.ndarray], words: int) -> np.ndar
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = KindCounts(centres, words)
         for batch in batches:
-            for ids in batch.column(0).to_pylist():
-                found.add(np.frombuffer(ids, "<i4"))
+            if batch.num_rows:
+                found.add([np.frombuffer(ids, "<i4") for ids in batch.column(0).to_pylist()])
         table = found.table()
         seen = np.flatnonzero(table.any(axis=1))
         for at in range(0, len(seen), 1 << 14):
@@ -697,6 +739,7 @@ class Scorer:
 
     def __init__(self, network: Network, tables: Tables):
         self.network, self.tables = network, tables
+        self.gates = network.by_gates()
         self.h = np.zeros((PLACES, HIDDEN), np.float32)
         self.doc: list = [None] * PLACES
         self.at = [0] * PLACES
@@ -734,7 +777,7 @@ class Scorer:
             for j, (i, n) in enumerate(zip(active, lengths, strict=True)):
                 window[:, j, :n] = self.doc[i][:, self.at[i] : self.at[i] + n]
             x, y, words = window.transpose(0, 2, 1)
-            states = self.network.states(x, self.h[active])
+            states = self.network.states(x, self.h[active], gates=self.gates)
             self.h[active] = states[-1]
             flat, y, words = states.reshape(-1, HIDDEN), y.ravel(), words.ravel()
             logs = self.network.of_classes(flat, y) + self.network.of_words(flat, y, words, self.tables)
@@ -751,15 +794,16 @@ def score(docs: DataFrame, sample_docs: int = 2000, steps: int = 200, vocabulary
     """The base and the model's log10 probability of every document."""
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(crc_mod(id_col, 10) == 0, F.lit(False)).alias("held_out"))
     counts = materialize(count_words(rows.where("not held_out")), "counts")
-    total, distinct = counts.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count("*")).first()
-    top = frequent(counts, vocabulary)
+    found = levels(counts)
+    total, distinct = sum(r["c"] for r in found), sum(r["n"] for r in found)
+    top = frequent(counts, vocabulary, found)
     tail = np.zeros((TAIL, 2))
-    for r in counts.groupBy("k").agg(F.sum("c").alias("c"), F.count_if(F.col("c") == 1).alias("once")).collect():
-        tail[r["k"]] = r["c"], r["once"]
+    for r in found:
+        tail[r["k"]] += r["c"], r["once"]
     for _, k, c in top:
         tail[k] -= c, 0
     base = np.log10((np.array([c for _, _, c in top], np.float64) + ALPHA) / (total + ALPHA * (distinct + 1)))
-    tokens = materialize(_tokens(rows, {w: i for i, (w, _, _) in enumerate(top)}, base), "tokens")
+    tokens = materialize(_tokens(rows, [w for w, _, _ in top], base), "tokens")
     short = tokens.where(~F.col("held_out") & (F.col("n_tokens") <= SAMPLE_TOKENS))
     picked = short.select("doc_id").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample_docs)
     found = short.join(F.broadcast(picked), "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("ids")).limit(sample_docs).select("ids").collect()
@@ -776,10 +820,10 @@ def score(docs: DataFrame, sample_docs: int = 2000, steps: int = 200, vocabulary
     return _with_tail(scored, tokens, counts, tables, unknown, total, distinct)
 
 
-def _tokens(rows: DataFrame, number: dict[bytes, int], base: np.ndarray) -> DataFrame:
+def _tokens(rows: DataFrame, frequent: list[bytes], base: np.ndarray) -> DataFrame:
     """A row per document: its word numbers, 4 bytes each, what the frequent ones say, and its tail words with their counts."""
     small_batches(rows.sparkSession)
-    sent = rows.sparkSession.sparkContext.broadcast((number, base))
+    sent = rows.sparkSession.sparkContext.broadcast((pa.array(frequent, pa.binary()), base))
     kind = rows.schema["doc_id"].dataType.simpleString()
 
     def tails(found: Numbered) -> pa.Array:
@@ -791,15 +835,20 @@ def _tokens(rows: DataFrame, number: dict[bytes, int], base: np.ndarray) -> Data
         serial = TaskContext.get().partitionId() << 40
         for batch in batches:
             found = all_numbered(split(batch.column(1)), number)
-            known = [x[x >= 0] for x in found]
+            if not batch.num_rows:
+                continue
+            begin, known = found.begin[:-1], found.ids >= 0
+            base_of = np.zeros(len(known))
+            base_of[known] = base[found.ids[known]]
+            ends = pa.py_buffer((found.begin * 4).astype(np.int32))
             yield pa.RecordBatch.from_pydict({
                 "uid": pa.array(range(serial, serial + batch.num_rows), pa.int64()),
                 "doc_id": batch.column(0),
                 "held_out": batch.column(2),
                 "n_tokens": pa.array(np.diff(found.begin), pa.int64()),
-                "n_top": pa.array([len(x) for x in known], pa.int64()),
-                "base_top": pa.array([float(base[x].sum()) for x in known], pa.float64()),
-                "ids": pa.array([x.astype("<i4").tobytes() for x in found], pa.binary()),
+                "n_top": pa.array(np.add.reduceat(known, begin, dtype=np.int64)),
+                "base_top": pa.array(np.add.reduceat(base_of, begin)),
+                "ids": pa.Array.from_buffers(pa.binary(), batch.num_rows, [None, ends, pa.py_buffer(found.ids.astype("<i4"))]),
                 "tail": tails(found),
             })
             serial += batch.num_rows

@@ -1058,3 +1058,29 @@ def test_sums_by_halving():
         seen, sums = lm.summed(rows, keys)
         assert seen.tolist() == sorted(set(keys.tolist()))
         assert np.allclose(sums, np.array([rows[keys == k].sum(axis=0) for k in seen]).reshape(-1, 3))
+
+
+def test_many_words_at_once():
+    """Tail classes by array, also of parts of arrays, and numbers by the place in an array of words."""
+    words = pa.array(["a", "b.", "é", "é,", "7", "x!", "", "#", "(", "zz", "ü?"])
+    for part in (words, words[3:9], words[:0], words.cast(pa.binary())[2:]):
+        assert lm.tail_classes(part).tolist() == [lm.tail_class(w.encode() if isinstance(w, str) else w) for w in part.to_pylist()]
+    texts = lm.split(pa.array([" b. a a é", None, "zz  (", "a"]))
+    number = {b"a": 0, "é".encode(): 1, b"": 2}
+    for lists in (texts, texts[1:], texts[:0]):
+        one, other = lm.all_numbered(lists, number), lm.all_numbered(lists, pa.array(list(number), pa.binary()))
+        assert [x.tolist() for x in one] == [x.tolist() for x in other] == [[number.get(w, -1 - lm.tail_class(w)) for w in [*(w.encode() for w in ws if w), b""]] for ws in lists.to_pylist()]
+
+
+def test_levels_of_counts(spark):
+    """One pass over the counts gives what the tables need: words, tokens and words that occur once, by tail class, and the frequent words' bound."""
+    rows = [(f"w{i}", i % 3, 1 + i % 7 * (i % 5)) for i in range(300)]
+    counts = spark.createDataFrame(rows, "word string, k int, c long")
+    found = lm.levels(counts)
+    for k in range(3):
+        own = [c for _, j, c in rows if j == k]
+        assert [sum(r[n] for r in found if r["k"] == k) for n in ("n", "c", "once")] == [len(own), sum(own), own.count(1)]
+    for most in (0, 20, 100, 1000):
+        top = lm.frequent(counts, most, found)
+        assert len(top) <= most and top == sorted(((w.encode(), k, c) for w, k, c in rows if c >= max([lm.LEAST, *(c for _, _, c in top[-1:])])), key=lambda x: (-x[2], x[0]))[: len(top)]
+    assert len(lm.frequent(counts, 1000, found)) == sum(c >= lm.LEAST for _, _, c in rows)
